@@ -69,3 +69,33 @@ def _path_distribution(spark, sf_dir):
 @query("segmentation")
 def _segmentation(spark, sf_dir):
     return V.segmentation(sources(spark, sf_dir).funnel, NOW, days=7, k=50)
+
+
+# --- funnel ---------------------------------------------------------------
+
+from cohortscope.operators import funnel as FN  # noqa: E402
+
+FUNNEL_START = NOW - dt.timedelta(days=14)
+
+
+@query("funnel_daily")
+def _funnel_daily(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return FN.funnel_daily(s.funnel, s.app, FUNNEL_START, NOW)
+
+
+@query("funnel_conversion")
+def _funnel_conversion(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return FN.funnel_conversion(FN.funnel_daily(s.funnel, s.app, FUNNEL_START, NOW))
+
+
+@query("funnel_by_version_geo")
+def _funnel_by_version_geo(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return FN.funnel_by_version_geo(s.funnel, s.app, FUNNEL_START, NOW)
+
+
+@query("onboarding_completion")
+def _onboarding_completion(spark, sf_dir):
+    return FN.onboarding_completion(sources(spark, sf_dir).funnel, NOW, days=30)
