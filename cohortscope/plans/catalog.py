@@ -99,3 +99,67 @@ def _funnel_by_version_geo(spark, sf_dir):
 @query("onboarding_completion")
 def _onboarding_completion(spark, sf_dir):
     return FN.onboarding_completion(sources(spark, sf_dir).funnel, NOW, days=30)
+
+
+# --- cohort, identity, retention -----------------------------------------
+
+from cohortscope.operators import identity as ID  # noqa: E402
+from cohortscope.operators import retention as R  # noqa: E402
+
+
+@query("subscription_cohort")
+def _subscription_cohort(spark, sf_dir):
+    return R.subscription_cohort(sources(spark, sf_dir).funnel, NOW, days=60)
+
+
+@query("first_unsubscribe")
+def _first_unsubscribe(spark, sf_dir):
+    from cohortscope import config
+    return R.first_event(sources(spark, sf_dir).app, config.UNSUBSCRIBED, NOW, days=90)
+
+
+@query("device_user_map")
+def _device_user_map(spark, sf_dir):
+    return ID.device_user_map(sources(spark, sf_dir).funnel, NOW, days=180)
+
+
+@query("user_path")
+def _user_path(spark, sf_dir):
+    f = sources(spark, sf_dir).funnel
+    return ID.user_path(f, R.subscription_cohort(f, NOW, 60), NOW, days=180, cohort_days=60)
+
+
+@query("registration_device")
+def _registration_device(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.registration_device(R.subscription_cohort(s.funnel, NOW, 60), s.app, NOW, days=90)
+
+
+@query("retention_rows")
+def _retention_rows(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_rows(s.funnel, s.app, NOW)
+
+
+@query("retention_matrix")
+def _retention_matrix(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_matrix(s.funnel, s.app, NOW, kind="lessons")
+
+
+@query("retention_matrix_ai")
+def _retention_matrix_ai(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_matrix(s.funnel, s.app, NOW, kind="ai")
+
+
+@query("retention_matrix_geo")
+def _retention_matrix_geo(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_matrix(s.funnel, s.app, NOW, kind="lessons", by=("geo",))
+
+
+@query("retention_daily")
+def _retention_daily(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_daily(s.funnel, s.app, NOW, kind="lessons")
