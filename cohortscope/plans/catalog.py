@@ -163,3 +163,95 @@ def _retention_matrix_geo(spark, sf_dir):
 def _retention_daily(spark, sf_dir):
     s = sources(spark, sf_dir)
     return R.retention_daily(s.funnel, s.app, NOW, kind="lessons")
+
+
+# --- upsell pull and dashboards -------------------------------------------
+
+from cohortscope.operators import experiment as X  # noqa: E402
+from cohortscope.operators import upsell as U  # noqa: E402
+
+
+def pull(spark, sf_dir, experiment: bool = False):
+    s = sources(spark, sf_dir)
+    if experiment:
+        return U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, NOW, days=30,
+                                   arms=ARMS, view_start=VIEW_START, view_end=VIEW_END,
+                                   decline_flag=True)
+    return U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, NOW, days=30)
+
+
+@query("upsell_cash")
+def _upsell_cash(spark, sf_dir):
+    return U.upsell_cash(sources(spark, sf_dir).payments, NOW, days=30)
+
+
+@query("upsell_declines")
+def _upsell_declines(spark, sf_dir):
+    return U.upsell_declines(sources(spark, sf_dir).payments, NOW, days=30)
+
+
+@query("refund_tickets")
+def _refund_tickets(spark, sf_dir):
+    return U.refund_tickets(sources(spark, sf_dir).tickets)
+
+
+@query("insufficient_fund_events")
+def _insufficient_fund_events(spark, sf_dir):
+    return U.insufficient_fund_events(sources(spark, sf_dir).app, NOW, days=30)
+
+
+@query("upsell_user_level")
+def _upsell_user_level(spark, sf_dir):
+    return pull(spark, sf_dir)
+
+
+@query("experiment_pull")
+def _experiment_pull(spark, sf_dir):
+    return pull(spark, sf_dir, experiment=True)
+
+
+@query("upsell_gain")
+def _upsell_gain(spark, sf_dir):
+    return U.upsell_gain(X.to_user_level(pull(spark, sf_dir)), by=("geo",))
+
+
+@query("median_time_to_ttp")
+def _median_time_to_ttp(spark, sf_dir):
+    return U.median_time_to_ttp(sources(spark, sf_dir).app, X.to_user_level(pull(spark, sf_dir)),
+                                by=("geo",))
+
+
+@query("traffic_composition")
+def _traffic_composition(spark, sf_dir):
+    return U.traffic_composition(pull(spark, sf_dir))
+
+
+@query("arm_comparison")
+def _arm_comparison(spark, sf_dir):
+    return U.arm_comparison(X.to_user_level(pull(spark, sf_dir)))
+
+
+@query("unsub_ratio")
+def _unsub_ratio(spark, sf_dir):
+    return U.unsub_ratio(pull(spark, sf_dir, experiment=True))
+
+
+# --- experiment analysis ---------------------------------------------------
+
+def user_level(spark, sf_dir):
+    return X.to_user_level(pull(spark, sf_dir, experiment=True))
+
+
+@query("user_level")
+def _user_level(spark, sf_dir):
+    return user_level(spark, sf_dir)
+
+
+@query("metric_point_estimates")
+def _metric_point_estimates(spark, sf_dir):
+    return X.metric_point_estimates(user_level(spark, sf_dir))
+
+
+@query("segment_point_estimates")
+def _segment_point_estimates(spark, sf_dir):
+    return X.segment_point_estimates(user_level(spark, sf_dir))
