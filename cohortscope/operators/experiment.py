@@ -172,3 +172,17 @@ def segment_point_estimates(user_df: DataFrame, axes=config.SEGMENT_AXES,
 def metric_point_estimates(user_df: DataFrame) -> DataFrame:
     """The overall comparison only."""
     return segment_point_estimates(user_df, axes=())
+
+
+def to_long(estimates: DataFrame, experiment: str | None = None) -> DataFrame:
+    """Long experiment-metric table: one row per (segment, metric, variant)."""
+    name = (F.lit(experiment) if experiment is not None
+            else F.concat_ws("_vs_", F.col("clean_split"), F.col("test_split")))
+    arms = F.array(
+        F.struct(F.col("clean_split").alias("variant"), F.col("clean_value").alias("value"),
+                 F.col("clean_n").alias("n")),
+        F.struct(F.col("test_split").alias("variant"), F.col("test_value").alias("value"),
+                 F.col("test_n").alias("n")))
+    return (estimates.select(name.alias("experiment"), "axis", "segment", "metric",
+                             F.explode(arms).alias("a"))
+            .select("experiment", "axis", "segment", "a.variant", "metric", "a.value", "a.n"))

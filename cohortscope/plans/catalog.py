@@ -255,3 +255,45 @@ def _metric_point_estimates(spark, sf_dir):
 @query("segment_point_estimates")
 def _segment_point_estimates(spark, sf_dir):
     return X.segment_point_estimates(user_level(spark, sf_dir))
+
+
+# --- bootstrap, report, sensitivity, long table ----------------------------
+
+from cohortscope.operators import bootstrap as B  # noqa: E402
+from cohortscope.operators import report as RP  # noqa: E402
+from cohortscope.operators import sensitivity as SN  # noqa: E402
+
+
+@query("bootstrap_full")
+def _bootstrap_full(spark, sf_dir):
+    return B.bootstrap_segments(user_level(spark, sf_dir), n_boot=10_000, seed=42, level=0.95)
+
+
+@query("summary_report")
+def _summary_report(spark, sf_dir):
+    return RP.summary_lines(B.bootstrap_segments(user_level(spark, sf_dir), n_boot=10_000))
+
+
+@query("sample_size")
+def _sample_size(spark, sf_dir):
+    return SN.sample_size(user_level(spark, sf_dir), "purch_amount", mde=8.0, alternative="greater")
+
+
+@query("mde_table")
+def _mde_table(spark, sf_dir):
+    return SN.mde_table(SN.baselines(user_level(spark, sf_dir)), power=0.8)
+
+
+@query("power_z")
+def _power_z(spark, sf_dir):
+    return SN.power_z(SN.baselines(user_level(spark, sf_dir)))
+
+
+@query("power_table")
+def _power_table(spark, sf_dir):
+    return SN.power_table(SN.baselines(user_level(spark, sf_dir)))
+
+
+@query("long_metrics")
+def _long_metrics(spark, sf_dir):
+    return X.to_long(X.segment_point_estimates(user_level(spark, sf_dir)))
