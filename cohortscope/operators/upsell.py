@@ -97,7 +97,7 @@ def insufficient_fund_events(app: DataFrame, now, days: int = 30) -> DataFrame:
 def _register_events(app: DataFrame, name: str) -> DataFrame:
     df = events_named(app, name)
     df = (J.with_metadata(df)
-          .withColumn("qp", J.parsed("query_parameters", J.QUERY_PARAMETERS_SCHEMA)))
+          .transform(J.with_query_parameters))
     return df.where(J.meta("source", "qp") == config.REGISTER_SOURCE)
 
 

@@ -61,7 +61,7 @@ def upsell_version_volume(app: DataFrame, now, days: int = 14, k: int = 20) -> D
     """Distinct viewers per upsell version for views opened from registration."""
     df = W.last_hours(events_named(app, config.UPSELL_VIEW), days, now)
     df = (J.with_metadata(df)
-          .withColumn("qp", J.parsed("query_parameters", J.QUERY_PARAMETERS_SCHEMA))
+          .transform(J.with_query_parameters)
           .where(J.meta("source", "qp") == config.REGISTER_SOURCE))
     split = enrich.experiment_split(J.meta("upsell_version"), F.col("referrer"))
     return (df.groupBy(split.alias("upsell_version"))
