@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from cohortscope import config
 
 GROUP = ["axis", "segment", "metric_id"]
-DIFF_SCHEMA = "axis string, segment string, metric_id int, rep long, diff double"
+DIFF_SCHEMA = "axis string, segment string, metric_id int, diff double, freq long"
 PARTIAL_SCHEMA = ("axis string, segment string, metric_id int, role string, rep long, "
                   "sw double, swx double")
 
@@ -81,10 +81,11 @@ def _draw_block(n_boot: int, seed: int, max_cells: int = 4_000_000):
                 draws = rng.multinomial(n, counts / n, size=min(chunk, reps - start))
                 parts.append(_statistic(draws, values, n, statistic))
             stats[role] = np.concatenate(parts)
+        # replicates of a discrete metric repeat: ship (difference, count)
+        diff, freq = np.unique(stats["test"] - stats["clean"], return_counts=True)
         return pd.DataFrame({
             "axis": axis, "segment": segment, "metric_id": np.int32(metric_id),
-            "rep": np.arange(first, first + reps, dtype=np.int64),
-            "diff": stats["test"] - stats["clean"],
+            "diff": diff, "freq": freq.astype(np.int64),
         })
     return fn
 
@@ -122,10 +123,10 @@ def histograms(samples: DataFrame, arms: DataFrame) -> DataFrame:
 def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                     seed: int = config.RANDOM_SEED, block_reps: int = 1000,
                     max_hist_values: int = 50_000, block_cells: int = 20_000_000) -> DataFrame:
-    """Per group and replicate: ``diff`` = statistic(test) - statistic(clean).
+    """Replicate differences ``statistic(test) - statistic(clean)`` per group.
 
     Groups with both arms present only; returns ``(axis, segment, metric_id,
-    rep, diff, method)``.
+    diff, freq, method)`` where ``freq`` counts replicates with that difference.
     """
     per_role = hist.groupBy(*GROUP, "role").agg(F.count(F.lit(1)).alias("values_in_role"),
                                                F.first("statistic").alias("statistic"))
@@ -162,6 +163,7 @@ def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
     poisson = (p.groupBy(*GROUP, "rep")
                .agg((F.max(F.when(F.col("role") == "test", F.col("stat")))
                      - F.max(F.when(F.col("role") == "clean", F.col("stat")))).alias("diff"))
+               .select(*GROUP, "diff", F.lit(1).cast("long").alias("freq"))
                .withColumn("method", F.lit("poisson")))
     return exact.unionByName(poisson)
 
@@ -169,13 +171,16 @@ def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
 def summarize(diffs: DataFrame, estimates: DataFrame,
               level: float = config.CONFIDENCE_LEVEL) -> DataFrame:
     """Bootstrap bounds, p-value and decision joined to the point estimates."""
+    freq = F.col("freq")
     agg = diffs.groupBy(*GROUP).agg(
-        F.percentile("diff", F.lit(1 - level)).alias("ci_lower"),
-        F.percentile("diff", F.lit(level)).alias("ci_upper"),
-        F.avg(F.when(F.col("diff") <= 0, 1.0).otherwise(0.0)).alias("p_pos"),
-        F.avg(F.when(F.col("diff") >= 0, 1.0).otherwise(0.0)).alias("p_neg"),
-        F.count(F.lit(1)).alias("n_boot"),
+        F.percentile("diff", F.lit(1 - level), freq).alias("ci_lower"),
+        F.percentile("diff", F.lit(level), freq).alias("ci_upper"),
+        F.sum(F.when(F.col("diff") <= 0, freq).otherwise(0)).alias("n_le"),
+        F.sum(F.when(F.col("diff") >= 0, freq).otherwise(0)).alias("n_ge"),
+        F.sum(freq).alias("n_boot"),
         F.first("method").alias("method"))
+    agg = (agg.withColumn("p_pos", F.col("n_le") / F.col("n_boot"))
+           .withColumn("p_neg", F.col("n_ge") / F.col("n_boot")))
     out = estimates.join(agg, GROUP, "inner")
     return out.select(
         *estimates.columns,
