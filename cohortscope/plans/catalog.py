@@ -297,3 +297,31 @@ def _power_table(spark, sf_dir):
 @query("long_metrics")
 def _long_metrics(spark, sf_dir):
     return X.to_long(X.segment_point_estimates(user_level(spark, sf_dir)))
+
+
+# --- remaining cohort inputs and dashboard slices ---------------------------
+
+@query("lesson_activity")
+def _lesson_activity(spark, sf_dir):
+    from cohortscope import config
+    return R.activity(sources(spark, sf_dir).app, config.LESSON_EVENTS, NOW, days=90) \
+        .withColumnRenamed("user_id", "ret_user_id").withColumnRenamed("timestamp", "ret_timestamp")
+
+
+@query("ai_activity")
+def _ai_activity(spark, sf_dir):
+    from cohortscope import config
+    return R.activity(sources(spark, sf_dir).app, config.AI_EVENTS, NOW, days=90) \
+        .withColumnRenamed("user_id", "ret_ai_user_id").withColumnRenamed("timestamp", "ret_ai_timestamp")
+
+
+@query("upsell_purchasers")
+def _upsell_purchasers(spark, sf_dir):
+    from cohortscope import config
+    return R.event_users(sources(spark, sf_dir).app, config.UPSELL_PURCHASE, NOW, days=90) \
+        .withColumnRenamed("user_id", "upsell_user_id")
+
+
+@query("upsell_gain_by_plan")
+def _upsell_gain_by_plan(spark, sf_dir):
+    return U.upsell_gain(X.to_user_level(pull(spark, sf_dir)), by=("geo", "subscription"))
