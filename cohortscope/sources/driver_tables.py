@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,13 +146,15 @@ def derive(spark: SparkSession, sf_dir: str) -> Sources:
 
 
 _INPUTS = ("events", "orders", "conversations")
+LAYOUT_VERSION = 2  # bump when the stored layout or marker format changes
 _LOADED: dict[tuple[int, str], Sources] = {}
+_LOCK = threading.Lock()
 
 
 def _fingerprint(sf_dir: str) -> str:
     """Input paths, sizes and modification times, plus the adapter text itself."""
     h = hashlib.sha1()
-    h.update(os.path.abspath(sf_dir).encode())
+    h.update(f"layout-{LAYOUT_VERSION}:{os.path.abspath(sf_dir)}".encode())
     for name in _INPUTS:
         p = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(p):
@@ -178,19 +182,26 @@ def _write_event_table(df: DataFrame, path: str, partitions: int) -> None:
 
 
 def materialize(spark: SparkSession, sf_dir: str, root: str) -> str:
-    """Write the derived tables once under ``root`` (a shared folder); return the path."""
+    """Write the derived tables once under ``root`` (a shared folder); return their path.
+
+    Each build goes to its own versioned directory and the ``_READY`` marker
+    (naming that directory) is written last, so a concurrent reader only ever
+    sees a complete build.
+    """
     base = f"{root.rstrip('/')}/cohortscope_sources/{_fingerprint(sf_dir)}"
     ready = f"{base}/_READY"
     if _exists(spark, ready):
-        return base
+        return spark.read.json(ready).first()["path"]
+    data = f"{base}/v-{uuid.uuid4().hex[:12]}"
     s = derive(spark, sf_dir)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    _write_event_table(s.funnel, f"{base}/funnel", parts)
-    _write_event_table(s.app, f"{base}/app", parts)
-    s.payments.write.mode("overwrite").parquet(f"{base}/payments")
-    s.tickets.write.mode("overwrite").parquet(f"{base}/tickets")
-    spark.createDataFrame([(sf_dir,)], "source string").coalesce(1).write.mode("overwrite").json(ready)
-    return base
+    _write_event_table(s.funnel, f"{data}/funnel", parts)
+    _write_event_table(s.app, f"{data}/app", parts)
+    s.payments.write.mode("overwrite").parquet(f"{data}/payments")
+    s.tickets.write.mode("overwrite").parquet(f"{data}/tickets")
+    (spark.createDataFrame([(data, sf_dir)], "path string, source string")
+     .coalesce(1).write.mode("overwrite").json(ready))
+    return data
 
 
 def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) -> Sources:
@@ -204,8 +215,13 @@ def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) ->
     lazy projections are returned.
     """
     key = (id(spark), os.path.abspath(sf_dir))
-    if key in _LOADED:
+    with _LOCK:
+        if key not in _LOADED:
+            _LOADED[key] = _load(spark, sf_dir, materialized)
         return _LOADED[key]
+
+
+def _load(spark: SparkSession, sf_dir: str, materialized: bool | None) -> Sources:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if materialized is False or (materialized is None and not root):
         out = derive(spark, sf_dir)
@@ -217,7 +233,6 @@ def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) ->
             payments=spark.read.parquet(f"{base}/payments"),
             tickets=spark.read.parquet(f"{base}/tickets"),
         )
-    _LOADED[key] = out
     return out
 
 
