@@ -116,10 +116,32 @@ def histograms(samples: DataFrame, arms: DataFrame) -> DataFrame:
          .withColumn("role", F.when(F.col("split") == F.col("clean_split"), F.lit("clean"))
                      .when(F.col("split") == F.col("test_split"), F.lit("test")))
          .where(F.col("role").isNotNull()))
-    return (s.groupBy(*GROUP, "metric", "statistic", "role", "value")
+    return (s.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split", "role", "value")
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def estimates_from_histograms(hist: DataFrame) -> DataFrame:
+    """Point estimates (as ``experiment.point_estimates``) from value histograms."""
+    per = (hist.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split", "role")
+           .agg(F.sum("cnt").alias("n"), F.sum(F.col("value") * F.col("cnt")).alias("s"))
+           .withColumn("stat", F.when(F.col("statistic") == "sum", F.col("s"))
+                       .otherwise(F.col("s") / F.col("n"))))
+    is_c, is_t = F.col("role") == "clean", F.col("role") == "test"
+    wide = (per.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split")
+            .agg(F.max(F.when(is_c, F.col("stat"))).alias("clean_value"),
+                 F.max(F.when(is_t, F.col("stat"))).alias("test_value"),
+                 F.max(F.when(is_c, F.col("n"))).alias("clean_n"),
+                 F.max(F.when(is_t, F.col("n"))).alias("test_n"))
+            .where(F.col("clean_n").isNotNull() & F.col("test_n").isNotNull()))
+    diff = F.col("test_value") - F.col("clean_value")
+    rel = F.when(F.col("clean_value") != 0, diff / F.col("clean_value") * 100)
+    return wide.select(
+        *GROUP, "metric", "statistic", "clean_split", "test_split",
+        F.round("clean_value", 6).alias("clean_value"), F.round("test_value", 6).alias("test_value"),
+        F.round(diff, 6).alias("observed_difference"), F.round(rel, 6).alias("relative_difference_pct"),
+        "clean_n", "test_n")
+
+
 def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                     seed: int = config.RANDOM_SEED, block_reps: int = 1000,
                     max_hist_values: int = 50_000, block_cells: int = 20_000_000) -> DataFrame:
@@ -198,9 +220,11 @@ def bootstrap_segments(user_df: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                        max_hist_values: int = 50_000) -> DataFrame:
     """Full analysis: every analysed segment x metric with bootstrap bounds."""
     from cohortscope.operators import experiment as X
+    from cohortscope.sources.sinks import cut_lineage
     seg = X.with_segments(user_df, axes)
-    samples = X.metric_samples(seg)
-    arms = X.segment_arms(seg)
-    estimates = X.point_estimates(samples, arms)
-    diffs = bootstrap_diffs(histograms(samples, arms), n_boot, seed, block_reps, max_hist_values)
-    return summarize(diffs, estimates, level)
+    # everything downstream reads the histograms: bounded by distinct values,
+    # so a reliable checkpoint is cheap and an executor lost later never
+    # re-runs the pull
+    hist = cut_lineage(histograms(X.metric_samples(seg), X.segment_arms(seg)))
+    diffs = bootstrap_diffs(hist, n_boot, seed, block_reps, max_hist_values)
+    return summarize(diffs, estimates_from_histograms(hist), level)

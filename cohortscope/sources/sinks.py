@@ -33,11 +33,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    Without a configured folder the frame is returned as it is (recomputable
+    from lineage); a machine-local folder is never chosen here.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(checkpoint_dir(spark))
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            return df
+        sc.setCheckpointDir(d)
     return df.checkpoint(eager=True)
 
 
