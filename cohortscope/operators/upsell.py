@@ -157,20 +157,22 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
     unsub = (events_named(scan, config.UNSUBSCRIBED)
              .groupBy("user_id").agg(F.min("timestamp").alias("__u_min"),
                                      F.max("timestamp").alias("__u_max")))
+    # at most two rebill codes map to one slot, so these sides stay small per
+    # key without a DISTINCT of their own (the final DISTINCT collapses equal rows)
     cash = (_rebill_slot(upsell_cash(payments, now, days))
             .select(F.col("customer_account_id").alias("__cash_user"),
-                    F.col("upsell_order").alias("__cash_order"), "purch_count", "purch_amount")
-            .distinct())
+                    F.col("upsell_order").alias("__cash_order"), "purch_count", "purch_amount"))
     declines = (_rebill_slot(upsell_declines(payments, now, days))
                 .select(F.col("customer_account_id").alias("__di_user"),
                         F.col("upsell_order").alias("__di_order"),
-                        "declined_count", "first_declined_at")
-                .distinct())
+                        "declined_count", "first_declined_at"))
     tix = refund_tickets(tickets)
-    ifv = (event_first_and_count(app, config.INSUFFICIENT_FUND_VIEW, now, days)
-           .select(F.col("user_id").alias("__ifv")))
-    ifc = (event_first_and_count(app, config.INSUFFICIENT_FUND_CLICK, now, days)
-           .select(F.col("user_id").alias("__ifc")))
+    # both insufficient-fund flags from one aggregation over one scan
+    modal = W.since_days(events_named(app, config.INSUFFICIENT_FUND_VIEW,
+                                      config.INSUFFICIENT_FUND_CLICK), days, now)
+    modal = (modal.groupBy(F.col("user_id").alias("__if_user"))
+             .agg(F.max(F.col("event_name") == config.INSUFFICIENT_FUND_VIEW).alias("__ifv"),
+                  F.max(F.col("event_name") == config.INSUFFICIENT_FUND_CLICK).alias("__ifc")))
 
     rows = (fun.join(signup, "user_id", "left_semi")
             .join(views, "user_id", "inner")
@@ -184,8 +186,7 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                   & (F.col("upsell_order") == F.col("__di_order")), "left")
             .join(tix, (F.col("__email") == F.col("author_email")) & F.col("__email").isNotNull()
                   & (F.col("__email") != ""), "left")
-            .join(ifv, F.col("user_id") == F.col("__ifv"), "left")
-            .join(ifc, F.col("user_id") == F.col("__ifc"), "left")
+            .join(modal, F.col("user_id") == F.col("__if_user"), "left")
             .join(unsub, "user_id", "left"))
 
     cutoff = F.timestamp_add("HOUR", F.lit(13), F.col("timestamp"))
@@ -202,13 +203,13 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
         F.lit(1).alias("ups_view"),
         enrich.present("__ttp").alias("ups_ttp"),
         enrich.present("__purch").alias("ups_purched"),
-        enrich.present("__ifv").alias("has_insufficient_fund_view"),
-        enrich.present("__ifc").alias("has_insufficient_fund_click"),
+        enrich.flag(F.col("__ifv")).alias("has_insufficient_fund_view"),
+        enrich.flag(F.col("__ifc")).alias("has_insufficient_fund_click"),
         F.explode(unsub_values).alias("unsub12h"),
         "purch_count", "purch_amount", "ticket_count",
         enrich.flag(F.col("ticket_count") > 0).alias("is_ticket"),
         "declined_count", "first_declined_at",
-        enrich.flag(bought & (F.col("__ifc").isNotNull() | F.col("__ttp_if")))
+        enrich.flag(bought & (F.coalesce(F.col("__ifc"), F.lit(False)) | F.col("__ttp_if")))
         .alias("is_insufficient_fund_purchase"),
         *([enrich.present("__di_user").alias("has_insufficient_funds_decline")]
           if decline_flag else []),
