@@ -31,6 +31,7 @@ from cohortscope.functions import windows as W
 from cohortscope.operators.asof import asof
 from cohortscope.operators.identity import user_path
 from cohortscope.operators.volume import events_named
+from cohortscope.sources.sinks import cut_lineage
 
 COHORT_COLUMNS = ("user_id", "device_id", "purch_date", "personal_plan", "purch_timestamp",
                   "age", "country_code", "gender", "subscription", "channel",
@@ -161,7 +162,10 @@ def retention_rows(funnel: DataFrame, app: DataFrame, now, cohort_days: int = 60
     A cohort row without activity of a kind gets one ``'> 30'`` row with a
     NULL ``ret_user_id`` (the analysts' ELSE branch for a NULL difference).
     """
-    cohort = subscription_cohort(funnel, now, cohort_days)
+    # the cohort feeds five branches (entries, device and path resolution,
+    # registration, the final rows): checkpoint it once into the shared
+    # folder instead of rescanning the subscribe events in each branch
+    cohort = cut_lineage(subscription_cohort(funnel, now, cohort_days))
     presence = _presence_by_kind(cohort, app, now, activity_days, mode)
     kinds = F.array(*[F.lit(k) for k in ACTIVITY_KINDS])
     per_kind = cohort.select(*COHORT_COLUMNS, F.explode(kinds).alias("activity"))
