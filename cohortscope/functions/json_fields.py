@@ -40,14 +40,24 @@ def json_scalar(field: Column) -> Column:
     return F.when(~(field.startswith("{") | field.startswith("[")), field)
 
 
+def _scalar_sql(col: str) -> str:
+    return f"CASE WHEN NOT (startswith({col}, '{{') OR startswith({col}, '[')) THEN {col} END"
+
+
 def with_metadata(df: DataFrame, col: str = "event_metadata", alias: str = "meta",
                   keys: Iterable[str] = config.EVENT_METADATA_KEYS) -> DataFrame:
-    """Add struct column ``alias`` holding the scalar value of each key."""
+    """Add struct column ``alias`` holding the scalar value of each key.
+
+    Written as two SQL expressions so the plan is built with two calls into
+    the JVM, whatever the number of keys.
+    """
     keys = list(keys)
-    tmp = [f"__{alias}_{i}" for i in range(len(keys))]
-    out = df.select("*", F.json_tuple(F.col(col), *keys).alias(*tmp))
-    packed = F.struct(*[json_scalar(F.col(t)).alias(k) for t, k in zip(tmp, keys)])
-    return out.withColumn(alias, packed).drop(*tmp)
+    tmp = [f"`__{alias}_{i}`" for i in range(len(keys))]
+    key_list = ", ".join("'" + k.replace("'", "\\'") + "'" for k in keys)
+    out = df.selectExpr("*", f"json_tuple(`{col}`, {key_list}) AS ({', '.join(tmp)})")
+    packed = ", ".join(f"'{k}', {_scalar_sql(t)}" for k, t in zip(keys, tmp))
+    keep = [f"`{c}`" for c in df.columns]
+    return out.selectExpr(*keep, f"named_struct({packed}) AS `{alias}`")
 
 
 def with_query_parameters(df: DataFrame, col: str = "query_parameters",
