@@ -16,20 +16,19 @@ The MDE is solved in closed form instead of with a root finder. With
 The ``less`` alternative searches negative effects (``mode="default"``: by
 symmetry ``-mde(1 - p)``), or reproduces the analysts' search over positive
 effects only, which never reaches the target (``mode="reference"``).
-The normal CDF (for power) is evaluated by a pandas UDF on the aggregated
-rows; z quantiles are constants from ``statistics.NormalDist``.
+The normal CDF (for power) is a native expression
+(``functions.stats.normal_cdf``); z quantiles are constants from
+``statistics.NormalDist``.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from cohortscope.functions.stats import normal_cdf
 
 _N = NormalDist()
 
@@ -169,12 +168,6 @@ def power_z(base: DataFrame, alpha: float = 0.05) -> DataFrame:
         F.round(z_obs, 6).alias("z_obs"), F.round(z_crit, 6).alias("z_crit"), "status")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or (isinstance(v, float) and math.isnan(v))
-                 else 0.5 * math.erfc(-v / math.sqrt(2.0))).astype("float64")
-
-
 def power_table(base: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Power at the default effect for every metric (normal approximation)."""
     zt = power_z(base, alpha)

@@ -118,3 +118,14 @@ def test_segments_skip_small_and_one_arm(spark):
     arms = {(r.axis, r.segment): r.analysed for r in X.segment_arms(seg).collect()}
     assert arms[("Subscription", "1Week")] and not arms[("Subscription", "4Week")]
     assert not arms[("Subscription", "12Week")] and arms[("overall", "overall")]
+
+
+def test_native_normal_cdf_matches_erfc(spark):
+    from cohortscope.functions.stats import normal_cdf
+    xs = [i / 8 for i in range(-320, 321)] + [None]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_cdf(F.col("x")).alias("p"))
+    for r in got.collect():
+        if r.x is None:
+            assert r.p is None
+        else:
+            assert abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 1e-13, r.x
