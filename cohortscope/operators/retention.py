@@ -39,14 +39,20 @@ COHORT_COLUMNS = ("user_id", "device_id", "purch_date", "personal_plan", "purch_
 ACTIVITY_KINDS = {"lessons": config.LESSON_EVENTS, "ai": config.AI_EVENTS}
 
 
-def subscription_cohort(funnel: DataFrame, now, days: int = 60) -> DataFrame:
-    """Distinct subscribe rows with the demographic columns (one JSON parse per row)."""
+def subscription_cohort(funnel: DataFrame, now, days: int = 60,
+                        first_only: bool = False) -> DataFrame:
+    """Distinct subscribe rows with the demographic columns (one JSON parse per row).
+
+    ``first_only`` keeps only each user's earliest subscribe, as the written
+    definition of ``purch_date`` says; by default every subscribe is a
+    cohort row, as the analysts' query does.
+    """
     df = W.last_days(events_named(funnel, config.SUBSCRIBE), days, now)
     df = J.with_metadata(df)
     m = J.meta
     df = (df.where(~m("email").like(config.TEST_EMAIL_LIKE))
           .where(m("country_code") != config.EXCLUDED_COUNTRY))
-    return df.select(
+    out = df.select(
         "user_id", "device_id",
         F.to_date("timestamp").alias("purch_date"),
         m("personal_plan_pk").alias("personal_plan"),
@@ -60,6 +66,10 @@ def subscription_cohort(funnel: DataFrame, now, days: int = 60) -> DataFrame:
         enrich.utm_bucket(m("utm_source")).alias("utm_source"),
         enrich.geo_bucket(m("country_code")).alias("geo"),
     ).distinct()
+    if first_only:
+        first = out.groupBy("user_id").agg(F.min("purch_timestamp").alias("purch_timestamp"))
+        out = out.join(first, ["user_id", "purch_timestamp"], "left_semi")
+    return out
 
 
 def first_event(app: DataFrame, name: str, now, days: int | None = 90,
@@ -109,21 +119,26 @@ def _plus_minutes(col: str, minutes: int):
 
 
 def bucket_presence(entries: DataFrame, events: DataFrame, mode: str = "reference",
-                    block_seconds: int = 3600) -> DataFrame:
+                    block_seconds: int = 3600, after_purchase_only: bool = False) -> DataFrame:
     """``(user_id, purch_timestamp, bucket)`` for every bucket with an event.
 
     ``entries``: distinct ``(user_id, purch_timestamp)``; ``events``:
     ``(user_id, timestamp)``. Buckets are those of
     ``enrich.retention_buckets(mode)`` plus the overflow bucket.
+    ``after_purchase_only`` drops activity before the purchase (which the
+    analysts' query counts as Day 0).
     """
     buckets = list(enrich.retention_buckets(mode)) + [(config.RETENTION_OVERFLOW, None)]
     entries = entries.where(F.col("user_id").isNotNull())
+    if after_purchase_only:
+        buckets = [("", -1)] + buckets   # Day 0 becomes a probe at the purchase itself
     # Day 0: any event before p + (hi_0 + 1) minutes, i.e. the first event
     first = events.groupBy("user_id").agg(F.min("timestamp").alias("__first"))
     label0, hi0 = buckets[0]
     day0 = (entries.join(first, "user_id", "inner")
             .where(F.col("__first") < _plus_minutes("purch_timestamp", hi0 + 1))
-            .select("user_id", "purch_timestamp", F.lit(label0).alias("bucket")))
+            .select("user_id", "purch_timestamp", F.lit(label0).alias("bucket"))
+            .where(F.lit(not after_purchase_only)))
     # other buckets: one probe per entry and lower boundary
     probes = []
     for (_, lo), (label, hi) in zip(buckets[:-1], buckets[1:]):

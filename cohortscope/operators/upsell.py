@@ -109,13 +109,18 @@ def _rebill_slot(df: DataFrame) -> DataFrame:
 def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                       tickets: DataFrame, now, days: int = 30, arms=None,
                       view_start=None, view_end=None, app_days: int | None = None,
-                      decline_flag: bool = False) -> DataFrame:
+                      decline_flag: bool = False, keep_non_viewers: bool = False,
+                      declines_on: str = "purchase") -> DataFrame:
     """The 26-column upsell pull (DISTINCT rows), optionally narrowed to one test.
 
     ``arms`` / ``view_start`` / ``view_end`` restrict the upsell view (split
     and view date), as the experiment pulls do. ``app_days`` bounds the app
     event scans (``None`` = unbounded, as in the analysts' query).
     ``decline_flag`` adds ``has_insufficient_funds_decline``.
+    ``keep_non_viewers`` applies the IP test inside the view join instead of
+    after it, so subscribers without a view stay (``ups_view = 0``).
+    ``declines_on="subscriber"`` matches declines on the subscriber even
+    without a purchase event (the analysts' query keys them on the purchase).
     """
     m = J.meta
     fun = W.since_days(events_named(funnel, config.SUBSCRIBE), days, now)
@@ -144,7 +149,8 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
         views = views.where(F.col("split").isin(*arms))
     if view_start is not None or view_end is not None:
         views = views.where(W.date_range("timestamp", view_start, view_end))
-    views = views.select("user_id", "split", "upsell_order").distinct()
+    views = (views.select("user_id", "split", "upsell_order").distinct()
+             .withColumn("__view", F.lit(1)))
 
     ttp = (_register_events(scan, config.UPSELL_PURCHASE_CLICK)
            .select("user_id", m("upsell_order").alias("upsell_order"),
@@ -175,14 +181,15 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                   F.max(F.col("event_name") == config.INSUFFICIENT_FUND_CLICK).alias("__ifc")))
 
     rows = (fun.join(signup, "user_id", "left_semi")
-            .join(views, "user_id", "inner")
+            .join(views, "user_id", "left" if keep_non_viewers else "inner")
             .join(ttp, ["user_id", "upsell_order"], "left")
             .join(purch, ["user_id", "upsell_order"], "left"))
     bought = F.col("__purch").isNotNull()
     rows = (rows
             .join(cash, bought & (F.col("user_id") == F.col("__cash_user"))
                   & (F.col("upsell_order") == F.col("__cash_order")), "left")
-            .join(declines, bought & (F.col("user_id") == F.col("__di_user"))
+            .join(declines, (bought if declines_on == "purchase" else F.lit(True))
+                  & (F.col("user_id") == F.col("__di_user"))
                   & (F.col("upsell_order") == F.col("__di_order")), "left")
             .join(tix, (F.col("__email") == F.col("author_email")) & F.col("__email").isNotNull()
                   & (F.col("__email") != ""), "left")
@@ -200,7 +207,7 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
         "timestamp", "subscription", "channel", "geo", "payment_method", "utm_source",
         "subscription_id", "funnel_version", "quiz_version", "split", "upsell_order",
         "upsell_amount", "user_id",
-        F.lit(1).alias("ups_view"),
+        enrich.present("__view").alias("ups_view"),
         enrich.present("__ttp").alias("ups_ttp"),
         enrich.present("__purch").alias("ups_purched"),
         enrich.flag(F.col("__ifv")).alias("has_insufficient_fund_view"),
