@@ -28,15 +28,21 @@ difference.
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope import config
 
+# The pandas functions below run on executors. Pickle this module's functions
+# by value so workers need numpy/pandas only, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GROUP = ["axis", "segment", "metric_id"]
 DIFF_SCHEMA = "axis string, segment string, metric_id int, diff double, freq long"
 PARTIAL_SCHEMA = ("axis string, segment string, metric_id int, role string, rep long, "
