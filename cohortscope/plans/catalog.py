@@ -271,7 +271,9 @@ def _bootstrap_full(spark, sf_dir):
 
 @query("summary_report")
 def _summary_report(spark, sf_dir):
-    return RP.summary_lines(B.bootstrap_segments(user_level(spark, sf_dir), n_boot=10_000))
+    from cohortscope.sources.sinks import cut_lineage
+    # the report reads the (small) results twice: checkpoint them once
+    return RP.summary_lines(cut_lineage(B.bootstrap_segments(user_level(spark, sf_dir), n_boot=10_000)))
 
 
 @query("sample_size")
