@@ -80,9 +80,13 @@ def first_event(app: DataFrame, name: str, now, days: int | None = 90,
             .agg(F.min("timestamp").alias(f"{prefix}_timestamp")))
 
 
+def activity_named(app: DataFrame, names, now, days: int | None = 90) -> DataFrame:
+    return W.last_days(events_named(app, *names), days, now)
+
+
 def activity(app: DataFrame, names, now, days: int | None = 90) -> DataFrame:
     """``(user_id, timestamp)`` of the listed activity events."""
-    return W.last_days(events_named(app, *names), days, now).select("user_id", "timestamp")
+    return activity_named(app, names, now, days).select("user_id", "timestamp")
 
 
 def event_users(app: DataFrame, name: str, now, days: int | None = 90,
@@ -119,53 +123,65 @@ def _plus_minutes(col: str, minutes: int):
 
 
 def bucket_presence(entries: DataFrame, events: DataFrame, mode: str = "reference",
-                    block_seconds: int = 3600, after_purchase_only: bool = False) -> DataFrame:
-    """``(user_id, purch_timestamp, bucket)`` for every bucket with an event.
-
-    ``entries``: distinct ``(user_id, purch_timestamp)``; ``events``:
-    ``(user_id, timestamp)``. Buckets are those of
-    ``enrich.retention_buckets(mode)`` plus the overflow bucket.
+                    block_seconds: int = 3600, after_purchase_only: bool = False,
+                    by: tuple[str, ...] = ()) -> DataFrame:
+    """``(user_id, purch_timestamp, *by, bucket)`` for every bucket with an event.
+
+    ``entries``: distinct ``(user_id, purch_timestamp, *by)``; ``events``:
+    ``(user_id, *by, timestamp)``, where ``by`` are extra keys both sides share
+    (e.g. the activity kind, so several kinds go through one pass). Buckets
+    are those of ``enrich.retention_buckets(mode)`` plus the overflow bucket.
     ``after_purchase_only`` drops activity before the purchase (which the
     analysts' query counts as Day 0).
     """
+    keys = ["user_id", *by]
     buckets = list(enrich.retention_buckets(mode)) + [(config.RETENTION_OVERFLOW, None)]
     entries = entries.where(F.col("user_id").isNotNull())
     if after_purchase_only:
         buckets = [("", -1)] + buckets   # Day 0 becomes a probe at the purchase itself
-    # Day 0: any event before p + (hi_0 + 1) minutes, i.e. the first event
-    first = events.groupBy("user_id").agg(F.min("timestamp").alias("__first"))
-    label0, hi0 = buckets[0]
-    day0 = (entries.join(first, "user_id", "inner")
-            .where(F.col("__first") < _plus_minutes("purch_timestamp", hi0 + 1))
-            .select("user_id", "purch_timestamp", F.lit(label0).alias("bucket"))
-            .where(F.lit(not after_purchase_only)))
+    out_cols = ["user_id", "purch_timestamp", *by, "bucket"]
+    parts = []
+    if not after_purchase_only:
+        # Day 0: any event before p + (hi_0 + 1) minutes, i.e. the key's first event
+        first = events.groupBy(*keys).agg(F.min("timestamp").alias("__first"))
+        label0, hi0 = buckets[0]
+        parts.append(entries.join(first, keys, "inner")
+                     .where(F.col("__first") < _plus_minutes("purch_timestamp", hi0 + 1))
+                     .select("user_id", "purch_timestamp", *by, F.lit(label0).alias("bucket")))
     # other buckets: one probe per entry and lower boundary
     probes = []
     for (_, lo), (label, hi) in zip(buckets[:-1], buckets[1:]):
         probes.append(F.struct(F.lit(label).alias("bucket"),
                                F.lit(lo + 1).alias("lo"),
                                F.lit(hi + 1 if hi is not None else None).cast("int").alias("hi")))
-    p = (entries.select("user_id", "purch_timestamp", F.explode(F.array(*probes)).alias("__pr"))
-         .select("user_id", "purch_timestamp", "__pr.*")
+    p = (entries.select("user_id", "purch_timestamp", *by, F.explode(F.array(*probes)).alias("__pr"))
+         .select("user_id", "purch_timestamp", *by, "__pr.*")
          .withColumn("__t", F.timestamp_add("MINUTE", F.col("lo"), F.col("purch_timestamp"))))
-    found = asof(p, events.select("user_id", "timestamp"), ["user_id"], "__t", "timestamp",
+    found = asof(p, events.select(*keys, "timestamp"), keys, "__t", "timestamp",
                  "__next", "forward", block_seconds)
     upper = F.timestamp_add("MINUTE", F.col("hi"), F.col("purch_timestamp"))
-    later = (found.where(F.col("__next").isNotNull() &
-                         (F.col("hi").isNull() | (F.col("__next") < upper)))
-             .select("user_id", "purch_timestamp", "bucket"))
-    return day0.unionByName(later)
+    parts.append(found.where(F.col("__next").isNotNull() &
+                             (F.col("hi").isNull() | (F.col("__next") < upper)))
+                 .select(*out_cols))
+    out = parts[0]
+    for extra in parts[1:]:
+        out = out.unionByName(extra)
+    return out
 
 
 def _presence_by_kind(cohort: DataFrame, app: DataFrame, now, days: int, mode: str,
                       kinds=ACTIVITY_KINDS) -> DataFrame:
-    entries = cohort.select("user_id", "purch_timestamp").distinct()
-    out = None
+    """Bucket presence for every activity kind in one as-of pass (kind is a key)."""
+    kind_of = None
     for kind, names in kinds.items():
-        pres = bucket_presence(entries, activity(app, names, now, days), mode)
-        pres = pres.withColumn("activity", F.lit(kind))
-        out = pres if out is None else out.unionByName(pres)
-    return out
+        cond = F.col("event_name").isin(*names)
+        kind_of = F.when(cond, F.lit(kind)) if kind_of is None else kind_of.when(cond, F.lit(kind))
+    all_names = [n for names in kinds.values() for n in names]
+    events = (activity_named(app, all_names, now, days)
+              .select("user_id", kind_of.alias("activity"), "timestamp"))
+    entries = (cohort.select("user_id", "purch_timestamp").distinct()
+               .withColumn("activity", F.explode(F.array(*[F.lit(k) for k in kinds]))))
+    return bucket_presence(entries, events, mode, by=("activity",))
 
 
 def retention_rows(funnel: DataFrame, app: DataFrame, now, cohort_days: int = 60,
