@@ -22,19 +22,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortscope import config
 
 
-def string_schema(keys: Iterable[str]) -> T.StructType:
-    return T.StructType([T.StructField(k, T.StringType(), True) for k in keys])
-
-
-EVENT_METADATA_SCHEMA = string_schema(config.EVENT_METADATA_KEYS)
-QUERY_PARAMETERS_SCHEMA = string_schema(config.QUERY_PARAMETER_KEYS)
-
-
 def json_scalar(field: Column) -> Column:
     """NULL for object/array text, the scalar string otherwise."""
     return F.when(~(field.startswith("{") | field.startswith("[")), field)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_extract(df: DataFrame, path: str, partition_col: str | None = None) -> None:
@@ -46,7 +45,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         sc.setCheckpointDir(d)
     return df.checkpoint(eager=True)
-
-
-def lit_null(type_name: str):
-    return F.lit(None).cast(type_name)
