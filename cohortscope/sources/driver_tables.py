@@ -211,8 +211,8 @@ def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) ->
     there once (keyed by a fingerprint of the inputs and of this adapter) in
     the production layout -- event tables partitioned by ``event_date`` and
     clustered by ``event_name`` -- and read back, so queries get partition
-    pruning and row-group skipping as on the real tables. Without one, the
-    lazy projections are returned.
+    pruning and row-group skipping as on the real tables. Without one (or
+    with ``COHORTSCOPE_MATERIALIZE=0``), the lazy projections are returned.
     """
     key = (id(spark), os.path.abspath(sf_dir))
     with _LOCK:
@@ -222,6 +222,8 @@ def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) ->
 
 
 def _load(spark: SparkSession, sf_dir: str, materialized: bool | None) -> Sources:
+    if materialized is None and os.environ.get("COHORTSCOPE_MATERIALIZE") in ("0", "false"):
+        materialized = False
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if materialized is False or (materialized is None and not root):
         out = derive(spark, sf_dir)
