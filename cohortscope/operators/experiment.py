@@ -44,9 +44,10 @@ def to_user_level(pull: DataFrame) -> DataFrame:
     aggs = [first(c) for c in SEGMENT_DIMS] + [
         F.max("ups_view").alias("ups_view"), F.max("ups_ttp").alias("ups_ttp"),
         F.max("ups_purched").alias("ups_purched"), F.max("unsub12h").alias("unsub12h"),
-        F.coalesce(F.sum("purch_amount"), F.lit(0.0)).alias("purch_amount"),
+        # rounded: the sum of doubles must not depend on the summation order
+        F.round(F.coalesce(F.sum("purch_amount"), F.lit(0.0)), 6).alias("purch_amount"),
         F.sum("ticket_count").alias("ticket_count"), F.max("is_ticket").alias("is_ticket"),
-    ] + ([F.avg("ltv").alias("ltv")] if has_ltv else [])
+    ] + ([F.round(F.avg("ltv"), 6).alias("ltv")] if has_ltv else [])
     not_null = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull() & F.col(keys[2]).isNotNull()
     per_key = df.where(not_null).groupBy(*keys).agg(*aggs)
     per_user = (df.where(F.col("user_id").isNotNull()).groupBy("user_id")
