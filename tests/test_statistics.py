@@ -129,3 +129,28 @@ def test_native_normal_cdf_matches_erfc(spark):
             assert r.p is None
         else:
             assert abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 1e-13, r.x
+
+
+def test_less_alternative_modes(spark):
+    base = spark.createDataFrame([(0, "m", "binary", "less", 500, 500, 0.3, None, 2, "ok")],
+                                 "metric_order int, metric string, type string, alternative string, "
+                                 "n_per_group long, n_test long, baseline double, baseline_std double, "
+                                 "n_arms long, status string")
+    ref = SN.mde_table(base, mode="reference").first()
+    assert ref.status == "unreachable" and ref.mde_abs is None
+    d = SN.mde_table(base).first().mde_abs
+    assert d < 0
+    # power of the one-sided 'less' test at the reported effect is the target
+    p1, p2 = 0.3, 0.3 + d
+    se = math.sqrt(p1 * (1 - p1) / 500 + p2 * (1 - p2) / 500)
+    assert abs(N.cdf(N.inv_cdf(0.05) - d / se) - 0.8) < 1e-4   # mde_abs is rounded to 6 digits
+
+
+def test_sample_size_formula(spark):
+    rows = [("A", float(x)) for x in (1, 2, 3, 4, 10)] + [("B", float(x)) for x in (2, 2, 5, 9)]
+    df = spark.createDataFrame(rows, "split string, purch_amount double")
+    got = SN.sample_size(df, mde=2.0).first()
+    import statistics as st
+    va, vb = st.variance([1, 2, 3, 4, 10]), st.variance([2, 2, 5, 9])
+    want = math.ceil((N.inv_cdf(0.95) + N.inv_cdf(0.8)) ** 2 * (va + vb) / 4.0)
+    assert got.sample_size == want and got.clean_split == "A"
