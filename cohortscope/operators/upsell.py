@@ -180,8 +180,12 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
              .agg(F.max(F.col("event_name") == config.INSUFFICIENT_FUND_VIEW).alias("__ifv"),
                   F.max(F.col("event_name") == config.INSUFFICIENT_FUND_CLICK).alias("__ifc")))
 
+    # join order follows the keys so the wide side is repartitioned at most
+    # three times at scale: user first, then (user, slot), then e-mail
     rows = (fun.join(signup, "user_id", "left_semi")
             .join(views, "user_id", "left" if keep_non_viewers else "inner")
+            .join(modal, F.col("user_id") == F.col("__if_user"), "left")
+            .join(unsub, "user_id", "left")
             .join(ttp, ["user_id", "upsell_order"], "left")
             .join(purch, ["user_id", "upsell_order"], "left"))
     bought = F.col("__purch").isNotNull()
@@ -192,9 +196,7 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                   & (F.col("user_id") == F.col("__di_user"))
                   & (F.col("upsell_order") == F.col("__di_order")), "left")
             .join(tix, (F.col("__email") == F.col("author_email")) & F.col("__email").isNotNull()
-                  & (F.col("__email") != ""), "left")
-            .join(modal, F.col("user_id") == F.col("__if_user"), "left")
-            .join(unsub, "user_id", "left"))
+                  & (F.col("__email") != ""), "left"))
 
     cutoff = F.timestamp_add("HOUR", F.lit(13), F.col("timestamp"))
     unsub_values = F.when(
