@@ -44,13 +44,15 @@ from cohortscope import config
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUP = ["axis", "segment", "metric_id"]
-DIFF_SCHEMA = "axis string, segment string, metric_id int, diff double, freq long"
-PARTIAL_SCHEMA = ("axis string, segment string, metric_id int, role string, rep long, "
-                  "sw double, swx double")
 
 
-def group_hash(axis: str, segment: str, metric_id: int) -> int:
-    return zlib.crc32(f"{axis}\x1f{segment}\x1f{metric_id}".encode())
+def group_hash(*key) -> int:
+    return zlib.crc32("\x1f".join(str(k) for k in key).encode())
+
+
+def _schema(df: DataFrame, keys, extra: str) -> str:
+    cols = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return f"{cols}, {extra}"
 
 
 def _statistic(draws: np.ndarray, values: np.ndarray, n: int, statistic: str) -> np.ndarray:
@@ -66,14 +68,14 @@ def _statistic(draws: np.ndarray, values: np.ndarray, n: int, statistic: str) ->
     return draws @ values / n
 
 
-def _draw_block(n_boot: int, seed: int, max_cells: int = 4_000_000):
+def _draw_block(n_boot: int, seed: int, keys, max_cells: int = 4_000_000):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        axis, segment, metric_id = pdf["axis"].iat[0], pdf["segment"].iat[0], int(pdf["metric_id"].iat[0])
+        key = [pdf[k].iat[0] for k in keys]
         statistic, block = pdf["statistic"].iat[0], int(pdf["block"].iat[0])
         per_block = -(-n_boot // int(pdf["n_blocks"].iat[0]))
         first = block * per_block
         reps = max(0, min(per_block, n_boot - first))
-        gh = group_hash(axis, segment, metric_id)
+        gh = group_hash(*key)
         stats = {}
         for role_id, role in enumerate(("clean", "test")):
             sub = pdf[pdf["role"] == role].sort_values("value")
@@ -89,51 +91,63 @@ def _draw_block(n_boot: int, seed: int, max_cells: int = 4_000_000):
             stats[role] = np.concatenate(parts)
         # replicates of a discrete metric repeat: ship (difference, count)
         diff, freq = np.unique(stats["test"] - stats["clean"], return_counts=True)
-        return pd.DataFrame({
-            "axis": axis, "segment": segment, "metric_id": np.int32(metric_id),
-            "diff": diff, "freq": freq.astype(np.int64),
-        })
+        out = {k: [v] * len(diff) for k, v in zip(keys, key)}
+        out.update({"diff": diff, "freq": freq.astype(np.int64)})
+        return pd.DataFrame(out)
     return fn
 
 
-def _poisson_partials(n_boot: int, seed: int):
+def _poisson_partials(n_boot: int, seed: int, keys):
     def fn(batches):
         for pdf in batches:
             acc = {}
-            for row in pdf.itertuples(index=False):
-                key = (row.axis, row.segment, int(row.metric_id), row.role)
-                bits = int(np.float64(row.value).view(np.uint64))
-                rng = np.random.default_rng([seed, group_hash(*key[:3]), key[3] == "test", bits])
-                w = rng.poisson(float(row.cnt), size=n_boot).astype(float)
-                sw, swx = acc.get(key, (0.0, 0.0))
-                acc[key] = (sw + w, swx + w * row.value)
-            for (axis, segment, metric_id, role), (sw, swx) in acc.items():
-                yield pd.DataFrame({
-                    "axis": axis, "segment": segment, "metric_id": np.int32(metric_id),
-                    "role": role, "rep": np.arange(n_boot, dtype=np.int64), "sw": sw, "swx": swx,
-                })
+            cols = [pdf[k].tolist() for k in keys]
+            for i, (role, value, cnt) in enumerate(zip(pdf["role"], pdf["value"], pdf["cnt"])):
+                key = tuple(c[i] for c in cols)
+                bits = int(np.float64(value).view(np.uint64))
+                rng = np.random.default_rng([seed, group_hash(*key), role == "test", bits])
+                w = rng.poisson(float(cnt), size=n_boot).astype(float)
+                sw, swx = acc.get((key, role), (0.0, 0.0))
+                acc[(key, role)] = (sw + w, swx + w * value)
+            for (key, role), (sw, swx) in acc.items():
+                out = {k: [v] * n_boot for k, v in zip(keys, key)}
+                out.update({"role": role, "rep": np.arange(n_boot, dtype=np.int64), "sw": sw, "swx": swx})
+                yield pd.DataFrame(out)
     return fn
 
 
+def _with_roles(samples: DataFrame, arms: DataFrame, on) -> DataFrame:
+    return (samples.join(arms, list(on), "inner")
+            .withColumn("role", F.when(F.col("split") == F.col("clean_split"), F.lit("clean"))
+                        .when(F.col("split") == F.col("test_split"), F.lit("test")))
+            .where(F.col("role").isNotNull()))
+
+
 def histograms(samples: DataFrame, arms: DataFrame) -> DataFrame:
     """Value counts per (segment, metric, arm role) for analysed segments."""
     a = arms.where("analysed").select("axis", "segment", "clean_split", "test_split")
-    s = (samples.join(a, ["axis", "segment"], "inner")
-         .withColumn("role", F.when(F.col("split") == F.col("clean_split"), F.lit("clean"))
-                     .when(F.col("split") == F.col("test_split"), F.lit("test")))
-         .where(F.col("role").isNotNull()))
+    s = _with_roles(samples, a, ["axis", "segment"])
     return (s.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split", "role", "value")
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def estimates_from_histograms(hist: DataFrame) -> DataFrame:
-    """Point estimates (as ``experiment.point_estimates``) from value histograms."""
-    per = (hist.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split", "role")
-           .agg(F.sum("cnt").alias("n"), F.sum(F.col("value") * F.col("cnt")).alias("s"))
+def estimates_from_histograms(hist: DataFrame, keys=GROUP) -> DataFrame:
+    """Point estimates (as ``experiment.point_estimates``) from value histograms.
+
+    ``mean``/``sum``/``count`` come from counts and weighted sums; ``median``
+    is the exact percentile over the counts (linear interpolation, as numpy).
+    """
+    extra = [c for c in ("metric", "statistic") if c in hist.columns and c not in keys]
+    names = [*keys, *extra, "clean_split", "test_split"]
+    per = (hist.groupBy(*names, "role")
+           .agg(F.sum("cnt").alias("n"), F.sum(F.col("value") * F.col("cnt")).alias("s"),
+                F.percentile("value", F.lit(0.5), F.col("cnt")).alias("med"))
            .withColumn("stat", F.when(F.col("statistic") == "sum", F.col("s"))
+                       .when(F.col("statistic") == "count", F.col("n").cast("double"))
+                       .when(F.col("statistic") == "median", F.col("med"))
                        .otherwise(F.col("s") / F.col("n"))))
     is_c, is_t = F.col("role") == "clean", F.col("role") == "test"
-    wide = (per.groupBy(*GROUP, "metric", "statistic", "clean_split", "test_split")
+    wide = (per.groupBy(*names)
             .agg(F.max(F.when(is_c, F.col("stat"))).alias("clean_value"),
                  F.max(F.when(is_t, F.col("stat"))).alias("test_value"),
                  F.max(F.when(is_c, F.col("n"))).alias("clean_n"),
@@ -142,7 +156,7 @@ def estimates_from_histograms(hist: DataFrame) -> DataFrame:
     diff = F.col("test_value") - F.col("clean_value")
     rel = F.when(F.col("clean_value") != 0, diff / F.col("clean_value") * 100)
     return wide.select(
-        *GROUP, "metric", "statistic", "clean_split", "test_split",
+        *names,
         F.round("clean_value", 6).alias("clean_value"), F.round("test_value", 6).alias("test_value"),
         F.round(diff, 6).alias("observed_difference"), F.round(rel, 6).alias("relative_difference_pct"),
         "clean_n", "test_n")
@@ -150,57 +164,61 @@ def estimates_from_histograms(hist: DataFrame) -> DataFrame:
 
 def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                     seed: int = config.RANDOM_SEED, block_reps: int = 1000,
-                    max_hist_values: int = 50_000, block_cells: int = 20_000_000) -> DataFrame:
+                    max_hist_values: int = 50_000, block_cells: int = 20_000_000,
+                    keys=GROUP) -> DataFrame:
     """Replicate differences ``statistic(test) - statistic(clean)`` per group.
 
-    Groups with both arms present only; returns ``(axis, segment, metric_id,
-    diff, freq, method)`` where ``freq`` counts replicates with that difference.
+    Groups with both arms present only; returns ``(*keys, diff, freq, method)``
+    where ``freq`` counts replicates with that difference.
     """
-    per_role = hist.groupBy(*GROUP, "role").agg(F.count(F.lit(1)).alias("values_in_role"),
-                                               F.first("statistic").alias("statistic"))
-    sizes = per_role.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_roles"),
-                                         F.max("values_in_role").alias("max_values"))
+    keys = list(keys)
+    per_role = hist.groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("values_in_role"))
+    sizes = per_role.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roles"),
+                                        F.max("values_in_role").alias("max_values"))
     both = sizes.where(F.col("n_roles") == 2)
-    small = both.where(F.col("max_values") <= max_hist_values).select(*GROUP)
-    large = both.where(F.col("max_values") > max_hist_values).select(*GROUP)
+    small = both.where(F.col("max_values") <= max_hist_values)
+    large = both.where(F.col("max_values") > max_hist_values).select(*keys)
 
     # blocks per group sized by work (replicates x distinct values), so a 0/1
     # metric is one task and a wide histogram is spread over several
     cells = F.lit(n_boot) * F.col("max_values")
     n_blocks = F.least(F.lit(-(-n_boot // block_reps)),
                        F.greatest(F.lit(1), F.ceil(cells / F.lit(block_cells)).cast("int")))
-    blocks = small.join(sizes, GROUP).select(*GROUP, n_blocks.alias("n_blocks"))
-    h_small = (hist.join(blocks, GROUP, "inner")
+    blocks = small.select(*keys, n_blocks.alias("n_blocks"))
+    h_small = (hist.join(blocks, keys, "inner")
                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
     # CPU-bound Python stage on little data: pin the task count so adaptive
     # coalescing does not fold every group into one task
     tasks = hist.sparkSession.sparkContext.defaultParallelism
-    exact = (h_small.repartition(tasks, *GROUP, "block")
-             .groupBy(*GROUP, "block")
-             .applyInPandas(_draw_block(n_boot, seed), DIFF_SCHEMA)
+    exact = (h_small.repartition(tasks, *keys, "block")
+             .groupBy(*keys, "block")
+             .applyInPandas(_draw_block(n_boot, seed, keys),
+                            _schema(hist, keys, "diff double, freq long"))
              .withColumn("method", F.lit("multinomial")))
 
-    h_large = hist.join(large, GROUP, "left_semi").where(F.col("statistic").isin("mean", "sum"))
-    partials = (h_large.select(*GROUP, "role", "statistic", "value", "cnt")
+    h_large = hist.join(large, keys, "left_semi").where(F.col("statistic").isin("mean", "sum"))
+    partials = (h_large.select(*keys, "role", "statistic", "value", "cnt")
                 .repartition(tasks)
-                .mapInPandas(_poisson_partials(n_boot, seed), PARTIAL_SCHEMA)
-                .groupBy(*GROUP, "role", "rep").agg(F.sum("sw").alias("sw"), F.sum("swx").alias("swx")))
-    stat_kind = hist.select(*GROUP, "statistic").distinct()
-    p = partials.join(stat_kind, GROUP, "inner").withColumn(
+                .mapInPandas(_poisson_partials(n_boot, seed, keys),
+                             _schema(hist, keys, "role string, rep long, sw double, swx double"))
+                .groupBy(*keys, "role", "rep").agg(F.sum("sw").alias("sw"), F.sum("swx").alias("swx")))
+    stat_kind = hist.select(*keys, "statistic").distinct()
+    p = partials.join(stat_kind, keys, "inner").withColumn(
         "stat", F.when(F.col("statistic") == "sum", F.col("swx")).otherwise(F.col("swx") / F.col("sw")))
-    poisson = (p.groupBy(*GROUP, "rep")
+    poisson = (p.groupBy(*keys, "rep")
                .agg((F.max(F.when(F.col("role") == "test", F.col("stat")))
                      - F.max(F.when(F.col("role") == "clean", F.col("stat")))).alias("diff"))
-               .select(*GROUP, "diff", F.lit(1).cast("long").alias("freq"))
+               .select(*keys, "diff", F.lit(1).cast("long").alias("freq"))
                .withColumn("method", F.lit("poisson")))
     return exact.unionByName(poisson)
 
 
 def summarize(diffs: DataFrame, estimates: DataFrame,
-              level: float = config.CONFIDENCE_LEVEL) -> DataFrame:
+              level: float = config.CONFIDENCE_LEVEL, keys=GROUP) -> DataFrame:
     """Bootstrap bounds, p-value and decision joined to the point estimates."""
+    keys = list(keys)
     freq = F.col("freq")
-    agg = diffs.groupBy(*GROUP).agg(
+    agg = diffs.groupBy(*keys).agg(
         F.percentile("diff", F.lit(1 - level), freq).alias("ci_lower"),
         F.percentile("diff", F.lit(level), freq).alias("ci_upper"),
         F.sum(F.when(F.col("diff") <= 0, freq).otherwise(0)).alias("n_le"),
@@ -209,7 +227,7 @@ def summarize(diffs: DataFrame, estimates: DataFrame,
         F.first("method").alias("method"))
     agg = (agg.withColumn("p_pos", F.col("n_le") / F.col("n_boot"))
            .withColumn("p_neg", F.col("n_ge") / F.col("n_boot")))
-    out = estimates.join(agg, GROUP, "inner")
+    out = estimates.join(agg, keys, "inner")
     return out.select(
         *estimates.columns,
         F.round("ci_lower", 6).alias("ci_lower"), F.round("ci_upper", 6).alias("ci_upper"),
@@ -220,6 +238,43 @@ def summarize(diffs: DataFrame, estimates: DataFrame,
         "n_boot", "method")
 
 
+def bootstrap_diff(samples: DataFrame, by=(), value: str = "value", split: str = "split",
+                   statistic: str = "mean", n_boot: int = config.N_BOOTSTRAP,
+                   level: float = config.CONFIDENCE_LEVEL, seed: int = config.RANDOM_SEED,
+                   control: str | None = None, max_hist_values: int = 50_000) -> DataFrame:
+    """One-sided bootstrap of ``statistic(test) - statistic(control)`` per ``by`` group.
+
+    ``samples`` has the ``by`` columns, the arm column ``split`` and a numeric
+    ``value`` (NULL values are dropped). Groups need exactly two arms; the
+    control is ``control`` or else the smaller arm name. ``statistic`` is
+    ``mean``, ``median``, ``sum`` or ``count``. Returns one row per group with
+    both values, the difference, the bounds at ``1 - level`` and ``level``,
+    ``p = min(P(d <= 0), P(d >= 0))``, ``significant``, ``direction``, sizes.
+    """
+    if statistic not in ("mean", "median", "sum", "count"):
+        statistic = "mean"   # any other name means the mean
+    keys = list(by) or ["__all"]
+    s = samples.where(F.col(value).isNotNull())
+    if not by:
+        s = s.withColumn("__all", F.lit("all"))
+    s = s.select(*keys, F.col(split).alias("split"), F.col(value).cast("double").alias("value"))
+    arms = s.groupBy(*keys).agg(F.count_distinct("split").alias("n_arms"),
+                                F.min("split").alias("lo"), F.max("split").alias("hi"))
+    arms = arms.where(F.col("n_arms") == 2)
+    if control is not None:
+        arms = arms.where((F.col("lo") == control) | (F.col("hi") == control)).select(
+            *keys, F.lit(control).alias("clean_split"),
+            F.when(F.col("lo") == control, F.col("hi")).otherwise(F.col("lo")).alias("test_split"))
+    else:
+        arms = arms.select(*keys, F.col("lo").alias("clean_split"), F.col("hi").alias("test_split"))
+    hist = (_with_roles(s, arms, keys).withColumn("statistic", F.lit(statistic))
+            .groupBy(*keys, "statistic", "clean_split", "test_split", "role", "value")
+            .agg(F.count(F.lit(1)).alias("cnt")))
+    diffs = bootstrap_diffs(hist, n_boot, seed, max_hist_values=max_hist_values, keys=keys)
+    out = summarize(diffs, estimates_from_histograms(hist, keys), level, keys)
+    return out.drop("__all") if not by else out
+
+
 def bootstrap_segments(user_df: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                        seed: int = config.RANDOM_SEED, level: float = config.CONFIDENCE_LEVEL,
                        axes=config.SEGMENT_AXES, block_reps: int = 1000,

@@ -154,3 +154,24 @@ def test_sample_size_formula(spark):
     va, vb = st.variance([1, 2, 3, 4, 10]), st.variance([2, 2, 5, 9])
     want = math.ceil((N.inv_cdf(0.95) + N.inv_cdf(0.8)) ** 2 * (va + vb) / 4.0)
     assert got.sample_size == want and got.clean_split == "A"
+
+
+def test_bootstrap_diff_statistics_against_numpy(spark):
+    import numpy as np
+    rnd = np.random.default_rng(11)
+    a = rnd.integers(0, 40, 300).astype(float)
+    b = rnd.integers(5, 45, 250).astype(float)
+    rows = [("g", "ctl", float(x)) for x in a] + [("g", "trt", float(x)) for x in b]
+    df = spark.createDataFrame(rows, "grp string, arm string, v double")
+    med = B.bootstrap_diff(df, by=("grp",), value="v", split="arm", statistic="median",
+                           n_boot=4000).first()
+    assert med.clean_split == "ctl" and med.clean_value == float(np.median(a))
+    assert med.observed_difference == float(np.median(b) - np.median(a))
+    # reference resampling bootstrap of the median difference
+    ref = [np.median(rnd.choice(b, b.size)) - np.median(rnd.choice(a, a.size)) for _ in range(4000)]
+    assert abs(med.ci_lower - np.percentile(ref, 5)) <= 1.0
+    assert abs(med.ci_upper - np.percentile(ref, 95)) <= 1.0
+    cnt = B.bootstrap_diff(df, value="v", split="arm", statistic="count", n_boot=500).first()
+    assert cnt.observed_difference == -50 and cnt.ci_lower == cnt.ci_upper == -50
+    flipped = B.bootstrap_diff(df, value="v", split="arm", control="trt", n_boot=500).first()
+    assert flipped.clean_split == "trt" and flipped.observed_difference < 0
