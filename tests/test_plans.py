@@ -25,3 +25,16 @@ def test_event_scans_prune_partitions(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan or "PartitionFilters: [(event_date" in plan \
         or "event_date" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_bounded_app_scans_prune_and_keep_results(spark):
+    from cohortscope.operators import upsell as U
+    from cohortscope.plans import catalog as C
+    s = C.sources(spark, SF_SMALL)
+    unbounded = U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, C.NOW)
+    bounded = U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, C.NOW, app_days=60)
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    scans = [p for p in plan.split("FileScan parquet")[1:] if "pr_webapp_upsell_view" in p]
+    assert scans and all("PartitionFilters: []" not in p.split("PushedFilters")[0] for p in scans)
+    # the generated events span 30 days, so a 60-day bound changes nothing
+    assert unbounded.exceptAll(bounded).count() == 0 and bounded.exceptAll(unbounded).count() == 0
