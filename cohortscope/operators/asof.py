@@ -17,8 +17,9 @@ one task. This operator keys everything by ``(key, time block)``:
 3. Probes without an in-block match take that value through an equi-join on
    ``(key, block)`` whose right side has one row per key, so nothing fans out.
 
-No pair of rows is ever materialised; every shuffle is keyed by
-``(key, block)``.
+No pair of rows is ever materialised; event and probe rows are only
+shuffled by ``(key, block)``, and the one window keyed by ``key`` alone runs
+over the block table (one row per key and block).
 """
 
 from __future__ import annotations

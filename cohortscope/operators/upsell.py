@@ -33,15 +33,6 @@ from cohortscope.functions import enrich, json_fields as J
 from cohortscope.functions import windows as W
 from cohortscope.operators.volume import events_named
 
-PULL_COLUMNS = (
-    "timestamp", "subscription", "channel", "geo", "payment_method", "utm_source",
-    "subscription_id", "funnel_version", "quiz_version", "split", "upsell_order",
-    "upsell_amount", "user_id", "ups_view", "ups_ttp", "ups_purched",
-    "has_insufficient_fund_view", "has_insufficient_fund_click", "unsub12h",
-    "purch_count", "purch_amount", "ticket_count", "is_ticket", "declined_count",
-    "first_declined_at", "is_insufficient_fund_purchase",
-)
-
 
 def _payments(payments: DataFrame) -> DataFrame:
     if "created_ts" in payments.columns:
