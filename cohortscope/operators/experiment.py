@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscope import config
@@ -48,11 +48,14 @@ def to_user_level(pull: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum("purch_amount"), F.lit(0.0)), 6).alias("purch_amount"),
         F.sum("ticket_count").alias("ticket_count"), F.max("is_ticket").alias("is_ticket"),
     ] + ([F.round(F.avg("ltv"), 6).alias("ltv")] if has_ltv else [])
-    not_null = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull() & F.col(keys[2]).isNotNull()
-    per_key = df.where(not_null).groupBy(*keys).agg(*aggs)
-    per_user = (df.where(F.col("user_id").isNotNull()).groupBy("user_id")
-                .agg(F.sum("ups_purched").alias("purch_count")))
-    return per_key.join(per_user, "user_id", "left")
+    # one aggregation over the pull: groups with a NULL split or slot are kept
+    # until the user's purchase total (over all of the user's rows) is taken,
+    # as a window over the aggregated rows -- a few rows per user
+    per_key = (df.where(F.col("user_id").isNotNull()).groupBy(*keys)
+               .agg(*aggs, F.sum("ups_purched").alias("__purch")))
+    per_key = per_key.withColumn("purch_count", F.sum("__purch").over(Window.partitionBy("user_id")))
+    not_null = F.col(keys[1]).isNotNull() & F.col(keys[2]).isNotNull()
+    return per_key.where(not_null).drop("__purch")
 
 
 @dataclass(frozen=True)

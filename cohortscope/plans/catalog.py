@@ -239,7 +239,11 @@ def _unsub_ratio(spark, sf_dir):
 # --- experiment analysis ---------------------------------------------------
 
 def user_level(spark, sf_dir):
-    return X.to_user_level(pull(spark, sf_dir, experiment=True))
+    """The experiment's user-level table, checkpointed once into the shared
+    folder: every analysis below (estimates, bootstrap, sensitivity) reads it
+    instead of re-running the pull in each of its branches."""
+    from cohortscope.sources.sinks import cut_lineage
+    return cut_lineage(X.to_user_level(pull(spark, sf_dir, experiment=True)))
 
 
 @query("user_level")
