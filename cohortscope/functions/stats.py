@@ -1,4 +1,5 @@
-"""Standard normal CDF as a native expression (Spark column and SQL text).
+"""Numeric helpers: the standard normal CDF as a native expression, and exact
+sums/means of decimal amounts.
 
 Neither Spark nor DuckDB has ``erf``. The CDF is evaluated with Hart's
 double-precision rational approximation (Hart, "Computer Approximations",
@@ -63,3 +64,14 @@ def normal_cdf_sql(x: str) -> str:
     far = f"({e} / {b} / {SQRT_2PI!r})"
     tail = f"(CASE WHEN {z} > {CUTOFF!r} THEN 0.0 WHEN {z} < {SPLIT!r} THEN {near} ELSE {far} END)"
     return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def exact_sum(col: Column) -> Column:
+    """Sum of values with at most 6 decimals, added as DECIMAL(38, 6): exact, so
+    the result does not depend on partitioning or summation order."""
+    return F.sum(col.cast("decimal(38,6)")).cast("double")
+
+
+def exact_avg(col: Column) -> Column:
+    """Mean via ``exact_sum`` (NULLs skipped, as ``avg``)."""
+    return exact_sum(col) / F.count(col)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscope import config
+from cohortscope.functions.stats import exact_avg, exact_sum
 
 SEGMENT_DIMS = ("subscription", "channel", "geo", "payment_method", "utm_source")
 
@@ -147,7 +148,8 @@ def segment_arms(seg_df: DataFrame, min_rows: int = config.MIN_SEGMENT_ROWS) ->
 def point_estimates(samples: DataFrame, arms: DataFrame) -> DataFrame:
     """Control/test statistic, difference, relative difference (%), sizes."""
     stat = (samples.groupBy("axis", "segment", "metric_id", "metric", "statistic", "split")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.avg("value").alias("a"))
+            .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("value")).alias("s"),
+                 exact_avg(F.col("value")).alias("a"))
             .withColumn("stat", F.when(F.col("statistic") == "sum", F.col("s")).otherwise(F.col("a"))))
     j = stat.join(arms.where("analysed"), ["axis", "segment"], "inner")
     is_c, is_t = F.col("split") == F.col("clean_split"), F.col("split") == F.col("test_split")

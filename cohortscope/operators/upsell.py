@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from cohortscope import config
 from cohortscope.functions import enrich, json_fields as J
 from cohortscope.functions import windows as W
+from cohortscope.functions.stats import exact_avg, exact_sum
 from cohortscope.operators.volume import events_named
 
 
@@ -224,8 +225,8 @@ def upsell_gain(user_df: DataFrame, by=("geo",)) -> DataFrame:
     viewers = user_df.where(F.col("ups_view") == 1)
     return (viewers.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("viewers"),
-                 F.round(F.sum("purch_amount"), 6).alias("revenue"),
-                 F.round(F.avg("purch_amount"), 6).alias("upsell_gain")))
+                 F.round(exact_sum(F.col("purch_amount")), 6).alias("revenue"),
+                 F.round(exact_avg(F.col("purch_amount")), 6).alias("upsell_gain")))
 
 
 def median_time_to_ttp(app: DataFrame, user_df: DataFrame, by=("geo",)) -> DataFrame:
@@ -257,26 +258,27 @@ def traffic_composition(pull: DataFrame) -> DataFrame:
 ARM_METRICS = ("rows", "viewers", "ttp_rate", "sr", "upsell_rate", "upsell_gain", "aov")
 
 
-def arm_comparison(user_df: DataFrame) -> DataFrame:
-    """Per arm: volumes and rates, and the relative change against the control arm
-    (the lexicographically smallest split)."""
+def arm_comparison(user_df: DataFrame, by=()) -> DataFrame:
+    """Per arm (and slice): volumes and rates, and the relative change against the
+    control arm of the slice (the lexicographically smallest split)."""
+    by = list(by)
     v, t, p = (F.col(c) == 1 for c in ("ups_view", "ups_ttp", "ups_purched"))
-    per = (user_df.where(F.col("split").isNotNull()).groupBy("split").agg(
+    per = (user_df.where(F.col("split").isNotNull()).groupBy(*by, "split").agg(
         F.count(F.lit(1)).cast("double").alias("rows"),
         F.count(F.when(v, 1)).cast("double").alias("viewers"),
         F.avg(F.when(v, F.col("ups_ttp"))).alias("ttp_rate"),
         F.avg(F.when(t, F.col("ups_purched"))).alias("sr"),
         F.avg(F.when(v, F.col("ups_purched"))).alias("upsell_rate"),
-        F.avg(F.when(v, F.col("purch_amount"))).alias("upsell_gain"),
-        F.avg(F.when(p, F.col("purch_amount"))).alias("aov")))
-    long = per.unpivot("split", list(ARM_METRICS), "metric", "value")
-    control = (long.groupBy("metric")
+        exact_avg(F.when(v, F.col("purch_amount"))).alias("upsell_gain"),
+        exact_avg(F.when(p, F.col("purch_amount"))).alias("aov")))
+    long = per.unpivot([*by, "split"], list(ARM_METRICS), "metric", "value")
+    control = (long.groupBy(*by, "metric")
                .agg(F.min_by("value", "split").alias("control_value"),
                     F.min("split").alias("control_split")))
-    out = long.join(control, "metric", "inner")
+    out = long.join(control, [*by, "metric"], "inner")
     rel = F.when(F.col("control_value") != 0,
                  (F.col("value") - F.col("control_value")) / F.col("control_value") * 100)
-    return out.select("split", "metric", F.round("value", 6).alias("value"), "control_split",
+    return out.select(*by, "split", "metric", F.round("value", 6).alias("value"), "control_split",
                       F.round("control_value", 6).alias("control_value"),
                       F.round(rel, 6).alias("rel_diff_pct"))
 

@@ -331,3 +331,8 @@ def _upsell_purchasers(spark, sf_dir):
 @query("upsell_gain_by_plan")
 def _upsell_gain_by_plan(spark, sf_dir):
     return U.upsell_gain(X.to_user_level(pull(spark, sf_dir)), by=("geo", "subscription"))
+
+
+@query("arm_comparison_geo")
+def _arm_comparison_geo(spark, sf_dir):
+    return U.arm_comparison(X.to_user_level(pull(spark, sf_dir)), by=("geo",))
