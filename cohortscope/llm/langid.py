@@ -38,9 +38,9 @@ SYMBOLS = 128
 #: Cosines are turned into a score by a softmax of this sharpness.
 SHARPNESS = 12.0
 UNKNOWN = "und"
-#: Cosine to the nearest prototype below which a text is in none of the languages. Texts of two or three words lie
-#: near 0.2 to 0.4, texts of other letters or of random ones near 0.
-LEAST_COSINE = 0.1
+#: Cosine to the nearest prototype below which a text is in none of the languages: one standard deviation of what
+#: unrelated vectors of this dimension show. Texts of one or two words lie near 0.1, longer ones above 0.3.
+LEAST_COSINE = 0.03
 SLICE = 3_000_000
 
 

@@ -10,7 +10,9 @@ The unigrams are all words of the corpus; their table is joined by word, never
 broadcast. Histories are the words with at least ``HISTORY_SHARE`` of all
 training tokens: at most 1 / HISTORY_SHARE words at any corpus size, so the
 bigram table (histories x histories, sparse) has a proven bound and is
-broadcast. Documents are dealt into blocks of bounded size; a block meets the
+broadcast. Counts are discounted by n1 / (n1 + 2 n2) (n1, n2: words seen once,
+twice); what that frees is the probability of the one unknown word, for which
+all unseen words stand, as they do in the add-one base. Documents are dealt into blocks of bounded size; a block meets the
 unigrams of its own words only, which is the part of the automaton that its
 texts can reach.
 
@@ -31,6 +33,7 @@ from .common import slices, stored, word_stream
 
 BLOCK_CHARS = 6_000_000
 HISTORY_SHARE = 1e-3
+#: Of bigrams, and of words where the counts of counts give none.
 DISCOUNT = 0.75
 #: Key of the end token; no word is empty.
 END = ""
@@ -94,14 +97,14 @@ def _pairs(texts: pa.Array, index: dict[str, int], size: int) -> tuple[np.ndarra
 class Automaton:
     """Arcs of the frequent histories: the bounded part of the model."""
 
-    def __init__(self, histories: list[str], counts: np.ndarray, codes: np.ndarray, pairs: np.ndarray, total: int, types: int, texts: int):
+    def __init__(self, histories: list[str], counts: np.ndarray, codes: np.ndarray, pairs: np.ndarray, total: int, types: int, texts: int, discount: float = DISCOUNT):
         self.histories, self.index, self.size = histories, {w: i for i, w in enumerate(histories)}, max(1, len(histories))
         self.total, self.types, self.texts = total, types, texts
-        self.codes = codes
-        self.log_unigram_floor = np.log10(DISCOUNT * max(types, 1) / max(total, 1) / (types + 1)) if total else 0.0
+        self.codes, self.discount = codes, discount
+        self.unknown = np.log10(discount * types / total) if total else 0.0
         left, right = codes // self.size, codes % self.size
         arcs = (pairs - DISCOUNT) / np.maximum(counts[left], 1) if len(codes) else np.empty(0)
-        unigram = np.maximum(counts - DISCOUNT, 1e-12) / max(total, 1)
+        unigram = np.maximum(counts - discount, 1e-12) / max(total, 1)
         seen = np.bincount(left, arcs, self.size) if len(codes) else np.zeros(self.size)
         shared = np.bincount(left, unigram[right], self.size) if len(codes) else np.zeros(self.size)
         self.arcs = np.log10(arcs)
@@ -109,7 +112,7 @@ class Automaton:
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """log10 of the arc from the empty history for words with these counts."""
-        return np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 1e-12) / max(self.total, 1)), self.log_unigram_floor)
+        return np.where(c > 0, np.log10(np.maximum(c - self.discount, 1e-12) / max(self.total, 1)), self.unknown)
 
     def traverse(self, pair: np.ndarray, history: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10-probability of every token: its state's own arc where there is one, else the failure arc and the empty history's arc."""
@@ -126,13 +129,13 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score."""
     spark = docs.sparkSession
     counts = stored(count_words(docs, use, text_col), "unigrams")
-    total, types = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
+    total, types, once, twice = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    total, discount = total or 0, once / (once + 2 * twice) if once and twice else DISCOUNT
     common = sorted((r["word"], r["c"]) for r in counts.filter(F.col("c") >= F.lit(max(1.0, HISTORY_SHARE * total))).collect()) if total else []
     histories = [w for w, _ in common]
     texts = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
     codes, pairs = count_bigrams(docs, use, histories, text_col) if histories else (np.empty(0, np.int64), np.empty(0, np.int64))
-    held = spark.sparkContext.broadcast(Automaton(histories, np.array([c for _, c in common] or [0], np.int64), codes, pairs, total, types, texts))
+    held = spark.sparkContext.broadcast(Automaton(histories, np.array([c for _, c in common] or [0], np.int64), codes, pairs, total, types, texts, discount))
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import slices, stored, word_stream
 
 SAMPLE = 20_000
-MIN_DOCS = 3
-MIN_VOTES = 0.5
+MIN_DOCS = 5
+MIN_VOTES = 1.0
 VOTE_SHARE = 1e-3
 MAX_CLEAN_SHARE = 0.02
 WINDOW = 5
@@ -173,7 +173,8 @@ class Matcher:
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
-    return np.column_stack((np.ones(len(evidence)), np.log1p(evidence), evidence.sum(1) > 0))
+    total = evidence.sum(1)  # misspelled matches are discounted already
+    return np.column_stack((np.ones(len(evidence)), np.log1p(total), total > 0))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:

@@ -194,7 +194,7 @@ def test_context_separates_quotation():
 def test_model_beats_its_base_on_held_out_text(spark):
     t = QUERIES["op6_lm_score"](spark, SF).toPandas()
     t = t[t["held_out"]]
-    assert (t["score"] / t["n_tokens"]).mean() > (t["base_score"] / t["n_tokens"]).mean() - 0.02
+    assert (t["score"] / t["n_tokens"]).mean() > (t["base_score"] / t["n_tokens"]).mean()
 
 
 # --------------------------------------------------------------- op7
@@ -290,6 +290,6 @@ def test_pipeline_on_nothing(spark, empty):
     assert docs.count() == 0
 
 
-def test_unknown_words_share_a_mass():
+def test_unknown_word_has_the_discounted_mass():
     a = lm.Automaton([], np.array([0]), np.empty(0, np.int64), np.empty(0, np.int64), 50, 10, 0)
-    assert 10 ** a.unigram(np.array([0]))[0] == pytest.approx(lm.DISCOUNT * 10 / 50 / 11)
+    assert 10 ** a.unigram(np.array([0]))[0] == pytest.approx(lm.DISCOUNT * 10 / 50)
