@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS) -> Iterat
         at = end
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
 
-def _runs(texts: pa.Array, lower: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of_words(texts: pa.Array, lower: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, where runs of words or of spaces start (and the end), which runs are words, and
     the offsets of each text's words among all words. Runs end where texts end."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -84,7 +83,7 @@ def _runs(texts: pa.Array, lower: str | None) -> tuple[np.ndarray, np.ndarray, n
         return raw, np.zeros(1, np.int64), np.empty(0, bool), np.zeros(n + 1, np.int64)
     if lower == "ascii":
         raw = _ASCII_LOWER[raw]
-    space = _SPACE[raw]
+    space = (raw == 32) | ((raw - np.uint8(9)) < 5)
     cut = np.zeros(len(raw) + 1, bool)
     cut[offs] = True
     cut[1:-1] |= space[1:] != space[:-1]
@@ -100,7 +99,7 @@ def word_stream(texts: pa.Array, lower: str | None = "utf8") -> tuple[np.ndarray
     Words are runs without ASCII white space. Returns ``codes`` of all words,
     ``offsets`` (n + 1) of each text's words, and the ``vocabulary``.
     """
-    raw, cuts, word, offsets = _runs(texts, lower)
+    raw, cuts, word, offsets = runs_of_words(texts, lower)
     if not len(raw):
         return np.empty(0, np.int64), offsets, []
     runs = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw)))
@@ -109,31 +108,38 @@ def word_stream(texts: pa.Array, lower: str | None = "utf8") -> tuple[np.ndarray
             coded.dictionary.to_numpy(zero_copy_only=False).tolist())
 
 
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_RADIX = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one.
+_LONG = 128
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, r in (("up", _RADIX), ("down", pow(_RADIX, -1, 1 << 64))):
-            base = np.full(n, r, np.uint64)
-            base[0] = 1
-            _POWERS[name] = np.cumprod(base, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time over all words together."""
+    length = end - start
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    h = mix(length.astype(np.uint64))
+    rows: np.ndarray | slice = slice(None)
+    for k in range(0, _LONG, 8):
+        left = length[rows] - k
+        chunk = eight[start[rows] + k] & _KEEP[np.minimum(left, 8)]
+        h[rows] = mix(h[rows] * np.uint64(0x9E3779B97F4A7C15) + chunk)
+        rows = np.flatnonzero((length > k + 8) & (length <= _LONG))
+        if not len(rows):
+            break
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i]:end[i]].tobytes())
+    return h
 
 
 def word_hashes(texts: pa.Array, lower: str | None = "utf8") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (a polynomial in the bytes, mixed with the length), and the offsets of each text's words."""
-    raw, cuts, word, offsets = _runs(texts, lower)
+    """64-bit hashes of all words, and the offsets of each text's words."""
+    raw, cuts, word, offsets = runs_of_words(texts, lower)
     if not len(raw):
         return np.empty(0, np.uint64), offsets
-    up, down = _powers(max(len(raw), 1 << 16))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:len(raw)], dtype=np.uint64)))
-    start, end = cuts[:-1][word], cuts[1:][word]
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), offsets
+    return hash_words(raw, cuts[:-1][word], cuts[1:][word]), offsets
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 

@@ -2,9 +2,9 @@
 
 References are learned over all documents: for each language, the shares of
 seven character classes and of its ``COMMON`` most frequent words (all other
-words are one bin). A document is compared with every language's reference by
-Jensen-Shannon distance (square root of the divergence in bits) and takes the
-nearest; it is kept when both distances are within bounds. The bounds widen
+words are one bin). A document is compared with the reference of the language
+whose common words make up most of it, by Jensen-Shannon distance (square root
+of the divergence in bits); it is kept when both distances are within bounds. The bounds widen
 with one over the square root of the length, because a short text strays
 further by chance; under ``MIN_WORDS`` words there is no verdict of the
 method, only the base rule.
@@ -25,14 +25,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 COMMON = 40
+#: Repeated windows up to this number are looked up, more are sorted.
+LOOKED_UP = 16
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE, CLASS_SLACK = 0.20, 1.5
 MAX_WORD_DISTANCE, WORD_SLACK = 0.50, 3.0
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL_CHARS = "#*$%&|<>"
-#: Character classes; what is left are other characters, mostly letters beyond ASCII.
-CLASSES = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789",
-           "space": " \t\n\x0b\x0c\r", "mark": ".,;:!?'\"()-", "symbol": "#*$%&|<>@+=/\\_^~[]{}`"}
+#: Character classes counted on what is left of a text without small letters and white space; those two and the
+#: other characters (mostly letters beyond ASCII) are the remaining classes.
+CLASSES = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "mark": ".,;:!?'\"()-", "symbol": SYMBOL_CHARS}
+SHARES = ("space", "lower", *CLASSES, "other")
 
 
 def _count_of(text: Column, chars: str) -> Column:
@@ -50,18 +53,27 @@ def _at(a: Column, i: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more.
 
-    Windows are 64-bit hashes of their words (lengths keep apart what joining would not); the
-    positions of repeated ones are found by sorting (hash, position), and the words that they
-    cover are counted by the gaps between positions.
+    Windows are 64-bit hashes of their words. Sorting the hashes shows the repeated ones; where these are few,
+    their positions are looked up, else (hash, position) is sorted as well. The words that they cover are counted
+    by the gaps between positions.
     """
-    n = F.size(words)
-    hashes = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, _at(words, i + 1), _at(words, i + 2)))
-    again = lambda a: F.filter(a, lambda x, j: (x["h"] == _at(a, j + 1)["h"]) | ((j > 0) & (x["h"] == _at(a, F.greatest(j - 1, F.lit(0)))["h"])))
-    return F.when(n < 3, F.lit(0)).otherwise(_with(hashes, lambda hs: F.when(
-        F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(
-        _with(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda ks: _with(
-            F.sort_array(F.transform(again(ks), lambda x: x["i"])), lambda at: F.aggregate(
-                F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(_at(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x))))))
+    hashes = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, _at(words, i + 1), _at(words, i + 2)))
+    covered = lambda at: F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(_at(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    def looked_up(hs: Column, twice: Column) -> Column:
+        return F.filter(F.transform(hs, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+
+    def by_sorting(hs: Column) -> Column:
+        keyed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        again = _with(keyed, lambda a: F.filter(a, lambda x, j: (x["h"] == _at(a, j + 1)["h"]) | ((j > 0) & (x["h"] == _at(a, F.greatest(j - 1, F.lit(0)))["h"]))))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+    def count(hs: Column) -> Column:
+        twice = _with(F.sort_array(hs), lambda a: F.array_distinct(F.filter(a, lambda h, j: h == _at(a, j + 1))))
+        return _with(twice, lambda d: F.when(F.size(d) == 0, F.lit(0)).otherwise(
+            _with(F.when(F.size(d) <= LOOKED_UP, looked_up(hs, d)).otherwise(by_sorting(hs)), covered)))
+
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_with(hashes, count))
 
 
 def _with(value: Column, use) -> Column:
@@ -74,22 +86,28 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
     rows = rows.withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, CLASSES["space"], "")) > 0)
-    n = [_count_of(F.col("text"), chars).alias(name) for name, chars in CLASSES.items()]
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    rows = rows.withColumn("_rest", F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")).withColumn("chars", F.char_length("text"))
+    word_chars = F.char_length(F.array_join("words", ""))
     return rows.select(
-        "doc_id", "lang", "words", F.char_length("text").alias("chars"), *n,
+        "doc_id", "lang", "words", "chars", word_chars.cast("long").alias("word_chars"), (F.col("chars") - word_chars).alias("space"),
+        *[_count_of(F.col("_rest"), chars).alias(name) for name, chars in CLASSES.items()], F.char_length("_rest").alias("_left"),
         F.size("words").cast("long").alias("n_words"),
-        _count_of(F.col("text"), SYMBOL_CHARS).cast("long").alias("n_symbols"),
         _with(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-    ).withColumn("word_chars", (F.col("chars") - F.col("space")).cast("long"))
+    ).withColumns({"lower": F.col("chars") - F.col("space") - F.col("_left"), "other": F.col("_left") - sum((F.col(c) for c in CLASSES), F.lit(0)),
+                   "n_symbols": F.col("symbol").cast("long")})
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
     """By language: shares of the character classes, and of its most frequent words. Their size is languages x (7 + COMMON)."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("lang is not null")
-    classes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"), *[F.sum(_count_of(F.col("text"), c)).alias(k) for k, c in CLASSES.items()]).collect()
-    counted = stored(rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    rest = F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")
+    parts = rows.select("lang", F.char_length("text").alias("chars"), F.char_length(F.regexp_replace("text", SPACE, "")).alias("dense"), rest.alias("rest"))
+    classes = parts.groupBy("lang").agg(F.sum("chars").alias("chars"), F.sum("dense").alias("dense"), F.sum(F.char_length("rest")).alias("left"),
+                                        *[F.sum(_count_of(F.col("rest"), c)).alias(k) for k, c in CLASSES.items()]).collect()
+    counted = stored(rows.select("lang", F.explode(F.split("text", SPACE, -1)).alias("word")).filter("word != ''")
+                     .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     totals = {r["lang"]: (r["total"], r["top"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("top")).collect()}
     if not totals:
         return {}
@@ -100,9 +118,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         frequent.setdefault(r["lang"], []).append((-r["n"], r["word"]))
     out = {}
     for r in classes:
-        chars = max(1, r["chars"])
-        shares = {k: r[k] / chars for k in CLASSES}
-        shares["other"] = max(0.0, 1 - sum(shares.values()))
+        n = {k: r[k] for k in CLASSES}
+        n |= {"space": r["chars"] - r["dense"], "lower": r["dense"] - r["left"], "other": r["left"] - sum(n.values())}
+        shares = {k: n[k] / max(1, r["chars"]) for k in SHARES}
         best = sorted(frequent.get(r["lang"], []))[:common]
         out[r["lang"]] = shares, {w: -n / totals[r["lang"]][0] for n, w in best}
     return dict(sorted(out.items()))
@@ -117,9 +135,7 @@ def _divergence_part(p: Column, q: Column) -> Column:
 
 def _class_distance(reference: dict[str, float]) -> Column:
     chars = F.greatest(F.col("chars"), F.lit(1))
-    shares = {k: F.col(k) / chars for k in CLASSES}
-    shares["other"] = F.greatest(F.lit(0.0), 1 - sum(shares.values(), F.lit(0.0)))
-    return F.sqrt(F.greatest(F.lit(0.0), sum((_divergence_part(shares[k], F.lit(float(q))) for k, q in reference.items()), F.lit(0.0))))
+    return F.sqrt(F.greatest(F.lit(0.0), sum((_divergence_part(F.col(k) / chars, F.lit(float(reference[k]))) for k in SHARES), F.lit(0.0))))
 
 
 def _word_distance(counts: Column, total: Column, reference: dict[str, float]) -> Column:
@@ -152,9 +168,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         common = sorted({w for _, words in known.values() for w in words})
         hits = F.sort_array(F.filter("words", lambda w: w.isin(common)))
         rows = rows.withColumn("counts", _with(hits, _run_lengths))
+        # the language whose common words make up most of the text; of equal ones the first
+        weight = lambda words: F.aggregate(F.filter("counts", lambda x: x["w"].isin(list(words))), F.lit(0), lambda a, x: a + x["n"])
+        order = F.array(*[F.struct(weight(words).alias("n"), F.lit(-i).alias("i")) for i, (_, words) in enumerate(known.values())])
+        rows = rows.withColumn("_language", -F.array_max(order)["i"])
         total = F.col("n_words").cast("double")
-        distances = F.array(*[F.struct(_word_distance(F.col("counts"), total, words).alias("word"), _class_distance(shares).alias("class")) for shares, words in known.values()])
-        rows = rows.withColumn("nearest", F.array_min(distances))
+        near = F.coalesce(*[F.when(F.col("_language") == i, F.struct(_word_distance(F.col("counts"), total, words).alias("word"), _class_distance(shares).alias("class")))
+                            for i, (shares, words) in enumerate(known.values())])
+        rows = rows.withColumn("nearest", near)
     else:
         rows = rows.withColumn("nearest", F.struct(F.lit(0.0).alias("word"), F.lit(0.0).alias("class")))
     slack = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))

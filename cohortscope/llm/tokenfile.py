@@ -20,7 +20,7 @@ order by content; extra columns are not read; an empty table gives no shard.
 
 from __future__ import annotations
 
-import zlib
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, spread, word_stream
+from .common import hash_words, runs_of_words, shared_dir, slices, spread
 
 END_ID = 1
 SHARD_IDS = 1 << 18
@@ -38,7 +38,7 @@ TASK_CHARS = 16_000_000
 ROUNDS = 4
 MIN_PAIRS = 4
 PAIRS_PER_ROUND = 2_048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 
 SCHEMA = ("part int, seq int, doc_ids array<long>, lengths array<long>, first int, rules binary, "
           "rule_lengths binary, symbols binary, n_ids long")
@@ -49,40 +49,40 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = MIN
              most: int = PAIRS_PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rules is an (r, 2) array; rule i defines symbol ``first + i``."""
     seq, rules, top = ids.astype(np.int64), [], first
+    bits = max(10, min(20, int(len(ids)).bit_length() - 1))
     for _ in range(rounds):
         if len(seq) < 2:
             break
         pairs = seq[:-1] * top + seq[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        # a pair is at most as frequent as its bucket: only pairs of full buckets are sorted and counted
+        bucket = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        ordered = np.sort(pairs[(np.bincount(bucket, minlength=1 << bits) >= least)[bucket]])
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else ordered
         counts = np.diff(np.concatenate((starts, [len(ordered)])))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        if len(often) > most:
-            often = often[np.argsort(-counts[often], kind="stable")[:most]]
-        often.sort()
+        if len(often) > most:  # equal counts at the limit: by pair
+            limit = np.partition(counts[often], -most)[-most]
+            above, level = often[counts[often] > limit], often[counts[often] == limit]
+            often = np.sort(np.concatenate((above, level[:most - len(above)])))
+        often = often[np.argsort(-counts[often], kind="stable")]  # most frequent first, equal ones by pair
         chosen = ordered[starts[often]]
-        rank_of = np.empty(len(chosen), np.int32)
-        rank_of[np.argsort(-counts[often], kind="stable")] = np.arange(len(chosen), dtype=np.int32)
-        left, right = np.zeros(top, bool), np.zeros(top, bool)
-        left[chosen // top], right[chosen % top] = True, True
-        maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        at = np.searchsorted(chosen, pairs[maybe])
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pairs[maybe]
         none = len(chosen)
+        place = ((chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        rank_at, pair_at = np.full(1 << bits, none, np.int32), np.full(1 << bits, -1, np.int64)
+        rank_at[place[::-1]], pair_at[place[::-1]] = np.arange(none - 1, -1, -1, dtype=np.int32), chosen[::-1]  # the first in a bucket wins
         rank = np.full(len(seq) + 1, none, np.int32)  # one sentinel on either side
-        rank[maybe[hit] + 1] = rank_of[at[hit]]
+        rank[1:-1] = np.where(pair_at[bucket] == pairs, rank_at[bucket], none)
         here = rank[1:-1]
         take = np.flatnonzero((here < rank[:-2]) & (here <= rank[2:]) & (here < none))
         if not len(take):
             break
-        used, new = np.unique(here[take], return_inverse=True)
-        by_rank = np.empty(len(chosen), np.int64)
-        by_rank[rank_of] = chosen
-        rules.append(np.stack((by_rank[used] // top, by_rank[used] % top), 1))
-        seq[take] = top + new
+        used = np.flatnonzero(np.bincount(here[take], minlength=none))
+        number = np.zeros(none, np.int64)
+        number[used] = top + np.arange(len(used))
+        rules.append(np.stack((chosen[used] // top, chosen[used] % top), 1))
+        seq[take] = number[here[take]]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq = seq[keep]
@@ -133,52 +133,93 @@ def read_range(symbols: np.ndarray, rules: np.ndarray, rule_lengths: np.ndarray,
 
 
 # ------------------------------------------------------------- encoding
+class Encoder:
+    """The tokenizer with the ids of words it has met.
+
+    It drops white space, so a text's ids are its words' ids in a row. Known
+    words are found by their 64-bit hash in a table with two probes; a word
+    that is not there is encoded by the library.
+    """
+
+    BITS = 22
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot_hash, self.slot_word = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        self.flat, self.used = np.empty(1 << 20, np.int32), 0
+        self.starts, self.lengths, self.words = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64), 0
+
+    def _probes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64), ((h >> np.uint64(20)) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        one, two = self._probes(h)
+        word = np.where(self.slot_hash[one] == h, self.slot_word[one], -1)
+        lost = np.flatnonzero(word < 0)
+        word[lost] = np.where(self.slot_hash[two[lost]] == h[lost], self.slot_word[two[lost]], -1)
+        return word
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> np.ndarray:
+        """Numbers of new distinct words."""
+        # a plain word with one trailing mark is two pre-tokens; its letters may stand in the batch as well
+        plain = [len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() for w in words]
+        parts = dict.fromkeys([w[:-1] if p else w for w, p in zip(words, plain, strict=True)] + [".", ","])
+        keys = list(parts)
+        ids = dict(zip(keys, (e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)), strict=True))
+        found = [ids[w[:-1]] + ids[w[-1]] if p else ids[w] for w, p in zip(words, plain, strict=True)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total, n = int(lengths.sum()), len(found)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[:self.used], np.empty(self.used + 2 * total, np.int32)))
+        if self.words + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros(n + CACHE_WORDS, np.int64))) for x in (self.starts, self.lengths))
+        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
+        self.starts[self.words:self.words + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.words:self.words + n] = lengths
+        number = np.arange(self.words, self.words + n)
+        self.used, self.words = self.used + total, self.words + n
+        for probe in self._probes(h):
+            free = self.slot_word[probe] < 0
+            self.slot_hash[probe[free]], self.slot_word[probe[free]] = h[free], number[free]
+        return number
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text), without end ids."""
+        raw, cuts, is_word, offsets = runs_of_words(texts, "ascii")
+        if not len(raw):
+            return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        if self.words > CACHE_WORDS:
+            self._clear()
+        start, end = cuts[:-1][is_word], cuts[1:][is_word]
+        h = hash_words(raw, start, end)
+        word = self._find(h)
+        lost = np.flatnonzero(word < 0)
+        if len(lost):
+            new, first, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            at = lost[first]
+            data = raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            word[lost] = self._learn(new, words)[back]
+        per_word = self.lengths[word]
+        total = np.concatenate(([0], np.cumsum(per_word)))
+        return self.flat[spread(self.starts[word], per_word)], np.diff(total[offsets])
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def encode_words(path: str, words: list[str]) -> list[np.ndarray]:
-    """Ids of each word. The tokenizer drops white space, so a text's ids are its words' ids in a row."""
-    tok, cache = _tokenizer(path)
-    get = cache.get
-    out = [get(w) for w in words]
-    miss = [i for i, x in enumerate(out) if x is None]
-    if miss:
-        if len(cache) + len(miss) > CACHE_WORDS:
-            cache.clear()
-        # a plain word with one trailing mark is two pre-tokens; its letters are often known already
-        stems, marks = [], []
-        for i in miss:
-            w = words[i]
-            plain = len(w) > 1 and w[-1] in ".," and w[:-1].isalpha()
-            stems.append(w[:-1] if plain else w)
-            marks.append(w[-1] if plain else "")
-        wanted = [s for s in dict.fromkeys([*stems, *filter(None, marks)]) if s not in cache]
-        for w, e in zip(wanted, tok.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, np.int32)
-        for i, s, m in zip(miss, stems, marks, strict=True):
-            out[i] = cache[s]
-            if m:
-                out[i] = cache[words[i]] = np.concatenate((out[i], cache[m]))
-    return out
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, ids per text), without end ids."""
-    codes, offsets, vocabulary = word_stream(texts, lower="ascii")
-    ids = encode_words(path, vocabulary)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    starts = np.cumsum(lengths) - lengths
-    per_word = lengths[codes]
-    total = np.concatenate(([0], np.cumsum(per_word)))
-    return flat[spread(starts[codes], per_word)], np.diff(total[offsets])
+    return _encoder(path).encode(texts)
 
 
 def _shard(part: int, seq: int, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, first: int) -> pa.RecordBatch:
@@ -201,8 +242,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        tok, _ = _tokenizer(tokenizer_path)
-        first = max(tok.get_vocab_size(), end_id + 1)
+        first = max(_encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1)
         doc_ids: list = []
         lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
