@@ -12,8 +12,9 @@ reference -- measured 10x slower on the cohort scan), and it reads every key
 in a single pass over the text instead of one pass per key.
 
 A scalar lookup (``JSON_VALUE`` semantics) yields NULL for nested objects and
-arrays; ``json_tuple`` returns their JSON text, so values that start with
-``{`` or ``[`` are mapped to NULL.
+arrays; ``json_tuple`` returns their JSON text. Only for the rare values that
+start with ``{`` or ``[`` the JSON type of the field is looked up: strings stay,
+objects and arrays become NULL.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ from pyspark.sql import functions as F
 from cohortscope import config
 
 
-def json_scalar(field: Column) -> Column:
-    """NULL for object/array text, the scalar string otherwise."""
-    return F.when(~(field.startswith("{") | field.startswith("[")), field)
-
-
-def _scalar_sql(col: str) -> str:
-    return f"CASE WHEN NOT (startswith({col}, '{{') OR startswith({col}, '[')) THEN {col} END"
+def _scalar_sql(value: str, text: str, key: str) -> str:
+    path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    kind = f"schema_of_variant(variant_get(try_parse_json({text}), \"{path}\", 'variant'))"
+    return (f"CASE WHEN NOT (startswith({value}, '{{') OR startswith({value}, '[')) THEN {value} "
+            f"WHEN {kind} = 'STRING' THEN {value} END")
 
 
 def with_metadata(df: DataFrame, col: str = "event_metadata", alias: str = "meta",
@@ -46,7 +45,7 @@ def with_metadata(df: DataFrame, col: str = "event_metadata", alias: str = "meta
     tmp = [f"`__{alias}_{i}`" for i in range(len(keys))]
     key_list = ", ".join("'" + k.replace("'", "\\'") + "'" for k in keys)
     out = df.selectExpr("*", f"json_tuple(`{col}`, {key_list}) AS ({', '.join(tmp)})")
-    packed = ", ".join(f"'{k}', {_scalar_sql(t)}" for k, t in zip(keys, tmp))
+    packed = ", ".join(f"'{k}', {_scalar_sql(t, f'`{col}`', k)}" for k, t in zip(keys, tmp))
     keep = [f"`{c}`" for c in df.columns]
     return out.selectExpr(*keep, f"named_struct({packed}) AS `{alias}`")
 
@@ -61,7 +60,6 @@ def meta(field: str, struct_col: str = "meta") -> Column:
     return F.col(f"{struct_col}.{field}")
 
 
-def json_value(col: str | Column, key: str) -> Column:
-    """Ad-hoc scalar lookup of one key (for keys outside the fixed list)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return json_scalar(F.get_json_object(c, f"$.{key}"))
+def json_value(col: str, key: str) -> Column:
+    """Ad-hoc scalar lookup of one key (for keys outside the fixed list) in the column named ``col``."""
+    return F.expr(_scalar_sql(f"get_json_object(`{col}`, '$.{key}')", f"`{col}`", key))

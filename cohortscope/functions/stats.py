@@ -67,9 +67,13 @@ def normal_cdf_sql(x: str) -> str:
 
 
 def exact_sum(col: Column) -> Column:
-    """Sum of values with at most 6 decimals, added as DECIMAL(38, 6): exact, so
-    the result does not depend on partitioning or summation order."""
-    return F.sum(col.cast("decimal(38,6)")).cast("double")
+    """Sum as DECIMAL(38, 18): exact for values with at most 18 decimals, so the result does not depend on
+    partitioning or summation order. Where a value does not fit (or its digits would be cut), the plain sum."""
+    exact = col.try_cast("decimal(38,18)")
+    fits = F.coalesce((exact.cast("double") == col.cast("double")), F.lit(False))
+    whole = F.coalesce(F.bool_and(F.when(col.isNotNull(), fits)), F.lit(True))
+    total = F.try_sum(exact).cast("double")
+    return F.when(whole & (total.isNotNull() | (F.count(col) == 0)), total).otherwise(F.sum(col.cast("double")))
 
 
 def exact_avg(col: Column) -> Column:

@@ -1,24 +1,21 @@
 """Bootstrap of the difference of a statistic between two arms, per segment/metric.
 
 Resampling n values with replacement is a multinomial draw of n over the
-distinct values weighted by their counts. So each ``(segment, metric, arm)``
+distinct values weighted by their counts, so each ``(segment, metric, arm)``
 sample is first reduced to its value histogram (one map-side combined
-aggregation); a 0/1 metric is two rows per arm at any n. Replicates are then
-drawn in blocks: the histogram rows are replicated once per block (at most
-``ceil(B / block_reps)`` blocks, fewer when B x distinct values is small),
-and ``applyInPandas`` on
-``(segment, metric, block)`` draws that block's replicates for both arms and
-returns one difference per replicate. Seeds are derived from
-``(seed, segment, metric, block, arm)`` and values are sorted first, so
-results do not depend on partitioning or task order.
-
-A histogram with more than ``max_hist_values`` distinct values is never sent
-to one task. Such groups use the Poisson bootstrap instead: each histogram
-row ``(x, c)`` gets a Poisson(c) weight per replicate (the sum of c
-Poisson(1) row weights), generated in ``mapInPandas`` over any partitioning,
-and partial sums ``(sum w, sum w*x)`` per replicate are combined by a
-``groupBy``. It approximates the fixed-n resample (n varies by replicate) and
-is reported in the ``method`` column.
+aggregation); a 0/1 metric is two rows per arm at any n.
+
+The multinomial is drawn down a binary tree over the values' order-preserving
+64-bit keys: a node's draws go to its left branch by a binomial with the left
+branch's share, all replicates at once. That is the same distribution, and the
+tree gives a place to cut: above ``PREFIX_BITS`` it splits n over ranges of
+values, below it each range is drawn in a task of its own. A node's generator
+is seeded by ``(seed, group, arm, node)`` and sums are added range by range,
+so the replicates do not depend on where the tree is cut, on the partitioning
+or on task order. Histograms up to ``max_task_values`` values are drawn whole
+in one task, larger ones range by range; there is one method at every size.
+A median is read off the same draws: the range counts tell in which range the
+middle ranks of a replicate fall.
 
 The summary per group is native: ``percentile`` (linear interpolation, as
 numpy) for the two one-sided bounds, ``p = min(P(d <= 0), P(d >= 0))``,
@@ -55,69 +52,149 @@ def _schema(df: DataFrame, keys, extra: str) -> str:
     return f"{cols}, {extra}"
 
 
-def _statistic(draws: np.ndarray, values: np.ndarray, n: int, statistic: str) -> np.ndarray:
-    if statistic == "sum":
-        return draws @ values
+PREFIX_BITS = 16     # sign, exponent and four bits of the fraction: sixteen ranges per octave
+MAX_TASK_VALUES = 20_000
+
+
+def order_keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned keys in the order of the values."""
+    bits = (np.asarray(values, dtype=float) + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _split(keys, counts, draws, seeds, low_bit, leaf, bit=63):
+    """Deals ``draws`` (one number per replicate) down the tree; ``leaf(first, end, draws)`` gets
+    every node that differs in no bit from ``low_bit`` upwards, in order of the values."""
+    todo = [(0, len(keys), draws, bit)]
+    while todo:
+        lo, hi, mine, bit = todo.pop()
+        differ = int(keys[lo]) ^ int(keys[hi - 1])
+        bit = differ.bit_length() - 1
+        if bit < low_bit:
+            leaf(lo, hi, mine)
+            continue
+        middle = lo + int(np.searchsorted(keys[lo:hi], np.uint64(int(keys[lo]) >> bit << bit | 1 << bit)))
+        prefix = int(keys[lo]) >> bit
+        rng = np.random.default_rng([*seeds, bit, prefix >> 32, prefix & 0xFFFFFFFF])
+        left = int(counts[lo:middle].sum())
+        share = left / (left + int(counts[middle:hi].sum()))
+        lefts = rng.binomial(mine, share)
+        todo.append((middle, hi, mine - lefts, bit))
+        todo.append((lo, middle, lefts, bit))
+
+
+def _ranges(keys, counts, n_boot, seeds):
+    """(first, end, draws) of every value range, in order."""
+    out = []
+    _split(keys, counts, np.full(n_boot, int(counts.sum()), np.int64), seeds, 64 - PREFIX_BITS,
+           lambda lo, hi, d: out.append((lo, hi, d)))
+    return out
+
+
+def _in_range(values, keys, counts, draws, before, n, seeds, statistic):
+    """Replicates' share of the statistic from one range: its sum, or half the sum of the middle
+    values that fall into it. ``before``: draws in lower ranges."""
+    acc, below = np.zeros(len(draws)), before.copy()
+
+    def leaf(lo, hi, d):
+        nonlocal acc, below
+        if statistic == "median":
+            for rank in ((n - 1) // 2, n // 2):
+                acc += np.where((below <= rank) & (rank < below + d), values[lo] / 2, 0.0)
+            below = below + d
+        else:
+            acc += d * values[lo]
+    _split(keys, counts, draws, seeds, 0, leaf)
+    return acc
+
+
+def _finish(total, n, statistic):
     if statistic == "count":
-        return np.full(draws.shape[0], float(n))
-    if statistic == "median":
-        cum = draws.cumsum(axis=1)
-        lo = (cum > (n - 1) // 2).argmax(axis=1)
-        hi = (cum > n // 2).argmax(axis=1)
-        return (values[lo] + values[hi]) / 2.0
-    return draws @ values / n
+        return np.full(len(total), float(n))
+    return total if statistic in ("sum", "median") else total / n
 
 
-def _draw_block(n_boot: int, seed: int, keys, max_cells: int = 4_000_000):
+def _sorted(pdf):
+    values = pdf["value"].to_numpy(dtype=float) + 0.0
+    order = np.argsort(values, kind="stable")
+    return values[order], order_keys(values[order]), pdf["cnt"].to_numpy(dtype=np.int64)[order]
+
+
+def _seeds(seed, key, role):
+    return [seed, group_hash(*key), int(role == "test")]
+
+
+def _key_frame(keys, pdf, **more):
+    return pd.DataFrame({**{k: pdf[k].iloc[:1].reset_index(drop=True) for k in keys}, **{k: [v] for k, v in more.items()}})
+
+
+def _draw_whole(n_boot: int, seed: int, keys):
+    """Replicates of one arm's statistic, drawn in one task."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [pdf[k].iat[0] for k in keys]
-        statistic, block = pdf["statistic"].iat[0], int(pdf["block"].iat[0])
-        per_block = -(-n_boot // int(pdf["n_blocks"].iat[0]))
-        first = block * per_block
-        reps = max(0, min(per_block, n_boot - first))
-        gh = group_hash(*key)
-        stats = {}
-        for role_id, role in enumerate(("clean", "test")):
-            sub = pdf[pdf["role"] == role].sort_values("value")
-            values = sub["value"].to_numpy(dtype=float)
-            counts = sub["cnt"].to_numpy(dtype=np.int64)
-            n = int(counts.sum())
-            rng = np.random.default_rng([seed, gh, block, role_id])
-            chunk = max(1, max_cells // max(1, len(values)))
-            parts = [np.empty(0)]
-            for start in range(0, reps, chunk):
-                draws = rng.multinomial(n, counts / n, size=min(chunk, reps - start))
-                parts.append(_statistic(draws, values, n, statistic))
-            stats[role] = np.concatenate(parts)
-        # replicates of a discrete metric repeat: ship (difference, count)
-        diff, freq = np.unique(stats["test"] - stats["clean"], return_counts=True)
-        out = {k: [v] * len(diff) for k, v in zip(keys, key)}
-        out.update({"diff": diff, "freq": freq.astype(np.int64)})
-        return pd.DataFrame(out)
+        key, role, statistic = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0], pdf["statistic"].iat[0]
+        values, order, counts = _sorted(pdf)
+        seeds, n, total, before = _seeds(seed, key, role), int(counts.sum()), np.zeros(n_boot), np.zeros(n_boot, np.int64)
+        for lo, hi, d in [] if statistic == "count" else _ranges(order, counts, n_boot, seeds):
+            total = total + _in_range(values[lo:hi], order[lo:hi], counts[lo:hi], d, before, n, seeds, statistic)
+            before = before + d
+        return _key_frame(keys, pdf, role=role, stats=_finish(total, n, statistic).tobytes())
+    return fn
+
+
+def _deal_ranges(n_boot: int, seed: int, keys):
+    """From the counts of the value ranges: draws of each range, and of those below it."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, role = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0]
+        pdf = pdf.sort_values("value")
+        counts, order = pdf["cnt"].to_numpy(dtype=np.int64), order_keys(pdf["value"].to_numpy(dtype=float))
+        out, before = [], np.zeros(n_boot, np.int64)
+        for lo, _, d in _ranges(order, counts, n_boot, _seeds(seed, key, role)):
+            out.append((int(pdf["bucket"].iat[lo]), d.tobytes(), before.tobytes(), int(counts.sum())))
+            before = before + d
+        frame = pd.DataFrame(out, columns=["bucket", "draws", "before", "n"])
+        for k in (*keys, "role"):
+            frame[k] = [pdf[k].iat[0]] * len(frame)
+        return frame[[*keys, "role", "bucket", "draws", "before", "n"]]
     return fn
 
 
-def _poisson_partials(n_boot: int, seed: int, keys):
-    def fn(batches):
-        for pdf in batches:
-            acc = {}
-            cols = [pdf[k].tolist() for k in keys]
-            for i, (role, value, cnt) in enumerate(zip(pdf["role"], pdf["value"], pdf["cnt"])):
-                key = tuple(c[i] for c in cols)
-                bits = int(np.float64(value).view(np.uint64))
-                rng = np.random.default_rng([seed, group_hash(*key), role == "test", bits])
-                w = rng.poisson(float(cnt), size=n_boot).astype(float)
-                sw, swx = acc.get((key, role), (0.0, 0.0))
-                acc[(key, role)] = (sw + w, swx + w * value)
-            for (key, role), (sw, swx) in acc.items():
-                out = {k: [v] * n_boot for k, v in zip(keys, key)}
-                out.update({"role": role, "rep": np.arange(n_boot, dtype=np.int64), "sw": sw, "swx": swx})
-                yield pd.DataFrame(out)
+def _draw_range(seed: int, keys):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, role, statistic = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0], pdf["statistic"].iat[0]
+        values, order, counts = _sorted(pdf)
+        draws, before = (np.frombuffer(pdf[c].iat[0], np.int64) for c in ("draws", "before"))
+        n = int(pdf["n"].iat[0])
+        part = _in_range(values, order, counts, draws, before, n, _seeds(seed, key, role), statistic)
+        return _key_frame(keys, pdf, role=role, statistic=statistic, n=n, bucket=int(pdf["bucket"].iat[0]), part=part.tobytes())
+    return fn
+
+
+def _add_ranges(keys):
+    """Sums the ranges' parts, in order (a few hundred at most: ranges have a width of their own)."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        for part in pdf.sort_values("bucket")["part"]:
+            total = total + np.frombuffer(part, float)
+        stats = _finish(total, int(pdf["n"].iat[0]), pdf["statistic"].iat[0])
+        return _key_frame(keys, pdf, role=pdf["role"].iat[0], stats=stats.tobytes())
+    return fn
+
+
+def _differences(keys):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        arm = {r: np.frombuffer(x, float) for r, x in zip(pdf["role"], pdf["stats"])}
+        # replicates of a discrete metric repeat: ship (difference, count)
+        diff, freq = np.unique(arm["test"] - arm["clean"], return_counts=True)
+        out = {k: [pdf[k].iat[0]] * len(diff) for k in keys}
+        return pd.DataFrame({**out, "diff": diff, "freq": freq.astype(np.int64)})
     return fn
 
 
 def _with_roles(samples: DataFrame, arms: DataFrame, on) -> DataFrame:
-    return (samples.join(arms, list(on), "inner")
+    a, s = arms.alias("a"), samples.alias("s")
+    joined = s.join(a, [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in on], "inner")
+    return (joined.select("s.*", "a.clean_split", "a.test_split")
             .withColumn("role", F.when(F.col("split") == F.col("clean_split"), F.lit("clean"))
                         .when(F.col("split") == F.col("test_split"), F.lit("test")))
             .where(F.col("role").isNotNull()))
@@ -141,7 +218,8 @@ def estimates_from_histograms(hist: DataFrame, keys=GROUP) -> DataFrame:
     names = [*keys, *extra, "clean_split", "test_split"]
     per = (hist.groupBy(*names, "role")
            .agg(F.sum("cnt").alias("n"), F.sum(F.col("value") * F.col("cnt")).alias("s"),
-                F.percentile("value", F.lit(0.5), F.col("cnt")).alias("med"))
+                # other statistics keep the values out of the percentile's buffer
+                F.percentile(F.when(F.col("statistic") == "median", F.col("value")), F.lit(0.5), F.col("cnt")).alias("med"))
            .withColumn("stat", F.when(F.col("statistic") == "sum", F.col("s"))
                        .when(F.col("statistic") == "count", F.col("n").cast("double"))
                        .when(F.col("statistic") == "median", F.col("med"))
@@ -162,55 +240,48 @@ def estimates_from_histograms(hist: DataFrame, keys=GROUP) -> DataFrame:
         "clean_n", "test_n")
 
 
-def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP,
-                    seed: int = config.RANDOM_SEED, block_reps: int = 1000,
-                    max_hist_values: int = 50_000, block_cells: int = 20_000_000,
-                    keys=GROUP) -> DataFrame:
+def _range_of(value: str):
+    """The top ``PREFIX_BITS`` bits of the order-preserving key of a double."""
+    @F.pandas_udf("long")
+    def prefix(v: pd.Series) -> pd.Series:
+        return pd.Series((order_keys(v.to_numpy(dtype=float)) >> np.uint64(64 - PREFIX_BITS)).astype(np.int64))
+    return prefix(F.col(value))
+
+
+def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP, seed: int = config.RANDOM_SEED,
+                    max_task_values: int = MAX_TASK_VALUES, keys=GROUP) -> DataFrame:
     """Replicate differences ``statistic(test) - statistic(clean)`` per group.
 
-    Groups with both arms present only; returns ``(*keys, diff, freq, method)``
-    where ``freq`` counts replicates with that difference.
+    Groups with both arms present only; returns ``(*keys, diff, freq)`` where
+    ``freq`` counts replicates with that difference. ``max_task_values`` says
+    where the tree is cut, not what is drawn.
     """
     keys = list(keys)
-    per_role = hist.groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("values_in_role"))
-    sizes = per_role.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roles"),
-                                        F.max("values_in_role").alias("max_values"))
-    both = sizes.where(F.col("n_roles") == 2)
-    small = both.where(F.col("max_values") <= max_hist_values)
-    large = both.where(F.col("max_values") > max_hist_values).select(*keys)
-
-    # blocks per group sized by work (replicates x distinct values), so a 0/1
-    # metric is one task and a wide histogram is spread over several
-    cells = F.lit(n_boot) * F.col("max_values")
-    n_blocks = F.least(F.lit(-(-n_boot // block_reps)),
-                       F.greatest(F.lit(1), F.ceil(cells / F.lit(block_cells)).cast("int")))
-    blocks = small.select(*keys, n_blocks.alias("n_blocks"))
-    h_small = (hist.join(blocks, keys, "inner")
-               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
-    # CPU-bound Python stage on little data: pin the task count so adaptive
+    names = [f"__k{i}" for i in range(len(keys))]  # joins on the keys keep NULL apart from every value
+    h = hist.select(*[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(n) for k, n in zip(keys, names)],
+                    *keys, "role", "statistic", F.col("value").cast("double").alias("value"), "cnt")
+    sizes = (h.groupBy(*names, "role").agg(F.count(F.lit(1)).alias("values"))
+             .groupBy(*names).agg(F.count(F.lit(1)).alias("n_roles"), F.max("values").alias("most"))
+             .where(F.col("n_roles") == 2))
+    h = h.join(sizes.select(*names, (F.col("most") > max_task_values).alias("large")), names, "inner").drop(*names)
+    # CPU-bound Python stages on little data: pin the task count so adaptive
     # coalescing does not fold every group into one task
     tasks = hist.sparkSession.sparkContext.defaultParallelism
-    exact = (h_small.repartition(tasks, *keys, "block")
-             .groupBy(*keys, "block")
-             .applyInPandas(_draw_block(n_boot, seed, keys),
-                            _schema(hist, keys, "diff double, freq long"))
-             .withColumn("method", F.lit("multinomial")))
-
-    h_large = hist.join(large, keys, "left_semi").where(F.col("statistic").isin("mean", "sum"))
-    partials = (h_large.select(*keys, "role", "statistic", "value", "cnt")
-                .repartition(tasks)
-                .mapInPandas(_poisson_partials(n_boot, seed, keys),
-                             _schema(hist, keys, "role string, rep long, sw double, swx double"))
-                .groupBy(*keys, "role", "rep").agg(F.sum("sw").alias("sw"), F.sum("swx").alias("swx")))
-    stat_kind = hist.select(*keys, "statistic").distinct()
-    p = partials.join(stat_kind, keys, "inner").withColumn(
-        "stat", F.when(F.col("statistic") == "sum", F.col("swx")).otherwise(F.col("swx") / F.col("sw")))
-    poisson = (p.groupBy(*keys, "rep")
-               .agg((F.max(F.when(F.col("role") == "test", F.col("stat")))
-                     - F.max(F.when(F.col("role") == "clean", F.col("stat")))).alias("diff"))
-               .select(*keys, "diff", F.lit(1).cast("long").alias("freq"))
-               .withColumn("method", F.lit("poisson")))
-    return exact.unionByName(poisson)
+    arm = _schema(hist, keys, "role string, stats binary")
+    whole = (h.where(~F.col("large")).repartition(tasks, *keys, "role").groupBy(*keys, "role")
+             .applyInPandas(_draw_whole(n_boot, seed, keys), arm))
+    ranged = h.where("large").withColumn("bucket", _range_of("value"))
+    totals = ranged.groupBy(*keys, "role", "bucket").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("value"))
+    dealt = (totals.groupBy(*keys, "role")
+             .applyInPandas(_deal_ranges(n_boot, seed, keys), _schema(hist, keys, "role string, bucket long, draws binary, before binary, n long")))
+    on = [ranged[k].eqNullSafe(dealt[k]) for k in (*keys, "role", "bucket")]
+    parts = (ranged.join(dealt, on, "inner")
+             .select(*[ranged[c] for c in (*keys, "role", "statistic", "bucket", "value", "cnt")], dealt["draws"], dealt["before"], dealt["n"])
+             .groupBy(*keys, "role", "bucket")
+             .applyInPandas(_draw_range(seed, keys), _schema(hist, keys, "role string, statistic string, n long, bucket long, part binary")))
+    split = parts.groupBy(*keys, "role").applyInPandas(_add_ranges(keys), arm)
+    return (whole.unionByName(split).groupBy(*keys)
+            .applyInPandas(_differences(keys), _schema(hist, keys, "diff double, freq long")))
 
 
 def summarize(diffs: DataFrame, estimates: DataFrame,
@@ -223,25 +294,25 @@ def summarize(diffs: DataFrame, estimates: DataFrame,
         F.percentile("diff", F.lit(level), freq).alias("ci_upper"),
         F.sum(F.when(F.col("diff") <= 0, freq).otherwise(0)).alias("n_le"),
         F.sum(F.when(F.col("diff") >= 0, freq).otherwise(0)).alias("n_ge"),
-        F.sum(freq).alias("n_boot"),
-        F.first("method").alias("method"))
+        F.sum(freq).alias("n_boot"))
     agg = (agg.withColumn("p_pos", F.col("n_le") / F.col("n_boot"))
            .withColumn("p_neg", F.col("n_ge") / F.col("n_boot")))
-    out = estimates.join(agg, keys, "inner")
+    a, e = agg.alias("a"), estimates.alias("e")
+    out = e.join(a, [F.col(f"a.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys], "inner")
     return out.select(
-        *estimates.columns,
+        *[F.col(f"e.{c}").alias(c) for c in estimates.columns],
         F.round("ci_lower", 6).alias("ci_lower"), F.round("ci_upper", 6).alias("ci_upper"),
         F.round(F.least("p_pos", "p_neg"), 6).alias("p_value"),
         ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"),
         F.when(F.col("observed_difference") > 0, F.lit("positive"))
         .otherwise(F.lit("negative")).alias("direction"),
-        "n_boot", "method")
+        "n_boot", F.lit("multinomial").alias("method"))
 
 
 def bootstrap_diff(samples: DataFrame, by=(), value: str = "value", split: str = "split",
                    statistic: str = "mean", n_boot: int = config.N_BOOTSTRAP,
                    level: float = config.CONFIDENCE_LEVEL, seed: int = config.RANDOM_SEED,
-                   control: str | None = None, max_hist_values: int = 50_000) -> DataFrame:
+                   control: str | None = None, max_task_values: int = MAX_TASK_VALUES) -> DataFrame:
     """One-sided bootstrap of ``statistic(test) - statistic(control)`` per ``by`` group.
 
     ``samples`` has the ``by`` columns, the arm column ``split`` and a numeric
@@ -270,15 +341,15 @@ def bootstrap_diff(samples: DataFrame, by=(), value: str = "value", split: str =
     hist = (_with_roles(s, arms, keys).withColumn("statistic", F.lit(statistic))
             .groupBy(*keys, "statistic", "clean_split", "test_split", "role", "value")
             .agg(F.count(F.lit(1)).alias("cnt")))
-    diffs = bootstrap_diffs(hist, n_boot, seed, max_hist_values=max_hist_values, keys=keys)
+    diffs = bootstrap_diffs(hist, n_boot, seed, max_task_values=max_task_values, keys=keys)
     out = summarize(diffs, estimates_from_histograms(hist, keys), level, keys)
     return out.drop("__all") if not by else out
 
 
 def bootstrap_segments(user_df: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                        seed: int = config.RANDOM_SEED, level: float = config.CONFIDENCE_LEVEL,
-                       axes=config.SEGMENT_AXES, block_reps: int = 1000,
-                       max_hist_values: int = 50_000) -> DataFrame:
+                       axes=config.SEGMENT_AXES,
+                       max_task_values: int = MAX_TASK_VALUES) -> DataFrame:
     """Full analysis: every analysed segment x metric with bootstrap bounds."""
     from cohortscope.operators import experiment as X
     from cohortscope.sources.sinks import cut_lineage
@@ -287,5 +358,5 @@ def bootstrap_segments(user_df: DataFrame, n_boot: int = config.N_BOOTSTRAP,
     # so a reliable checkpoint is cheap and an executor lost later never
     # re-runs the pull
     hist = cut_lineage(histograms(X.metric_samples(seg), X.segment_arms(seg)))
-    diffs = bootstrap_diffs(hist, n_boot, seed, block_reps, max_hist_values)
+    diffs = bootstrap_diffs(hist, n_boot, seed, max_task_values)
     return summarize(diffs, estimates_from_histograms(hist), level)

@@ -244,7 +244,9 @@ def retention_matrix(funnel: DataFrame, app: DataFrame, now, kind: str = "lesson
               .groupBy(*keys).pivot("bucket", labels)
               .agg(F.count_distinct("user_id")))
     size = entries.groupBy(*keys).agg(F.count_distinct("user_id").alias("cohort_users"))
-    out = size.join(active, keys, "left")
+    a = active.alias("a")  # a NULL slice is a slice of its own
+    out = (size.alias("s").join(a, [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys], "left")
+           .select("s.*", *[F.col(f"a.`{b}`") for b in labels]))
     cols = [F.round(F.coalesce(F.col(f"`{b}`"), F.lit(0)) / F.col("cohort_users"), 6)
             .alias("retention_d" + b.split()[-1]) for b in labels]
     return out.select(F.col("purch_date").alias("cohort_date"), *by, "cohort_users", *cols)

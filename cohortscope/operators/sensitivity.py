@@ -131,12 +131,14 @@ def mde_table(base: DataFrame, alpha: float = 0.05, power: float = 0.8,
                   .when(~reach, F.lit("unreachable")).otherwise(F.lit("ok")))
     # continuous
     cont = k * s * F.sqrt(F.lit(2.0) / n)
-    cont_ok = ok & s.isNotNull() & (s > 0) & (cont <= CONTINUOUS_SEARCH_MAX)
+    # the closed form has no search range; only the analysts' mode keeps the end of theirs
+    beyond = (cont > CONTINUOUS_SEARCH_MAX) if mode == "reference" else F.lit(False)
+    cont_ok = ok & s.isNotNull() & (s > 0) & ~beyond
     if mode == "reference":
         cont_ok = cont_ok & (alt != "less")
     cont_mde = F.when(cont_ok, sign * cont)
     cont_status = (F.when(~ok, F.col("status"))
-                   .when(s.isNull() | (s <= 0) | (cont > CONTINUOUS_SEARCH_MAX), F.lit("undefined"))
+                   .when(s.isNull() | (s <= 0) | beyond, F.lit("undefined"))
                    .when(~cont_ok, F.lit("unreachable")).otherwise(F.lit("ok")))
     is_bin = F.col("type") == "binary"
     return base.select(
@@ -148,9 +150,8 @@ def mde_table(base: DataFrame, alpha: float = 0.05, power: float = 0.8,
         F.when(is_bin, bin_status).otherwise(cont_status).alias("status"))
 
 
-def power_z(base: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Test statistic at the default effect (binary +5 pp, continuous +10% of mean):
-    ``z_obs`` and the critical value, i.e. everything before the normal CDF."""
+def _power_terms(base: DataFrame, alpha: float) -> DataFrame:
+    """``base`` with the effect, the test statistic at it and the critical value, none of them rounded."""
     n, p, s = F.col("n_per_group").cast("double"), F.col("baseline"), F.col("baseline_std")
     alt = F.col("alternative")
     is_bin = F.col("type") == "binary"
@@ -158,24 +159,36 @@ def power_z(base: DataFrame, alpha: float = 0.05) -> DataFrame:
     p2 = p + mde
     var_b = (p * (1 - p) + p2 * (1 - p2)) / n
     se = F.when(is_bin, F.when(var_b > 0, F.sqrt(var_b))).otherwise(s * F.sqrt(F.lit(2.0) / n))
-    z_obs = F.when((F.col("status") == "ok") & (se > 0), mde / se)
     z_crit = (F.when(alt == "greater", F.lit(z(1 - alpha)))
               .when(alt == "less", F.lit(z(alpha)))
               .otherwise(F.lit(z(1 - alpha / 2))))
-    return base.select(
-        "metric_order", "metric", "type", "alternative", "n_per_group",
-        F.round("baseline", 6).alias("baseline"), F.round(mde, 6).alias("mde_abs"),
-        F.round(z_obs, 6).alias("z_obs"), F.round(z_crit, 6).alias("z_crit"), "status")
+    return (base.withColumn("__mde", mde)
+            .withColumn("__z_obs", F.when((F.col("status") == "ok") & (se > 0), mde / se))
+            .withColumn("__z_crit", z_crit))
+
+
+_POWER_COLUMNS = ("metric_order", "metric", "type", "alternative", "n_per_group")
+
+
+def _rounded_terms():
+    return [F.round("baseline", 6).alias("baseline"), F.round("__mde", 6).alias("mde_abs"),
+            F.round("__z_obs", 6).alias("z_obs"), F.round("__z_crit", 6).alias("z_crit"), F.col("status")]
+
+
+def power_z(base: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Test statistic at the default effect (binary +5 pp, continuous +10% of mean):
+    ``z_obs`` and the critical value, i.e. everything before the normal CDF."""
+    return _power_terms(base, alpha).select(*_POWER_COLUMNS, *_rounded_terms())
 
 
 def power_table(base: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Power at the default effect for every metric (normal approximation)."""
-    zt = power_z(base, alpha)
-    zo, zc, alt = F.col("z_obs"), F.col("z_crit"), F.col("alternative")
+    terms = _power_terms(base, alpha)
+    zo, zc, alt = F.col("__z_obs"), F.col("__z_crit"), F.col("alternative")
     power = (F.when(alt == "greater", 1 - normal_cdf(zc - zo))
              .when(alt == "less", normal_cdf(zc - zo))
              .otherwise(1 - normal_cdf(zc - zo) + normal_cdf(-zc - zo)))
-    return zt.withColumn("power", F.round(power, 6))
+    return terms.select(*_POWER_COLUMNS, *_rounded_terms(), F.round(power, 6).alias("power"))
 
 
 def sample_size(user_df: DataFrame, value_col: str = "purch_amount", mde: float = 8.0,

@@ -272,10 +272,10 @@ def arm_comparison(user_df: DataFrame, by=()) -> DataFrame:
         exact_avg(F.when(v, F.col("purch_amount"))).alias("upsell_gain"),
         exact_avg(F.when(p, F.col("purch_amount"))).alias("aov")))
     long = per.unpivot([*by, "split"], list(ARM_METRICS), "metric", "value")
-    control = (long.groupBy(*by, "metric")
-               .agg(F.min_by("value", "split").alias("control_value"),
-                    F.min("split").alias("control_split")))
-    out = long.join(control, [*by, "metric"], "inner")
+    # the rows here are arms x metrics of each slice; a window keeps NULL slices and reads the pull once
+    slice_ = Window.partitionBy(*by, "metric")
+    out = (long.withColumn("control_value", F.min_by("value", "split").over(slice_))
+           .withColumn("control_split", F.min("split").over(slice_)))
     rel = F.when(F.col("control_value") != 0,
                  (F.col("value") - F.col("control_value")) / F.col("control_value") * 100)
     return out.select(*by, "split", "metric", F.round("value", 6).alias("value"), "control_split",

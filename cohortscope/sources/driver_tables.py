@@ -147,19 +147,25 @@ def derive(spark: SparkSession, sf_dir: str) -> Sources:
 
 _INPUTS = ("events", "orders", "conversations")
 LAYOUT_VERSION = 2  # bump when the stored layout or marker format changes
-_LOADED: dict[tuple[int, str], Sources] = {}
+_LOADED: dict[tuple, Sources] = {}
 _LOCK = threading.Lock()
 
 
-def _fingerprint(sf_dir: str) -> str:
-    """Input paths, sizes and modification times, plus the adapter text itself."""
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Input files with sizes and modification times, as the Hadoop file system lists them, plus the adapter text itself."""
     h = hashlib.sha1()
-    h.update(f"layout-{LAYOUT_VERSION}:{os.path.abspath(sf_dir)}".encode())
+    h.update(f"layout-{LAYOUT_VERSION}:{sf_dir.rstrip('/')}".encode())
+    jvm = spark.sparkContext._jvm
     for name in _INPUTS:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            continue
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update(f"{name}:{sorted(found)}".encode())
     for items in (BASE_SELECT, FUNNEL_SELECT, APP_SELECT, PAYMENTS_SELECT, TICKETS_SELECT):
         h.update("\x1f".join(items).encode())
     return h.hexdigest()[:16]
@@ -188,7 +194,7 @@ def materialize(spark: SparkSession, sf_dir: str, root: str) -> str:
     (naming that directory) is written last, so a concurrent reader only ever
     sees a complete build.
     """
-    base = f"{root.rstrip('/')}/cohortscope_sources/{_fingerprint(sf_dir)}"
+    base = f"{root.rstrip('/')}/cohortscope_sources/{_fingerprint(spark, sf_dir)}"
     ready = f"{base}/_READY"
     if _exists(spark, ready):
         return spark.read.json(ready).first()["path"]
@@ -214,7 +220,8 @@ def load(spark: SparkSession, sf_dir: str, materialized: bool | None = None) ->
     pruning and row-group skipping as on the real tables. Without one (or
     with ``COHORTSCOPE_MATERIALIZE=0``), the lazy projections are returned.
     """
-    key = (id(spark), os.path.abspath(sf_dir))
+    # frames live as long as their application; inputs that change are read anew
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip('/'), materialized, os.environ.get("COHORTSCOPE_MATERIALIZE"), _fingerprint(spark, sf_dir))
     with _LOCK:
         if key not in _LOADED:
             _LOADED[key] = _load(spark, sf_dir, materialized)

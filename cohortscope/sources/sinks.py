@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_extract(df: DataFrame, path: str, partition_col: str | None = None) -> None:
-    """Daily-refreshed extract: only the partitions present in ``df`` are replaced."""
+def write_extract(df: DataFrame, path: str, partition_col: str | None = None, refreshed=()) -> None:
+    """Daily-refreshed extract: the partitions present in ``df`` are replaced.
+
+    ``refreshed`` lists the partition values (a few days) that ``df`` was computed for; those
+    of them without a row lose their old partition.
+    """
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if partition_col:
         w = w.partitionBy(partition_col)
     w.parquet(path)
+    if partition_col and refreshed:
+        left = {r[0] for r in df.select(partition_col).distinct().collect()}
+        drop_partitions(df.sparkSession, path, partition_col, [v for v in refreshed if v not in left])
+
+
+def drop_partitions(spark: SparkSession, path: str, partition_col: str, values) -> None:
+    """Remove the partition folders of ``values`` through the Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    for v in values:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_col}={v}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.sources.events import EVENT_SCHEMA
+from cohortscope.sources.sinks import drop_partitions
 
 DailyQuery = Callable[[DataFrame], DataFrame]
 
@@ -39,8 +40,12 @@ def refresh_days(spark: SparkSession, table_path: str, days: DataFrame, query: D
         return
     table = spark.read.schema(EVENT_SCHEMA).parquet(table_path)
     part = table.where(F.col(date_col).isin(dates))
-    (query(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    result = query(part)
+    (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(date_col).parquet(out_path))
+    # a touched day whose result has no rows is not in the write: its old partition goes
+    left = {r[0] for r in result.select(date_col).distinct().collect()}
+    drop_partitions(spark, out_path, date_col, [d for d in dates if d not in left])
 
 
 def start(spark: SparkSession, table_path: str, query: DailyQuery, out_path: str,

@@ -31,6 +31,6 @@ def test_matches_oracle(spark, con, name):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"summary_report"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SF_SMALL).count() > 0

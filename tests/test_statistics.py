@@ -99,13 +99,24 @@ def test_bootstrap_interval_close_to_normal_theory(spark):
     assert abs((r.ci_upper - r.ci_lower) - 2 * 1.6449 * se) < 0.15 * 2 * 1.6449 * se
 
 
-def test_poisson_path_for_wide_histograms(spark):
-    ud = _user_df(spark, _rows(seed=9, n=300)).withColumn(
-        "purch_amount", F.rand(3) * 100 + F.when(F.col("split") == "B", 30).otherwise(0))
-    res = {r.metric: r for r in B.bootstrap_segments(ud, n_boot=500, axes=(), max_hist_values=10).collect()}
-    gain = res["Upsell Gain (on View)"]
-    assert gain.method == "poisson" and gain.significant and gain.direction == "positive"
-    assert res["Upsell Rate (on View)"].method == "multinomial"
+def test_bootstrap_does_not_depend_on_where_it_is_cut(spark):
+    import numpy as np
+    rnd = np.random.default_rng(6)
+    rows = [("g", "ctl", float(x)) for x in rnd.normal(20, 8, 700)] + [("g", "trt", float(x)) for x in rnd.normal(22, 8, 600)]
+    rows += [(None, "ctl", -1.5), (None, "ctl", 0.0), (None, "trt", 4.0), (None, "trt", 4.5)]
+    df = spark.createDataFrame(rows, "grp string, arm string, v double")
+    for statistic in ("mean", "median", "sum", "count"):
+        whole, cut = (sorted((str(r.grp), *r[1:]) for r in B.bootstrap_diff(
+            df.repartition(parts), by=("grp",), value="v", split="arm", statistic=statistic, n_boot=400, max_task_values=most).collect())
+            for parts, most in ((3, 10_000), (9, 1)))
+        assert whole == cut and len(whole) == 2  # the NULL group is a group
+        if statistic != "count":
+            a, b = (np.array([x[2] for x in rows if x[0] and x[1] == arm]) for arm in ("ctl", "trt"))
+            fn = {"mean": np.mean, "median": np.median, "sum": np.sum}[statistic]
+            ref = [fn(rnd.choice(b, b.size)) - fn(rnd.choice(a, a.size)) for _ in range(4000)]
+            got = next(r for r in B.bootstrap_diff(df, by=("grp",), value="v", split="arm", statistic=statistic, n_boot=4000, max_task_values=50).collect() if r.grp)
+            width = np.percentile(ref, 95) - np.percentile(ref, 5)
+            assert abs(got.ci_lower - np.percentile(ref, 5)) < 0.1 * width and abs(got.ci_upper - np.percentile(ref, 95)) < 0.1 * width
 
 
 def test_segments_skip_small_and_one_arm(spark):
@@ -175,3 +186,26 @@ def test_bootstrap_diff_statistics_against_numpy(spark):
     assert cnt.observed_difference == -50 and cnt.ci_lower == cnt.ci_upper == -50
     flipped = B.bootstrap_diff(df, value="v", split="arm", control="trt", n_boot=500).first()
     assert flipped.clean_split == "trt" and flipped.observed_difference < 0
+
+
+def test_exact_sum_keeps_small_and_large_values(spark):
+    from cohortscope.functions.stats import exact_avg, exact_sum
+    df = spark.createDataFrame([(4e-7, 1e30), (3e-7, 2e30), (None, None)], "a double, b double")
+    r = df.agg(exact_avg(F.col("a")).alias("a"), exact_sum(F.col("b")).alias("b")).first()
+    assert abs(r.a - 3.5e-7) < 1e-18 and abs(r.b / 3e30 - 1) < 1e-12
+    assert df.limit(0).agg(exact_sum(F.col("a")).alias("a")).first().a is None
+
+
+def test_json_strings_that_look_like_objects(spark):
+    from cohortscope.functions import json_fields as J
+    text = '{"age": "{x", "email": "[a]b", "country_code": {"a": 1}, "upsell_order": [1]}'
+    df = J.with_metadata(spark.createDataFrame([(text,)], "event_metadata string"), keys=["age", "email", "country_code", "upsell_order"])
+    assert tuple(df.first().meta) == ("{x", "[a]b", None, None)
+    assert df.select(J.json_value("event_metadata", "age")).first()[0] == "{x"
+
+
+def test_null_slices_are_slices(spark):
+    from cohortscope.operators import upsell
+    ud = _user_df(spark, _rows(n=80)).withColumn("subscription", F.when(F.col("geo") == "T1", F.lit("1Week")))
+    got = {(r.subscription, r.split) for r in upsell.arm_comparison(ud, by=("subscription",)).collect()}
+    assert got == {(s, a) for s in ("1Week", None) for a in ("A", "B")}
