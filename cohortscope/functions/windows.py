@@ -112,6 +112,24 @@ def date_range(col: str | Column, start=None, end=None) -> Column:
     return cond
 
 
+def day_bounds(df: DataFrame, lo=None, hi=None, ts: str = TS, date_col: str = DATE_COL) -> Column:
+    """Condition ``DATE(ts)`` within [lo, hi] (either end may be open), on the timestamp
+    and, where the frame has it, on the partition column. As a condition it can stand
+    in a disjunction of event kinds; the partitions read are then the union of theirs.
+    """
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col(ts) >= ts_lit(as_date(lo)))
+    if hi is not None:
+        cond = cond & (F.col(ts) < ts_lit(as_date(hi) + dt.timedelta(days=1)))
+    if _has(df, date_col):
+        if lo is not None:
+            cond = cond & (F.col(date_col) >= F.lit(as_date(lo)))
+        if hi is not None:
+            cond = cond & (F.col(date_col) <= F.lit(as_date(hi)))
+    return cond
+
+
 def micros_to_ts(col: str | Column) -> Column:
     """Epoch microseconds -> TIMESTAMP_NTZ (UTC wall clock, session-TZ free)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -3,22 +3,23 @@
 The analysts' pull joins subscribe events with signup clicks, upsell views,
 purchase clicks, purchases, unsubscribes, settled cash, declines, tickets and
 the insufficient-fund aggregates, and then DISTINCTs the projection. The
-join multiplies rows by the per-user count of every event kind. Here each
-side is first reduced to the distinct values it contributes per join key:
+join multiplies rows by the per-user count of every event kind. Here the app
+log is read once and reduced to one row per ``(user, slot)`` (``app_facts``):
 
-* signup click: existence only -> ``left_semi``;
-* view: distinct ``(user, split, order)`` (IP test applied to the view row,
+* signup click: existence only;
+* view: the distinct splits of the slot (IP test applied to the view row,
   which is what the WHERE clause does to the LEFT JOIN);
-* purchase click: distinct ``(user, order, insufficient_fund == 'true')``;
-* purchase: distinct ``(user, order, upsell_amount)``;
+* purchase click: the distinct values of ``insufficient_fund == 'true'``;
+* purchase: the distinct amounts;
 * unsubscribe: ``min``/``max`` time per user -- ``unsub12h`` is 1 for some
   unsubscribe row iff the earliest is < 13 h after subscribe (whole hours,
   truncated) and 0 for some row iff the latest is >= 13 h after;
 * cash / declines: distinct values per ``(user, upsell slot)`` after mapping
   the rebill code to its slot, which turns the OR join into an equi-join.
 
-The result is the same DISTINCT row set, with joins whose sides are bounded
-by distinct values rather than event counts.
+The sets hold distinct splits and prices of one slot, not events, and are
+combined map-side, so a hot user costs one partial row per task and slot.
+The result is the same DISTINCT row set.
 """
 
 from __future__ import annotations
@@ -86,18 +87,68 @@ def insufficient_fund_events(app: DataFrame, now, days: int = 30) -> DataFrame:
             .unionByName(click.withColumn("kind", F.lit("click"))))
 
 
-def _register_events(app: DataFrame, name: str) -> DataFrame:
-    df = events_named(app, name)
-    df = (J.with_metadata(df)
-          .transform(J.with_query_parameters))
-    return df.where(J.meta("source", "qp") == config.REGISTER_SOURCE)
-
-
 def _rebill_slot(df: DataFrame) -> DataFrame:
     return (df.withColumn("upsell_order", enrich.upsell_order_of("rebill_count"))
             .where(F.col("upsell_order").isNotNull()))
 
 
+SLOT_EVENTS = (config.UPSELL_VIEW, config.UPSELL_PURCHASE_CLICK, config.UPSELL_PURCHASE)
+SLOT_KEYS = ("upsell_version", "upsell_order", "insufficient_fund", "upsell_amount")
+
+
+def app_facts(app: DataFrame, now, days: int = 30, arms=None, view_start=None, view_end=None,
+              app_days: int | None = None) -> DataFrame:
+    """What each user did in each upsell slot, one row per ``(user_id, upsell_order)``.
+
+    ``__views`` / ``__ttps`` / ``__buys`` are the distinct splits, click flags and
+    amounts of the slot; ``__signup``, ``__viewer``, ``__u_min``, ``__u_max``,
+    ``__ifv`` and ``__ifc`` are the user's, repeated on each of the user's slots.
+    Events without a slot are under the NULL slot, whose clicks and purchases match
+    no view. View dates prune the view's partitions in a scan of their own; all
+    other kinds share one scan. Only slot events have their JSON parsed.
+    """
+    today = W.as_date(now)
+    name = F.col("event_name")
+    span = (W.day_bounds(app) if app_days is None
+            else W.day_bounds(app, today - dt.timedelta(days=app_days), today))
+    recent = W.day_bounds(app, today - dt.timedelta(days=days))
+    shown = (name == config.UPSELL_VIEW) & span & W.day_bounds(app, view_start, view_end)
+    other = ((name.isin(config.SIGNUP_CLICK, config.UNSUBSCRIBED, *SLOT_EVENTS[1:]) & span)
+             | (name.isin(config.INSUFFICIENT_FUND_VIEW, config.INSUFFICIENT_FUND_CLICK) & recent))
+    cols = ["user_id", "timestamp", "event_name", "ip", "referrer",
+            *[F.when(name.isin(*SLOT_EVENTS), F.col(c)).alias(c) for c in ("event_metadata", "query_parameters")]]
+    if view_start is None and view_end is None:
+        scan = app.where(shown | other).select(*cols)
+    else:
+        scan = app.where(shown).select(*cols).unionByName(app.where(other).select(*cols))
+    m = J.meta
+    e = (J.with_metadata(scan.where(F.col("user_id").isNotNull()), keys=SLOT_KEYS)
+         .transform(J.with_query_parameters)
+         .where(~name.isin(*SLOT_EVENTS) | (m("source", "qp") == config.REGISTER_SOURCE))
+         .select("user_id", "timestamp", "event_name", "ip", m("upsell_order").alias("upsell_order"),
+                 m("upsell_amount").alias("upsell_amount"),
+                 enrich.experiment_split(m("upsell_version"), "referrer").alias("split"),
+                 F.coalesce(m("insufficient_fund") == "true", F.lit(False)).alias("short")))
+    slot = F.col("upsell_order").isNotNull()
+    view = (name == config.UPSELL_VIEW) & (F.col("ip") != config.EXCLUDED_IP)
+    if arms is not None:
+        view = view & F.col("split").isin(*arms)
+    left = F.when(name == config.UNSUBSCRIBED, F.col("timestamp"))
+    per_slot = e.groupBy("user_id", "upsell_order").agg(
+        F.collect_set(F.when(view, F.struct("split"))).alias("__views"),
+        F.collect_set(F.when(slot & (name == config.UPSELL_PURCHASE_CLICK), F.struct("short"))).alias("__ttps"),
+        F.collect_set(F.when(slot & (name == config.UPSELL_PURCHASE), F.struct("upsell_amount"))).alias("__buys"),
+        F.max(name == config.SIGNUP_CLICK).alias("__signup"),
+        F.min(left).alias("__u_min"), F.max(left).alias("__u_max"),
+        F.max(name == config.INSUFFICIENT_FUND_VIEW).alias("__ifv"),
+        F.max(name == config.INSUFFICIENT_FUND_CLICK).alias("__ifc"))
+    user = Window.partitionBy("user_id")  # a row per slot of the user
+    return per_slot.withColumns({
+        "__viewer": F.max(F.size("__views") > 0).over(user),
+        **{c: F.max(c).over(user) for c in ("__signup", "__u_max", "__ifv", "__ifc")},
+        "__u_min": F.min("__u_min").over(user)})
+
+
 def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                       tickets: DataFrame, now, days: int = 30, arms=None,
                       view_start=None, view_end=None, app_days: int | None = None,
@@ -130,31 +181,11 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                    m("funnel_version").alias("funnel_version"),
                    m("quiz_version").alias("quiz_version")))
 
-    scan = W.last_days(app, app_days, now) if app_days is not None else app
-    signup = events_named(scan, config.SIGNUP_CLICK).select("user_id")
-    views = _register_events(scan, config.UPSELL_VIEW)
-    views = views.where(F.col("ip") != config.EXCLUDED_IP)
-    views = views.select("user_id", "timestamp",
-                         enrich.experiment_split(m("upsell_version"), "referrer").alias("split"),
-                         m("upsell_order").alias("upsell_order"))
-    if arms is not None:
-        views = views.where(F.col("split").isin(*arms))
-    if view_start is not None or view_end is not None:
-        views = views.where(W.date_range("timestamp", view_start, view_end))
-    views = (views.select("user_id", "split", "upsell_order").distinct()
-             .withColumn("__view", F.lit(1)))
-
-    ttp = (_register_events(scan, config.UPSELL_PURCHASE_CLICK)
-           .select("user_id", m("upsell_order").alias("upsell_order"),
-                   F.coalesce(m("insufficient_fund") == "true", F.lit(False)).alias("__ttp_if"))
-           .distinct().withColumn("__ttp", F.lit(1)))
-    purch = (_register_events(scan, config.UPSELL_PURCHASE)
-             .select("user_id", m("upsell_order").alias("upsell_order"),
-                     m("upsell_amount").alias("upsell_amount"))
-             .distinct().withColumn("__purch", F.lit(1)))
-    unsub = (events_named(scan, config.UNSUBSCRIBED)
-             .groupBy("user_id").agg(F.min("timestamp").alias("__u_min"),
-                                     F.max("timestamp").alias("__u_max")))
+    facts = app_facts(app, now, days, arms, view_start, view_end, app_days)
+    viewed = F.size("__views") > 0
+    if keep_non_viewers:  # the signup click gives every buyer a row without a slot
+        viewed = viewed | (F.col("upsell_order").isNull() & ~F.col("__viewer"))
+    facts = facts.where(F.col("__signup") & viewed)
     # at most two rebill codes map to one slot, so these sides stay small per
     # key without a DISTINCT of their own (the final DISTINCT collapses equal rows)
     cash = (_rebill_slot(upsell_cash(payments, now, days))
@@ -165,21 +196,15 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                         F.col("upsell_order").alias("__di_order"),
                         "declined_count", "first_declined_at"))
     tix = refund_tickets(tickets)
-    # both insufficient-fund flags from one aggregation over one scan
-    modal = W.since_days(events_named(app, config.INSUFFICIENT_FUND_VIEW,
-                                      config.INSUFFICIENT_FUND_CLICK), days, now)
-    modal = (modal.groupBy(F.col("user_id").alias("__if_user"))
-             .agg(F.max(F.col("event_name") == config.INSUFFICIENT_FUND_VIEW).alias("__ifv"),
-                  F.max(F.col("event_name") == config.INSUFFICIENT_FUND_CLICK).alias("__ifc")))
 
     # join order follows the keys so the wide side is repartitioned at most
     # three times at scale: user first, then (user, slot), then e-mail
-    rows = (fun.join(signup, "user_id", "left_semi")
-            .join(views, "user_id", "left" if keep_non_viewers else "inner")
-            .join(modal, F.col("user_id") == F.col("__if_user"), "left")
-            .join(unsub, "user_id", "left")
-            .join(ttp, ["user_id", "upsell_order"], "left")
-            .join(purch, ["user_id", "upsell_order"], "left"))
+    rows = (fun.join(facts, "user_id")
+            .withColumn("__view", F.explode_outer("__views"))
+            .withColumn("__ttp", F.explode_outer("__ttps"))
+            .withColumn("__purch", F.explode_outer("__buys"))
+            .withColumns({"split": F.col("__view.split"), "upsell_amount": F.col("__purch.upsell_amount"),
+                          "__ttp_if": F.col("__ttp.short")}))
     bought = F.col("__purch").isNotNull()
     rows = (rows
             .join(cash, bought & (F.col("user_id") == F.col("__cash_user"))
@@ -232,12 +257,13 @@ def upsell_gain(user_df: DataFrame, by=("geo",)) -> DataFrame:
 def median_time_to_ttp(app: DataFrame, user_df: DataFrame, by=("geo",)) -> DataFrame:
     """Median seconds from a user's first upsell view to the first purchase click
     of the same upsell slot, per slice (slices from the user-level table)."""
-    def first(name: str, alias: str) -> DataFrame:
-        return (_register_events(app, name)
-                .select("user_id", J.meta("upsell_order").alias("upsell_order"), "timestamp")
-                .groupBy("user_id", "upsell_order").agg(F.min("timestamp").alias(alias)))
-    t = (first(config.UPSELL_VIEW, "__view").join(first(config.UPSELL_PURCHASE_CLICK, "__ttp"),
-                                                   ["user_id", "upsell_order"], "inner")
+    name = F.col("event_name")
+    e = events_named(app, config.UPSELL_VIEW, config.UPSELL_PURCHASE_CLICK)
+    e = (J.with_metadata(e, keys=("upsell_order",)).transform(J.with_query_parameters)
+         .where((J.meta("source", "qp") == config.REGISTER_SOURCE) & J.meta("upsell_order").isNotNull()))
+    t = (e.groupBy("user_id", J.meta("upsell_order").alias("upsell_order"))
+         .agg(F.min(F.when(name == config.UPSELL_VIEW, F.col("timestamp"))).alias("__view"),
+              F.min(F.when(name == config.UPSELL_PURCHASE_CLICK, F.col("timestamp"))).alias("__ttp"))
          .where(F.col("__ttp") >= F.col("__view"))
          .select("user_id", "upsell_order",
                  F.timestamp_diff("SECOND", F.col("__view"), F.col("__ttp")).alias("secs")))
