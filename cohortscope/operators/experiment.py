@@ -133,16 +133,29 @@ def metric_samples(seg_df: DataFrame) -> DataFrame:
     return rows.unionByName(per_user)
 
 
-def segment_arms(seg_df: DataFrame, min_rows: int = config.MIN_SEGMENT_ROWS) -> DataFrame:
-    """Per segment: row count, arm count, control (smallest split name) and test arm,
-    and whether it is analysed (two arms, and >= ``min_rows`` rows except overall)."""
+def arm_order(split: str = "split", control: str | None = None) -> Column:
+    """Sort key of the arms: the named control first, else by name (NULL for a NULL arm)."""
+    c = F.col(split)
+    other = F.lit(True) if control is None else c != control
+    return F.when(c.isNotNull(), F.struct(other.alias("other"), c.alias("arm")))
+
+
+def has_control(clean: str, control: str | None) -> Column:
+    return F.lit(True) if control is None else F.col(clean) == control
+
+
+def segment_arms(seg_df: DataFrame, min_rows: int = config.MIN_SEGMENT_ROWS,
+                 control: str | None = None) -> DataFrame:
+    """Per segment: row count, arm count, control and test arm, and whether it is analysed
+    (two arms, and >= ``min_rows`` rows except overall). The control is ``control``, without
+    which a segment is not analysed, or else the smallest split name."""
     s = seg_df.groupBy("axis", "segment").agg(
         F.count(F.lit(1)).alias("segment_rows"),
         F.count_distinct("split").alias("n_arms"),
-        F.min("split").alias("clean_split"),
-        F.max("split").alias("test_split"))
+        F.min(arm_order("split", control))["arm"].alias("clean_split"),
+        F.max(arm_order("split", control))["arm"].alias("test_split"))
     ok = (F.col("n_arms") == 2) & ((F.col("axis") == "overall") | (F.col("segment_rows") >= min_rows))
-    return s.withColumn("analysed", ok)
+    return s.withColumn("analysed", ok & has_control("clean_split", control))
 
 
 def point_estimates(samples: DataFrame, arms: DataFrame) -> DataFrame:
@@ -170,14 +183,15 @@ def point_estimates(samples: DataFrame, arms: DataFrame) -> DataFrame:
 
 
 def segment_point_estimates(user_df: DataFrame, axes=config.SEGMENT_AXES,
-                            min_rows: int = config.MIN_SEGMENT_ROWS) -> DataFrame:
+                            min_rows: int = config.MIN_SEGMENT_ROWS,
+                            control: str | None = None) -> DataFrame:
     seg = with_segments(user_df, axes)
-    return point_estimates(metric_samples(seg), segment_arms(seg, min_rows))
+    return point_estimates(metric_samples(seg), segment_arms(seg, min_rows, control))
 
 
-def metric_point_estimates(user_df: DataFrame) -> DataFrame:
+def metric_point_estimates(user_df: DataFrame, control: str | None = None) -> DataFrame:
     """The overall comparison only."""
-    return segment_point_estimates(user_df, axes=())
+    return segment_point_estimates(user_df, axes=(), control=control)
 
 
 def to_long(estimates: DataFrame, experiment: str | None = None) -> DataFrame:

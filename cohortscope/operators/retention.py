@@ -96,6 +96,20 @@ def event_users(app: DataFrame, name: str, now, days: int | None = 90,
     return win(events_named(app, name), days, now).select("user_id").distinct()
 
 
+def user_profile(app: DataFrame, now, days: int = 90) -> DataFrame:
+    """One row per user with an unsubscribe, an iOS or an upsell-purchase event: first
+    unsubscribe and the two flags, from one scan (``__user, unsub_timestamp, __ios, __buyer``)."""
+    name, today = F.col("event_name"), W.as_date(now)
+    # the iOS events have no upper end, the two others end today
+    e = W.since_days(events_named(app, config.UNSUBSCRIBED, config.IOS_ACHIEVED, config.UPSELL_PURCHASE), days, now)
+    closed = W.day_bounds(e, hi=today)
+    return (e.where(F.col("user_id").isNotNull() & ((name == config.IOS_ACHIEVED) | closed))
+            .groupBy(F.col("user_id").alias("__user")).agg(
+                F.min(F.when(name == config.UNSUBSCRIBED, F.col("timestamp"))).alias("unsub_timestamp"),
+                F.max(name == config.IOS_ACHIEVED).alias("__ios"),
+                F.max(name == config.UPSELL_PURCHASE).alias("__buyer")))
+
+
 def registration_device(cohort: DataFrame, app: DataFrame, now, days: int = 90) -> DataFrame:
     """Device profile of registration views at or after one of the user's subscribes.
 
@@ -199,30 +213,28 @@ def retention_rows(funnel: DataFrame, app: DataFrame, now, cohort_days: int = 60
     cohort = cut_lineage(subscription_cohort(funnel, now, cohort_days))
     presence = _presence_by_kind(cohort, app, now, activity_days, mode)
     kinds = F.array(*[F.lit(k) for k in ACTIVITY_KINDS])
-    per_kind = cohort.select(*COHORT_COLUMNS, F.explode(kinds).alias("activity"))
-    buckets = (per_kind.join(presence, ["user_id", "purch_timestamp", "activity"], "left")
-               .select(*COHORT_COLUMNS, "activity",
+    # rows without a user match nothing: a key of their own spreads them over all tasks
+    nobody = F.concat(F.lit("\0"), F.xxhash64(*COHORT_COLUMNS).cast("string"))
+    per_kind = cohort.select(*COHORT_COLUMNS, F.coalesce("user_id", nobody).alias("__key"),
+                             F.explode(kinds).alias("activity"))
+    buckets = (per_kind.join(presence.withColumnRenamed("user_id", "__key"),
+                             ["__key", "purch_timestamp", "activity"], "left")
+               .select(*COHORT_COLUMNS, "__key", "activity",
                        F.when(F.col("bucket").isNotNull(), F.col("user_id")).alias("ret_user_id"),
                        F.coalesce("bucket", F.lit(config.RETENTION_OVERFLOW)).alias("retention_day")))
-    unsub = first_event(app, config.UNSUBSCRIBED, now, activity_days)
-    ios = event_users(app, config.IOS_ACHIEVED, now, activity_days, open_end=True)
-    buyers = event_users(app, config.UPSELL_PURCHASE, now, activity_days)
-    reg = registration_device(cohort, app, now, activity_days)
-    paths = user_path(funnel, cohort, now, path_days, cohort_days)
-    out = (buckets
-           .join(paths, "user_id", "left")
-           .join(unsub, F.col("user_id") == F.col("unsub_user_id"), "left")
-           .join(ios.select(F.col("user_id").alias("__ios")), F.col("user_id") == F.col("__ios"), "left")
-           .join(reg, F.col("user_id") == F.col("registration_id"), "left")
-           .join(buyers.select(F.col("user_id").alias("__buyer")),
-                 F.col("user_id") == F.col("__buyer"), "left"))
+    profile = (user_profile(app, now, activity_days)
+               .join(registration_device(cohort, app, now, activity_days)
+                     .withColumnRenamed("registration_id", "__user"), "__user", "full")
+               .join(user_path(funnel, cohort, now, path_days, cohort_days)
+                     .withColumnRenamed("user_id", "__user"), "__user", "full"))
+    out = buckets.join(profile, F.col("__key") == F.col("__user"), "left")
+    # every side is distinct on its own: the cohort and its buckets, and the users' profiles
     return out.select(
-        *COHORT_COLUMNS, "user_path", "unsub_user_id", "unsub_timestamp",
-        F.when(F.col("__ios").isNotNull(), F.lit("app")).otherwise(F.lit("web")).alias("web_app"),
+        *COHORT_COLUMNS, "user_path", F.when(F.col("unsub_timestamp").isNotNull(), F.col("__user")).alias("unsub_user_id"),
+        "unsub_timestamp", F.when(F.col("__ios"), F.lit("app")).otherwise(F.lit("web")).alias("web_app"),
         "activity", "ret_user_id", "retention_day",
         "device", "reg_device_type", "operating_system", "browser",
-        enrich.present("__buyer").alias("purchased_upsell"),
-    ).distinct()
+        enrich.flag(F.col("__buyer")).alias("purchased_upsell"))
 
 
 def retention_matrix(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons",
@@ -253,20 +265,23 @@ def retention_matrix(funnel: DataFrame, app: DataFrame, now, kind: str = "lesson
 
 
 def retention_daily(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons",
-                    cohort_days: int = 60, activity_days: int = 90) -> DataFrame:
-    """Long form with one bucket per day (0..30): ``(cohort_date, day, active_users,
+                    cohort_days: int = 60, activity_days: int = 90,
+                    by: tuple[str, ...] = ()) -> DataFrame:
+    """Long form with one bucket per day (0..30): ``(cohort_date, *by, day, active_users,
     cohort_users, rate)``."""
     cohort = subscription_cohort(funnel, now, cohort_days)
-    entries = cohort.select("user_id", "purch_timestamp", "purch_date").distinct()
+    keys = ["purch_date", *by]
+    entries = cohort.select("user_id", "purch_timestamp", *keys).distinct()
     pres = bucket_presence(entries.select("user_id", "purch_timestamp").distinct(),
                            activity(app, ACTIVITY_KINDS[kind], now, activity_days), "daily")
     active = (entries.join(pres, ["user_id", "purch_timestamp"], "inner")
               .where(F.col("bucket") != config.RETENTION_OVERFLOW)
-              .groupBy("purch_date", "bucket")
-              .agg(F.count_distinct("user_id").alias("active_users")))
-    size = entries.groupBy("purch_date").agg(F.count_distinct("user_id").alias("cohort_users"))
-    return (active.join(size, "purch_date", "inner")
-            .select(F.col("purch_date").alias("cohort_date"),
+              .groupBy(*keys, "bucket")
+              .agg(F.count_distinct("user_id").alias("active_users")).alias("a"))
+    size = entries.groupBy(*keys).agg(F.count_distinct("user_id").alias("cohort_users")).alias("s")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]  # a NULL slice is a slice of its own
+    return (active.join(size, same, "inner")
+            .select(F.col("s.purch_date").alias("cohort_date"), *[F.col(f"s.{k}").alias(k) for k in by],
                     F.substring_index("bucket", " ", -1).cast("int").alias("day"),
                     "active_users", "cohort_users",
                     F.round(F.col("active_users") / F.col("cohort_users"), 6).alias("rate")))

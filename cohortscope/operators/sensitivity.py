@@ -29,6 +29,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from cohortscope.functions.stats import normal_cdf
+from cohortscope.operators.experiment import arm_order, has_control
 
 _N = NormalDist()
 
@@ -66,16 +67,30 @@ CONTINUOUS_POWER_MDE_REL = 0.10  # +10% of the control mean
 CONTINUOUS_SEARCH_MAX = 1e6      # upper end of the analysts' MDE search
 
 
-def baselines(user_df: DataFrame, metrics=METRICS, split: str = "split") -> DataFrame:
-    """Per metric: control/test arm (smallest/largest split name), population
-    sizes, control mean and sample standard deviation, and a status."""
+def two_sided_shift(alpha: float, power: float) -> float:
+    """Standardised effect ``x`` with ``1 - cdf(c - x) + cdf(-c - x) = power``, both tails
+    counted (``c`` the two-sided critical value): bisection to the last bit. Power
+    does not fall under ``alpha``, so a target up to it needs no effect."""
+    c, lo, hi = z(1 - alpha / 2), 0.0, z(1 - alpha / 2) + abs(z(power)) + 1
+    if power <= alpha:
+        return 0.0
+    while lo < (mid := (lo + hi) / 2) < hi:
+        lo, hi = (lo, mid) if _N.cdf(mid - c) + _N.cdf(-c - mid) >= power else (mid, hi)
+    return hi
+
+
+def baselines(user_df: DataFrame, metrics=METRICS, split: str = "split",
+              control: str | None = None, alternative: str | None = None) -> DataFrame:
+    """Per metric: control/test arm, population sizes, control mean and sample
+    standard deviation, and a status. The control is ``control`` (``invalid_arms``
+    without it) or else the smallest split name; ``alternative`` overrides the metrics'."""
     cols = set(user_df.columns)
     usable = [m for m in metrics if m.value_col in cols]
     items = []
     for i, m in enumerate(usable):
         pop = F.lit(True) if m.denominator_col is None else (F.col(m.denominator_col) == 1)
         items.append(F.struct(F.lit(i).alias("metric_order"), F.lit(m.name).alias("metric"),
-                              F.lit(m.type).alias("type"), F.lit(m.alternative).alias("alternative"),
+                              F.lit(m.type).alias("type"), F.lit(alternative or m.alternative).alias("alternative"),
                               pop.alias("in_pop"), F.col(m.value_col).cast("double").alias("value")))
     long = (user_df.where(F.col(split).isNotNull())
             .select(F.col(split).alias("split"), F.explode(F.array(*items)).alias("m"))
@@ -84,12 +99,13 @@ def baselines(user_df: DataFrame, metrics=METRICS, split: str = "split") -> Data
         F.count(F.when(F.col("in_pop"), 1)).alias("n"),
         F.avg(F.when(F.col("in_pop"), F.col("value"))).alias("mean"),
         F.stddev_samp(F.when(F.col("in_pop"), F.col("value"))).alias("std"))
+    arm = arm_order("split", control)
     out = per_arm.groupBy("metric_order", "metric", "type", "alternative").agg(
         F.count(F.lit(1)).alias("n_arms"),
-        F.min("split").alias("clean_split"), F.max("split").alias("test_split"),
-        F.min_by("n", "split").alias("n_per_group"), F.max_by("n", "split").alias("n_test"),
-        F.min_by("mean", "split").alias("baseline"), F.min_by("std", "split").alias("baseline_std"))
-    status = (F.when(F.col("n_arms") != 2, F.lit("invalid_arms"))
+        F.min_by("split", arm).alias("clean_split"), F.max_by("split", arm).alias("test_split"),
+        F.min_by("n", arm).alias("n_per_group"), F.max_by("n", arm).alias("n_test"),
+        F.min_by("mean", arm).alias("baseline"), F.min_by("std", arm).alias("baseline_std"))
+    status = (F.when((F.col("n_arms") != 2) | ~has_control("clean_split", control), F.lit("invalid_arms"))
               .when((F.col("n_per_group") == 0) | (F.col("n_test") == 0), F.lit("empty"))
               .otherwise(F.lit("ok")))
     return out.withColumn("status", status)
@@ -114,7 +130,7 @@ def mde_table(base: DataFrame, alpha: float = 0.05, power: float = 0.8,
     n, p, s = F.col("n_per_group").cast("double"), F.col("baseline"), F.col("baseline_std")
     alt = F.col("alternative")
     k1 = z(1 - alpha) + z(power)
-    k2 = z(1 - alpha / 2) + z(power)  # two-sided: far tail dropped (approximate)
+    k2 = two_sided_shift(alpha, power)
     k = F.when(alt == "two-sided", F.lit(k2)).otherwise(F.lit(k1))
     kk = {"greater": k1, "less": k1, "two-sided": k2}
     ok = F.col("status") == "ok"
@@ -193,10 +209,11 @@ def power_table(base: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def sample_size(user_df: DataFrame, value_col: str = "purch_amount", mde: float = 8.0,
                 alpha: float = 0.05, power: float = 0.8, alternative: str = "greater",
-                split: str = "split") -> DataFrame:
+                split: str = "split", control: str | None = None) -> DataFrame:
     """Users per arm to detect ``mde`` on ``value_col``:
     ``ceil((z_a + z_b)^2 (var_x + var_y) / mde^2)``, variances of the control and
-    test arm (a missing or zero test variance falls back to the control's)."""
+    test arm (a missing or zero test variance falls back to the control's). The control
+    is ``control`` (no size without it) or else the smallest split name."""
     if alternative == "two-sided":
         za = z(1 - alpha / 2)
     elif alternative in ("less", "greater"):
@@ -205,13 +222,14 @@ def sample_size(user_df: DataFrame, value_col: str = "purch_amount", mde: float
         raise ValueError("alternative must be 'two-sided', 'less' or 'greater'")
     per = (user_df.where(F.col(split).isNotNull()).groupBy(split)
            .agg(F.var_samp(F.col(value_col).cast("double")).alias("var")))
-    arms = per.agg(F.min(split).alias("clean_split"), F.max(split).alias("test_split"),
-                   F.min_by("var", split).alias("control_var"), F.max_by("var", split).alias("test_var"))
+    arm = arm_order(split, control)
+    arms = per.agg(F.min_by(split, arm).alias("clean_split"), F.max_by(split, arm).alias("test_split"),
+                   F.min_by("var", arm).alias("control_var"), F.max_by("var", arm).alias("test_var"))
     vy = F.when(F.col("test_var").isNull() | (F.col("test_var") == 0), F.col("control_var")) \
         .otherwise(F.col("test_var"))
-    n = F.ceil(F.lit((za + z(power)) ** 2) * (F.col("control_var") + vy) / F.lit(mde * mde))
+    n = F.when(has_control("clean_split", control), F.lit((za + z(power)) ** 2) * (F.col("control_var") + vy) / F.lit(mde * mde))
     return arms.select(F.lit(value_col).alias("metric"), "clean_split", "test_split",
                        F.round(F.sqrt("control_var"), 4).alias("control_std"),
                        F.round(F.sqrt("test_var"), 4).alias("test_std"),
                        F.lit(mde).alias("mde"), F.lit(alternative).alias("alternative"),
-                       n.cast("long").alias("sample_size"))
+                       F.ceil(n).cast("long").alias("sample_size"))

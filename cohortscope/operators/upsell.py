@@ -33,6 +33,7 @@ from cohortscope import config
 from cohortscope.functions import enrich, json_fields as J
 from cohortscope.functions import windows as W
 from cohortscope.functions.stats import exact_avg, exact_sum
+from cohortscope.operators.experiment import arm_order
 from cohortscope.operators.volume import events_named
 
 
@@ -273,20 +274,21 @@ def median_time_to_ttp(app: DataFrame, user_df: DataFrame, by=("geo",)) -> DataF
                  F.round(F.median("secs"), 6).alias("median_seconds")))
 
 
-def traffic_composition(pull: DataFrame) -> DataFrame:
-    """Distinct users per subscribe day and plan, and the plan's share of the day."""
-    per = (pull.groupBy(F.to_date("timestamp").alias("event_date"), "subscription")
+def traffic_composition(pull: DataFrame, by=()) -> DataFrame:
+    """Distinct users per subscribe day (and slice) and plan, and the plan's share of the day."""
+    per = (pull.groupBy(F.to_date("timestamp").alias("event_date"), *by, "subscription")
            .agg(F.count_distinct("user_id").alias("users")))
-    day = Window.partitionBy("event_date")  # a handful of plans per day
+    day = Window.partitionBy("event_date", *by)  # a handful of plans per day
     return per.withColumn("share", F.round(F.col("users") / F.sum("users").over(day), 6))
 
 
 ARM_METRICS = ("rows", "viewers", "ttp_rate", "sr", "upsell_rate", "upsell_gain", "aov")
 
 
-def arm_comparison(user_df: DataFrame, by=()) -> DataFrame:
+def arm_comparison(user_df: DataFrame, by=(), control: str | None = None) -> DataFrame:
     """Per arm (and slice): volumes and rates, and the relative change against the
-    control arm of the slice (the lexicographically smallest split)."""
+    control arm of the slice: ``control`` (NULL values in a slice without it) or else
+    the lexicographically smallest split."""
     by = list(by)
     v, t, p = (F.col(c) == 1 for c in ("ups_view", "ups_ttp", "ups_purched"))
     per = (user_df.where(F.col("split").isNotNull()).groupBy(*by, "split").agg(
@@ -300,8 +302,12 @@ def arm_comparison(user_df: DataFrame, by=()) -> DataFrame:
     long = per.unpivot([*by, "split"], list(ARM_METRICS), "metric", "value")
     # the rows here are arms x metrics of each slice; a window keeps NULL slices and reads the pull once
     slice_ = Window.partitionBy(*by, "metric")
-    out = (long.withColumn("control_value", F.min_by("value", "split").over(slice_))
-           .withColumn("control_split", F.min("split").over(slice_)))
+    arm = arm_order("split", control)
+    out = (long.withColumn("control_split", F.min_by("split", arm).over(slice_))
+           .withColumn("control_value", F.min_by("value", arm).over(slice_)))
+    if control is not None:
+        out = out.withColumns({c: F.when(F.col("control_split") == control, F.col(c))
+                               for c in ("control_value", "control_split")})
     rel = F.when(F.col("control_value") != 0,
                  (F.col("value") - F.col("control_value")) / F.col("control_value") * 100)
     return out.select(*by, "split", "metric", F.round("value", 6).alias("value"), "control_split",
@@ -309,9 +315,9 @@ def arm_comparison(user_df: DataFrame, by=()) -> DataFrame:
                       F.round(rel, 6).alias("rel_diff_pct"))
 
 
-def unsub_ratio(pull: DataFrame) -> DataFrame:
-    """Users unsubscribed within 12 h / users with an upsell purchase (one row)."""
-    return (pull.agg(F.count_distinct(F.when(F.col("unsub12h") == 1, F.col("user_id")))
+def unsub_ratio(pull: DataFrame, by=()) -> DataFrame:
+    """Users unsubscribed within 12 h / users with an upsell purchase (one row, or one per slice)."""
+    return (pull.groupBy(*by).agg(F.count_distinct(F.when(F.col("unsub12h") == 1, F.col("user_id")))
                      .alias("unsub_users"),
                      F.count_distinct(F.when(F.col("ups_purched") == 1, F.col("user_id")))
                      .alias("purchaser_users"))

@@ -336,3 +336,41 @@ def _upsell_gain_by_plan(spark, sf_dir):
 @query("arm_comparison_geo")
 def _arm_comparison_geo(spark, sf_dir):
     return U.arm_comparison(X.to_user_level(pull(spark, sf_dir)), by=("geo",))
+
+
+@query("current_test_pull")
+def _current_test_pull(spark, sf_dir):
+    s = sources(spark, sf_dir)  # the running test: its arms from a start date on
+    return U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, NOW, days=30, arms=ARMS,
+                               view_start=VIEW_START, decline_flag=True)
+
+
+@query("retention_daily_geo")
+def _retention_daily_geo(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.retention_daily(s.funnel, s.app, NOW, kind="lessons", by=("geo",))
+
+
+@query("traffic_composition_geo")
+def _traffic_composition_geo(spark, sf_dir):
+    return U.traffic_composition(pull(spark, sf_dir), by=("geo",))
+
+
+@query("unsub_ratio_by_plan")
+def _unsub_ratio_by_plan(spark, sf_dir):
+    return U.unsub_ratio(pull(spark, sf_dir, experiment=True), by=("subscription",))
+
+
+@query("estimates_named_control")
+def _estimates_named_control(spark, sf_dir):
+    return X.metric_point_estimates(user_level(spark, sf_dir), control=ARMS[1])
+
+
+@query("mde_two_sided")
+def _mde_two_sided(spark, sf_dir):
+    return SN.mde_table(SN.baselines(user_level(spark, sf_dir), alternative="two-sided", control=ARMS[1]))
+
+
+@query("power_two_sided")
+def _power_two_sided(spark, sf_dir):
+    return SN.power_table(SN.baselines(user_level(spark, sf_dir), alternative="two-sided"))
