@@ -374,3 +374,22 @@ def _mde_two_sided(spark, sf_dir):
 @query("power_two_sided")
 def _power_two_sided(spark, sf_dir):
     return SN.power_table(SN.baselines(user_level(spark, sf_dir), alternative="two-sided"))
+
+
+def pull_with_ltv(spark, sf_dir):
+    """The experiment pull exported as CSV with each user's settled total as ``ltv`` and read
+    back, as the analysts do (without a shared folder the export is left out)."""
+    from pyspark.sql import functions as F
+    from cohortscope.sources.events import UPSELL_PULL_SCHEMA, read_upsell_csv
+    from cohortscope.sources.sinks import write_scratch_csv
+    ltv = (sources(spark, sf_dir).payments.where(F.col("status") == "settled")
+           .groupBy(F.col("customer_account_id").alias("user_id")).agg((F.sum("amount") / 100).alias("ltv")))
+    rows = (pull(spark, sf_dir, experiment=True).drop("has_insufficient_funds_decline")
+            .join(ltv, "user_id", "left").select(*UPSELL_PULL_SCHEMA.names))
+    path = write_scratch_csv(rows)
+    return rows if path is None else read_upsell_csv(spark, path)
+
+
+@query("ltv_estimates")
+def _ltv_estimates(spark, sf_dir):
+    return X.metric_point_estimates(X.to_user_level(pull_with_ltv(spark, sf_dir)))

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortscope.sources.events import read_events, read_payments, read_tickets
+
 _K = {
     "spark": "cast(get_json_object(props, '$.k') as int)",
     "duckdb": "cast(json_extract_string(props, '$.k') as int)",
@@ -237,10 +239,10 @@ def _load(spark: SparkSession, sf_dir: str, materialized: bool | None) -> Source
     else:
         base = materialize(spark, sf_dir, root)
         out = Sources(
-            funnel=spark.read.parquet(f"{base}/funnel"),
-            app=spark.read.parquet(f"{base}/app"),
-            payments=spark.read.parquet(f"{base}/payments"),
-            tickets=spark.read.parquet(f"{base}/tickets"),
+            funnel=read_events(spark, f"{base}/funnel"),
+            app=read_events(spark, f"{base}/app"),
+            payments=read_payments(spark, f"{base}/payments"),
+            tickets=read_tickets(spark, f"{base}/tickets"),
         )
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def write_scratch_csv(df: DataFrame) -> str | None:
+    """Write ``df`` as CSV with a header into a new folder under the shared checkpoint
+    folder and return its path; None where no shared folder is set."""
+    spark = df.sparkSession
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        return None
+    path = f"{d}/csv-{uuid.uuid4().hex[:12]}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
 

@@ -27,6 +27,15 @@ def test_event_scans_prune_partitions(spark):
         or "event_date" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+def test_experiment_pull_reads_events_three_times_and_prunes_views(spark):
+    from cohortscope import config
+    plan = _plan(E.queries()["experiment_pull"](spark, SF_SMALL))
+    scans = [p.split("ReadSchema")[0] for p in plan.split("FileScan parquet")[1:] if "event_name" in p.split("ReadSchema")[0]]
+    assert len(scans) <= 3
+    views = [p for p in scans if f"EqualTo(event_name,{config.UPSELL_VIEW})" in p]
+    assert len(views) == 1 and "2024-01-08" in views[0].split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
 def test_bounded_app_scans_prune_and_keep_results(spark):
     from cohortscope.operators import upsell as U
     from cohortscope.plans import catalog as C
