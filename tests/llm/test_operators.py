@@ -293,3 +293,37 @@ def test_pipeline_on_nothing(spark, empty):
 def test_unknown_word_has_the_discounted_mass():
     a = lm.Automaton([], np.array([0]), np.empty(0, np.int64), np.empty(0, np.int64), 50, 10, 0)
     assert 10 ** a.unigram(np.array([0]))[0] == pytest.approx(lm.DISCOUNT * 10 / 50)
+
+
+def test_pairs_and_triples_of_all_words(spark, odd_rows):
+    """Every pair and triple counts, rare ones too: the scores are a plain interpolated model's."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    rows = [*odd_rows, *((100 + i, " ".join(f"w{rng.randrange(3000) if j % 3 else rng.randrange(9)}" for j in range(rng.randrange(150))), None, None, 0) for i in range(120))]
+    tokens_of = {i: [*neardup_words(r[1]), ""] for i, r in enumerate(rows) if r[1] is None or r[1].isascii()}
+    rows = [(i, rows[i][1], None, None, 0) for i in tokens_of]
+    used = [tokens_of[i] for i in tokens_of if not crc_is(i, 7, 2)]
+    grams = [Counter(tuple(t[j - k:j + 1]) for t in used for j in range(k, len(t))) for k in range(3)]
+    kinds = Counter(g[:-1] for k in (1, 2) for g in grams[k])
+    total, types = sum(grams[0].values()), len(grams[0])
+    once, twice = (sum(n == k for n in grams[0].values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else lm.DISCOUNT
+
+    def p(t, j):
+        n = grams[0][(t[j],)]
+        out = (n - discount) / total if n else discount * types / total
+        for k in (1, 2):
+            h = tuple(t[j - k:j]) if j >= k else None
+            of = grams[k - 1][h] if h else 0
+            if of:
+                out = (max(grams[k][(*h, t[j])] - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds[h] * out) / of
+        return out
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    for size in (lm.BLOCK_CHARS, 4000):  # one block; many, with words spread over the buckets
+        got = {r["doc_id"]: r["score"] for r in lm.score(df, ~held_out("doc_id", 7, 2), block_chars=size).collect()}
+        assert len(got) == len(tokens_of)
+        for i, t in tokens_of.items():
+            assert got[i] == pytest.approx(sum(math.log10(p(t, j)) for j in range(len(t))), rel=1e-9)
