@@ -1,7 +1,9 @@
 """Secret scanning: fixed formats, and a battery of randomness tests for the rest.
 
-Runs of 20 or more characters of the usual encodings are candidates. For each,
-the encoding is inferred (hexadecimal, base32, letters and digits, base64) and
+Runs of 20 or more characters of the usual encodings are candidates ("=" ends a
+run, as padding or between a name and its value), and so are their maximal
+parts between "/", "_" and "-", for each choice of these three as separators: a
+path's segment may be base64url, a name's suffix base64. For each, the encoding is inferred (hexadecimal, base32, letters and digits, base64) and
 three tests ask whether it looks drawn at random from that alphabet:
 chi-squared uniformity, the number of runs above and below the alphabet's
 middle, and serial correlation of neighbours. A candidate that fails one is no
@@ -10,7 +12,8 @@ the corpus's own character frequencies is tested: by Markov's inequality its
 inverse is a valid p-value of "this is ordinary text", and it falls with the
 length. Benjamini and Hochberg's step-up rule is applied within classes of
 length, over all candidates of the corpus, on a histogram of the p-values whose
-bins are rounded to the cautious side. Three scans: character frequencies,
+bins are rounded to the cautious side. Of accepted candidates that overlap
+the one with the least p-value is the span (of equal ones the longest). Three scans: character frequencies,
 p-values, spans. Nothing but the counts reaches the driver.
 
 Null and empty texts have no spans; repeated rows and ids give one row each;
@@ -19,6 +22,7 @@ equal starts are ordered by kind; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -36,7 +40,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?+")
+LEAST = 20
+#: Parts of a candidate: the runs without the separators chosen, padding included.
+PARTS = {chosen: re.compile(f"[^{chosen}]{{16,}}+".replace("-", r"\-")) for n in (1, 2, 3) for chosen in map("".join, itertools.combinations("/_-", n))}
 GATES = {"assign": "(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}", "random": "[A-Za-z0-9+/_=-]{20}"}
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 ALPHABETS = (("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -118,12 +125,29 @@ def base_spans(text: str, gates: tuple[bool, bool, bool] = (True, True, True)) -
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[re.Match]:
-    """Candidate runs that no base span touches."""
-    return [m for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of candidate runs and of their parts that no base span touches."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        spans, here = {m.span()}, {c for c in "/_-" if c in m[0]}
+        for chosen, pattern in PARTS.items() if here else ():
+            if here.issuperset(chosen):  # a separator that does not occur parts nothing
+                spans.update(p.span() for p in pattern.finditer(text, *m.span()))
+        near = [(a, b) for a, _, b in base if a < m.end() and m.start() < b]
+        out += [s for s in sorted(spans) if s[1] - s[0] >= LEAST and not any(a < s[1] and s[0] < b for a, b in near)]
+    return out
+
+
+def best_apart(found: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Spans of accepted (p, start, end): the least p first, of equal ones the longest; none overlaps one before it."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):
+        if all(b <= c or d <= a for c, d in out):
+            out.append((a, b))
+    return out
 
 
-def _gated(part: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, int, int]], list[re.Match]]]:
+def _gated(part: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, int, int]], list[tuple[int, int]]]]:
     """Texts in which some pattern can match, with base spans and candidates."""
     gate = {k: pc.fill_null(pc.match_substring_regex(part["_text"], g), False).to_numpy(zero_copy_only=False) for k, g in GATES.items()}
     for i in np.flatnonzero(np.logical_or.reduce(list(gate.values()))).tolist():
@@ -153,11 +177,11 @@ def thresholds(docs: DataFrame, share: dict[str, float], level: float = FALSE_DI
         n: dict[tuple[int, int], int] = {}
         for batch in batches:
             for part in slices(batch, "_text"):
-                for _, _, _, found in _gated(part):
-                    for m in found:
-                        p = text_p(m[0], share)
+                for _, text, _, found in _gated(part):
+                    for a, b in found:
+                        p = text_p(text[a:b], share)
                         if p is not None:
-                            key = length_class(m[0]), min(400, math.floor(-math.log10(max(p, 1e-300)) / BIN))
+                            key = length_class(text[a:b]), min(400, math.floor(-math.log10(max(p, 1e-300)) / BIN))
                             n[key] = n.get(key, 0) + 1
         if n:
             yield pa.RecordBatch.from_pydict({"cls": pa.array([k[0] for k in n], pa.int32()), "bin": pa.array([k[1] for k in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
@@ -193,8 +217,9 @@ def _scanned(docs: DataFrame, text_col: str, carry: list[str], with_text: bool =
         for batch in batches:
             for part in slices(batch, "_text"):
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for i, _, base, found in _gated(part):
-                    more = [(m.start(), 3, m.end()) for m in found if (p := text_p(m[0], share)) is not None and p <= accept[length_class(m[0])]]
+                for i, text, base, found in _gated(part):
+                    good = [(p, a, b) for a, b in found if (p := text_p(text[a:b], share)) is not None and p <= accept[length_class(text[a:b])]]
+                    more = [(a, 3, b) for a, b in best_apart(good)]
                     spans[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + more)]
                 out = {"_keep": part["_keep"], "found": pa.array(spans, pa.list_(item))} | ({"scanned_text": part["_text"]} if with_text else {})
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))

@@ -189,6 +189,26 @@ def test_randomness_battery(spark):
     assert secretscan.chi_squared(index // 2, 16) < 1e-9 and secretscan.runs(np.sort(index), 16) < 1e-9 and secretscan.serial(np.sort(index)) < 1e-9
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda a, n: "".join(rng.choice(list(a), n))
+    words = "there is nothing but ordinary prose in most of these documents and some_long_identifiers_like_this1 at /usr/share/doc/package-names/and_versions2/readme-first "
+    forms = {"AWS_SECRET_ACCESS_KEY=": (64, 40, ""), "https://host.example/path?sig=": (62, 43, "="), "private_key=": (62, 40, ""), "see https://host.example/files/": (62, 40, "/index_of_all.html"), "app_config-": (62, 40, "")}
+    rows, where = [], {}
+    for i in range(200):
+        text = words * 20
+        if i < 50:
+            lead, (size, n, tail) = list(forms.items())[i % 5]
+            where[i] = len(text) + len(lead), len(text) + len(lead) + n
+            text += lead + pick(secretscan.SYMBOLS[:size], n) + tail
+        rows.append((i, text + " the end", None, None, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r["doc_id"]: r["spans"] for r in secretscan.digest(df).collect()}
+    for k in range(5):  # of each form, but for what the battery rejects by chance; padding belongs to the span
+        assert sum(f"random:{where[i][0]}:{where[i][1] + (k == 1)}" in spans[i] for i in range(k, 50, 5)) >= 8
+    assert not any("random" in spans[i] for i in range(50, 200))
+
+
 # --------------------------------------------------------------- op10
 def test_token_files(spark, odd, odd_rows, empty, sf_rows, tmp_path):
     from tokenizers import Tokenizer
