@@ -16,7 +16,10 @@ and texts that share a band are linked to three pivots of that band's bucket
 (the least id and two by hash, other ones in each band), never to every
 member. Links are checked on the whole texts: Jaccard similarity of the
 shingle sets of 0.8 or more. Buckets whose texts are in different groups after
-that are linked anew to other pivots, until a round finds no new link.
+that are linked anew to other pivots, in at most two rounds. What still shares
+a bucket across groups is joined exactly: two similar sets share one of the
+rarest fifth (and one) of their shingles, so all texts of such buckets meet by
+these, spread by shingle and salt, and every pair of two groups is checked.
 Groups are the connected components of the links.
 
 Null texts and texts without a word are never copies of one another: each is
@@ -41,6 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 PIVOTS = 3
 MAX_ROUNDS = 2
+#: Texts of one shingle that a salt of the exact join holds.
+SALT_ROWS = 1000
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -206,6 +211,31 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
+def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> DataFrame:
+    """(a, b): all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups."""
+    rooted = (members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left")
+              .select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    wanted = stored(rooted.join(several, "key", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "rest")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, element, _ = distinct(*shingles(part["text"], width)[:2])
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), part["root"].take(pa.array(doc)), pa.array(element.view(np.int64))], ["id", "root", "e"])
+
+    sets = stored(texts.join(wanted, "id").select("id", "root", "text").mapInArrow(elements, "id long, root long, e long"), "shingles")
+    ranked = (sets.join(sets.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e").groupBy("id", "root")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s")).withColumn("size", F.size("s")))
+    prefix = F.slice("s", 1, (F.col("size") - F.ceil(at_least * F.col("size") - 1e-6) + 1).cast("int"))
+    rare = stored(ranked.select("id", "root", "size", F.explode(prefix).alias("x")).select("id", "root", "size", "x.e", "x.n").filter("n > 1"), "rare")
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    left = rare.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), "e", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    right = rare.select(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), "e", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return (left.join(right, ["e", "salt"]).filter("a < b and ra != rb")
+            .filter(F.least("sa", "sb") >= at_least * F.greatest("sa", "sb") - 1e-6).select("a", "b").distinct())
+
+
 def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id``, ``class_id`` (least id of its group) and ``n_copies`` (rows of that text)."""
@@ -218,6 +248,7 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("p0")).filter("n > 1")
     members = stored(banded.join(buckets.select("key", "p0"), "key"), "buckets")
     by_hash = members.groupBy("key").agg(*[F.min_by("rep", F.xxhash64("rep", "key", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS + 2 * MAX_ROUNDS)])
+    members_of = members
     members = stored(members.join(by_hash, "key").drop("key"), "pivots")
     texts_all = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows that share an id have one text here: the first by content
@@ -240,6 +271,10 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
         if found.isEmpty():
             break
         labels = components(links)
+    pairs = stored(rest_pairs(members_of, labels, texts, at_least).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = stored(similar(pairs, texts, at_least), "links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     member = signed.join(reps.select("digest", "rep", "n_copies"), "digest", "left").join(
         labels.withColumnRenamed("id", "rep"), "rep", "left")
     return member.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep", "id").alias("class_id"),

@@ -101,6 +101,24 @@ def test_large_and_chained_groups(spark):
     assert got == brute_groups(rows)
 
 
+def test_similar_texts_that_no_pivot_meets(spark):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    template, rows = [word() for _ in range(100)], []
+    for i in range(120):  # pages of one template, none similar to another
+        rows.append((i, " ".join(template + [word() for _ in range(30)]), None, None, 0))
+    for i in range(120, 180, 2):  # and pairs of similar ones, each unlike all the others
+        own = [word() for _ in range(30)]
+        rows += [(i + j, " ".join(template + own + [word() for _ in range(4)]), None, None, 0) for j in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.groups(df).collect()} == brute_groups(rows)
+    # all in one bucket, nothing linked yet: the exact pairs
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    pairs = neardup.rest_pairs(df.select(F.lit(1).alias("key"), F.col("doc_id").alias("rep")), spark.createDataFrame([], "id long, root long"), texts, 0.8)
+    links = {tuple(r) for r in neardup.similar(pairs, texts).collect()}
+    assert links == {(i, i + 1) for i in range(120, 180, 2)}
+
+
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_darts_estimate_weighted_jaccard(weighting):
     rng = np.random.default_rng(1)
