@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, neardup, pii, quality, secretscan, tiling, tokenfile, toxicity
+from . import bpe, convtrie, divergence, langid, linkgraph, lm, neardup, pii, quality, secretscan, tiling, tokenfile, toxicity
 from .common import documents, held_out
 
 
@@ -63,6 +63,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.checked(spark, documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,5 +83,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_neardup, op2_language_id, op3_toxicity, op4_bpe_round_trip, op5_pii, op6_lm_score,
-    op7_decontamination, op8_quality, op9_secrets, op10_token_files, pipeline)}
-SQL: dict[str, str] = {}
+    op7_decontamination, op8_quality, op9_secrets, op10_token_files,
+    op11_source_divergence, op12_prefix_trie, op13_url_filter, pipeline)}
+SQL: dict[str, str] = {"op11_source_divergence": divergence.SQL, "op12_prefix_trie": convtrie.SQL, "op13_url_filter": linkgraph.SQL}
