@@ -29,7 +29,7 @@ from .common import runs_of_words, spread, stored
 #: Documents of a language that must hold a term; shown ranks of terms; the smoothing and the scale of shares.
 LEAST_DOCS, TOP, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
 #: Bytes of text counted together in a task; sources whose pairs are summed at once (rows of a matrix).
-COUNT_BYTES, STRIP = 16_000_000, 1024
+COUNT_BYTES, STRIP = 12_000_000, 1024
 #: Kept or unsettled terms are broadcast up to so many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32_000_000
 GROUP = ["lang", "source"]
@@ -193,14 +193,12 @@ def _bytes(terms: DataFrame) -> int:
 def _document_counts(docs: DataFrame, unsettled: DataFrame, size: int) -> DataFrame:
     """(lang, term, docs): how many documents of the language hold each unsettled term."""
     if size <= BROADCAST_BYTES:
-        wanted = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in unsettled.toLocalIterator()])
+        rows = unsettled.toArrow()
+        wanted = docs.sparkSession.sparkContext.broadcast({name.as_py(): rows.filter(pc.equal(rows["lang"], name))["term"].combine_chunks() for name in pc.unique(rows["lang"])})
     else:
         wanted = None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang: dict[str, list[str]] = {}
-        for lang, term in wanted.value if wanted else ():
-            by_lang.setdefault(lang, []).append(term)
         for batch in _gathered(batches):
             lang = np.array(batch.column("lang").to_pylist(), object)
             doc, code, _, chunks = _held(batch)
@@ -216,7 +214,7 @@ def _document_counts(docs: DataFrame, unsettled: DataFrame, size: int) -> DataFr
                 n = np.bincount(mine, minlength=len(terms))
                 here = np.flatnonzero(n)
                 if wanted:
-                    here = here[pc.is_in(terms.take(pa.array(here)), pa.array(by_lang.get(name, []), pa.string())).to_numpy(zero_copy_only=False)]
+                    here = here[pc.is_in(terms.take(pa.array(here)), wanted.value.get(name, pa.array([], pa.string())).cast(pa.string())).to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(here), pa.string()), terms.take(pa.array(here)), pa.array(n[here])], ["lang", "term", "docs"])
 
     counted = docs.mapInArrow(count, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))

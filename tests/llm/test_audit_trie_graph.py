@@ -203,6 +203,7 @@ def odd_pages():
             (11, "http://org/fr/é", None), (12, "http://example.com/de/", None), (13, "http://a.b.example.com/de", None), (14, "http://éÀ.example.com/de/\n?\n", None), (15, "http://q.net?x", None),
             (16, "http://example.net/en/", None), (17, "http://example.net/EN/", None)]
     rows += [(20, "http://spam.com/1", link("http://a.net/x", "http://q.net/")), (21, "http://spam.com/2", link("http://a.net/")), (22, "http://farm.com/", link("http://spam.com/")), (22, "http://farm.com/", link("http://spam.com/"))]
+    rows += [(40 + i, f"http://a.net/{i}", None) for i in range(8)]
     rows += [(30, "http://good.io/a", link("http://fine.io/", "/local", "#x")), (31, "http://also.good.io/", None), (32, "http://fine.io/", "a" * 100000)]
     return rows + [(100 + i, f"http://h{i % 7}.big.example.com/{'de' if i % 9 == 0 else 'en'}/", link(f"http://h{i % 5}.other.com/")) for i in range(60)]
 
