@@ -67,6 +67,12 @@ CONTINUOUS_POWER_MDE_REL = 0.10  # +10% of the control mean
 CONTINUOUS_SEARCH_MAX = 1e6      # upper end of the analysts' MDE search
 
 
+def ten_digits(x: Column) -> Column:
+    """Ten significant digits, six decimals at most: large effects carry no more than a double's arithmetic gives."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.nullif(F.abs(x), F.lit(0.0)))))
+    return F.round(F.coalesce(F.round(x / unit, 9) * unit, x), 6)
+
+
 def two_sided_shift(alpha: float, power: float) -> float:
     """Standardised effect ``x`` with ``1 - cdf(c - x) + cdf(-c - x) = power``, both tails
     counted (``c`` the two-sided critical value): bisection to the last bit. Power
@@ -161,7 +167,7 @@ def mde_table(base: DataFrame, alpha: float = 0.05, power: float = 0.8,
         "metric_order", "metric", "type", "alternative", "n_per_group",
         F.round("baseline", 6).alias("baseline"),
         F.round(F.when(~is_bin, s), 6).alias("baseline_std"),
-        F.round(F.when(is_bin, bin_mde).otherwise(cont_mde), 6).alias("mde_abs"),
+        ten_digits(F.when(is_bin, bin_mde).otherwise(cont_mde)).alias("mde_abs"),
         F.lit(power).alias("target_power"),
         F.when(is_bin, bin_status).otherwise(cont_status).alias("status"))
 
