@@ -7,15 +7,17 @@ aggregation); a 0/1 metric is two rows per arm at any n.
 
 The multinomial is drawn down a binary tree over the values' order-preserving
 64-bit keys: a node's draws go to its left branch by a binomial with the left
-branch's share, all replicates at once. That is the same distribution, and the
-tree gives a place to cut: above ``PREFIX_BITS`` it splits n over ranges of
-values, below it each range is drawn in a task of its own. A node's generator
-is seeded by ``(seed, group, arm, node)`` and sums are added range by range,
-so the replicates do not depend on where the tree is cut, on the partitioning
-or on task order. Histograms up to ``max_task_values`` values are drawn whole
-in one task, larger ones range by range; there is one method at every size.
-A median is read off the same draws: the range counts tell in which range the
-middle ranks of a replicate fall.
+branch's share, a block of replicates at once. That is the same distribution,
+and the tree can be cut at any node: a range of values below a cut is drawn in
+a task of its own. Ranges start as sixteen per octave and are cut deeper until
+each holds at most ``max_task_values`` distinct values, so a narrow metric with
+many values is split too. A node's generator is seeded by ``(seed, group, arm,
+block, node)``, so a range needs no draws from elsewhere: it gets the counts on
+its path from the root (some 60 numbers) by a cogroup and draws them again.
+Sums are added along the tree, so the replicates depend neither on where it is
+cut nor on partitioning or task order; there is one method at every size. A
+median is read off the same draws: the draws that fall below a range tell in
+which range the middle ranks of a replicate lie.
 
 The summary per group is native: ``percentile`` (linear interpolation, as
 numpy) for the two one-sided bounds, ``p = min(P(d <= 0), P(d >= 0))``,
@@ -52,8 +54,11 @@ def _schema(df: DataFrame, keys, extra: str) -> str:
     return f"{cols}, {extra}"
 
 
-PREFIX_BITS = 16     # sign, exponent and four bits of the fraction: sixteen ranges per octave
+#: Bits of a key that name its range: sixteen ranges per octave (sign, exponent, four bits of the fraction), then deeper.
+LEVELS = (16, 28, 40, 52, 64)
 MAX_TASK_VALUES = 20_000
+#: Replicates drawn at once; what a task holds of them, and what ranges pass on together.
+BLOCK = 1_000
 
 
 def order_keys(values: np.ndarray) -> np.ndarray:
@@ -63,50 +68,65 @@ def order_keys(values: np.ndarray) -> np.ndarray:
     return np.where(bits & top, ~bits, bits | top)
 
 
-def _split(keys, counts, draws, seeds, low_bit, leaf, bit=63):
-    """Deals ``draws`` (one number per replicate) down the tree; ``leaf(first, end, draws)`` gets
-    every node that differs in no bit from ``low_bit`` upwards, in order of the values."""
-    todo = [(0, len(keys), draws, bit)]
+def _branches(keys, lo, hi):
+    """The bit at which the sorted ``keys[lo:hi]`` part, the bits from it upwards, and the first key of the right branch."""
+    bit = (int(keys[lo]) ^ int(keys[hi - 1])).bit_length() - 1
+    prefix = int(keys[lo]) >> bit
+    return bit, prefix, lo + int(np.searchsorted(keys[lo:hi], np.uint64(prefix << bit | 1 << bit)))
+
+
+def _lefts(draws, left, total, seeds, bit, prefix):
+    return np.random.default_rng([*seeds, bit, prefix >> 32, prefix & 0xFFFFFFFF]).binomial(draws, float(left) / float(total))
+
+
+def _total(values, keys, counts, draws, before, n, seeds, statistic):
+    """The replicates' share of the statistic from sorted values that get ``draws``: their sum, or half the sum of
+    those that are middle values. ``before``: draws of lower values."""
+    upto = np.concatenate(([0], np.cumsum(counts)))
+
+    def node(lo, hi, mine, below):
+        if not mine.any():
+            return np.zeros(len(mine))
+        if hi - lo == 1:
+            if statistic == "median":
+                return sum(np.where((below <= rank) & (rank < below + mine), values[lo] / 2, 0.0) for rank in ((n - 1) // 2, n // 2))
+            return mine * values[lo]
+        bit, prefix, middle = _branches(keys, lo, hi)
+        lefts = _lefts(mine, upto[middle] - upto[lo], upto[hi] - upto[lo], seeds, bit, prefix)
+        return node(lo, middle, lefts, below) + node(middle, hi, mine - lefts, below + lefts)
+    return node(0, len(keys), draws, before)
+
+
+def _paths(keys, counts):
+    """For each range (by one of its keys, sorted): the branchings from the root to it, as rows of
+    (bit, prefix, count on the left, count, 1 if it lies on the right)."""
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    out, todo = [None] * len(keys), [(0, len(keys), ())]
     while todo:
-        lo, hi, mine, bit = todo.pop()
-        differ = int(keys[lo]) ^ int(keys[hi - 1])
-        bit = differ.bit_length() - 1
-        if bit < low_bit:
-            leaf(lo, hi, mine)
+        lo, hi, path = todo.pop()
+        if hi - lo == 1:
+            out[lo] = np.array(path, np.int64).reshape(-1, 5)
             continue
-        middle = lo + int(np.searchsorted(keys[lo:hi], np.uint64(int(keys[lo]) >> bit << bit | 1 << bit)))
-        prefix = int(keys[lo]) >> bit
-        rng = np.random.default_rng([*seeds, bit, prefix >> 32, prefix & 0xFFFFFFFF])
-        left = int(counts[lo:middle].sum())
-        share = left / (left + int(counts[middle:hi].sum()))
-        lefts = rng.binomial(mine, share)
-        todo.append((middle, hi, mine - lefts, bit))
-        todo.append((lo, middle, lefts, bit))
-
-
-def _ranges(keys, counts, n_boot, seeds):
-    """(first, end, draws) of every value range, in order."""
-    out = []
-    _split(keys, counts, np.full(n_boot, int(counts.sum()), np.int64), seeds, 64 - PREFIX_BITS,
-           lambda lo, hi, d: out.append((lo, hi, d)))
+        bit, prefix, middle = _branches(keys, lo, hi)
+        step = (bit, np.uint64(prefix).astype(np.int64), upto[middle] - upto[lo], upto[hi] - upto[lo])
+        todo += [(lo, middle, (*path, (*step, 0))), (middle, hi, (*path, (*step, 1)))]
     return out
 
 
-def _in_range(values, keys, counts, draws, before, n, seeds, statistic):
-    """Replicates' share of the statistic from one range: its sum, or half the sum of the middle
-    values that fall into it. ``before``: draws in lower ranges."""
-    acc, below = np.zeros(len(draws)), before.copy()
-
-    def leaf(lo, hi, d):
-        nonlocal acc, below
-        if statistic == "median":
-            for rank in ((n - 1) // 2, n // 2):
-                acc += np.where((below <= rank) & (rank < below + d), values[lo] / 2, 0.0)
-            below = below + d
+def _follow(path, n, size, seeds):
+    """Draws that reach the end of a path, and those that fall below it."""
+    draws, before = np.full(size, n, np.int64), np.zeros(size, np.int64)
+    for bit, prefix, left, total, right in path.tolist():
+        lefts = _lefts(draws, left, total, seeds, bit, prefix & (1 << 64) - 1)
+        if right:
+            draws, before = draws - lefts, before + lefts
         else:
-            acc += d * values[lo]
-    _split(keys, counts, draws, seeds, 0, leaf)
-    return acc
+            draws = lefts
+    return draws, before
+
+
+def _blocks(n_boot):
+    return [(k, min(BLOCK, n_boot - k * BLOCK)) for k in range(-(-n_boot // BLOCK))]
 
 
 def _finish(total, n, statistic):
@@ -121,12 +141,16 @@ def _sorted(pdf):
     return values[order], order_keys(values[order]), pdf["cnt"].to_numpy(dtype=np.int64)[order]
 
 
-def _seeds(seed, key, role):
-    return [seed, group_hash(*key), int(role == "test")]
+def _seeds(seed, key, role, block):
+    return [seed, group_hash(*key), int(role == "test"), block]
 
 
-def _key_frame(keys, pdf, **more):
-    return pd.DataFrame({**{k: pdf[k].iloc[:1].reset_index(drop=True) for k in keys}, **{k: [v] for k, v in more.items()}})
+def _frame(keys, pdf, rows, columns):
+    """Rows with the group's own keys before them."""
+    out = pd.DataFrame(rows, columns=columns)
+    for k in reversed(keys):
+        out.insert(0, k, pdf[k].iloc[:1].repeat(len(out)).reset_index(drop=True))
+    return out
 
 
 def _draw_whole(n_boot: int, seed: int, keys):
@@ -134,50 +158,55 @@ def _draw_whole(n_boot: int, seed: int, keys):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         key, role, statistic = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0], pdf["statistic"].iat[0]
         values, order, counts = _sorted(pdf)
-        seeds, n, total, before = _seeds(seed, key, role), int(counts.sum()), np.zeros(n_boot), np.zeros(n_boot, np.int64)
-        for lo, hi, d in [] if statistic == "count" else _ranges(order, counts, n_boot, seeds):
-            total = total + _in_range(values[lo:hi], order[lo:hi], counts[lo:hi], d, before, n, seeds, statistic)
-            before = before + d
-        return _key_frame(keys, pdf, role=role, stats=_finish(total, n, statistic).tobytes())
+        n, rows = int(counts.sum()), []
+        for block, size in _blocks(n_boot):
+            draws, none = np.full(size, n, np.int64), np.zeros(size, np.int64)
+            total = none if statistic == "count" else _total(values, order, counts, draws, none, n, _seeds(seed, key, role, block), statistic)
+            rows.append((role, block, _finish(total, n, statistic).tobytes()))
+        return _frame(keys, pdf, rows, ["role", "block", "stats"])
     return fn
 
 
-def _deal_ranges(n_boot: int, seed: int, keys):
-    """From the counts of the value ranges: draws of each range, and of those below it."""
+def _path_rows(keys):
+    """From the counts of the ranges of one arm: the path to each."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, role = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0]
-        pdf = pdf.sort_values("value")
-        counts, order = pdf["cnt"].to_numpy(dtype=np.int64), order_keys(pdf["value"].to_numpy(dtype=float))
-        out, before = [], np.zeros(n_boot, np.int64)
-        for lo, _, d in _ranges(order, counts, n_boot, _seeds(seed, key, role)):
-            out.append((int(pdf["bucket"].iat[lo]), d.tobytes(), before.tobytes(), int(counts.sum())))
-            before = before + d
-        frame = pd.DataFrame(out, columns=["bucket", "draws", "before", "n"])
-        for k in (*keys, "role"):
-            frame[k] = [pdf[k].iat[0]] * len(frame)
-        return frame[[*keys, "role", "bucket", "draws", "before", "n"]]
+        reps = pdf["rep"].to_numpy(dtype=np.int64).view(np.uint64)
+        pdf = pdf.iloc[np.argsort(reps)]
+        paths = _paths(np.sort(reps), pdf["cnt"].to_numpy(dtype=np.int64))
+        out = pdf[[*keys, "role", "level", "prefix"]].reset_index(drop=True)
+        return out.assign(n=int(pdf["cnt"].sum()), path=[p.tobytes() for p in paths])
     return fn
 
 
-def _draw_range(seed: int, keys):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+def _draw_range(n_boot: int, seed: int, keys):
+    """The part of one range of values, for every block: the range's values beside the path to it."""
+    def fn(pdf: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         key, role, statistic = [pdf[k].iat[0] for k in keys], pdf["role"].iat[0], pdf["statistic"].iat[0]
         values, order, counts = _sorted(pdf)
-        draws, before = (np.frombuffer(pdf[c].iat[0], np.int64) for c in ("draws", "before"))
-        n = int(pdf["n"].iat[0])
-        part = _in_range(values, order, counts, draws, before, n, _seeds(seed, key, role), statistic)
-        return _key_frame(keys, pdf, role=role, statistic=statistic, n=n, bucket=int(pdf["bucket"].iat[0]), part=part.tobytes())
+        path, n = np.frombuffer(paths["path"].iat[0], np.int64).reshape(-1, 5), int(paths["n"].iat[0])
+        rows = []
+        for block, size in _blocks(n_boot):
+            seeds = _seeds(seed, key, role, block)
+            draws, before = _follow(path, n, size, seeds)
+            rows.append((role, block, statistic, n, order[:1].view(np.int64)[0], _total(values, order, counts, draws, before, n, seeds, statistic).tobytes()))
+        return _frame(keys, pdf, rows, ["role", "block", "statistic", "n", "rep", "part"])
     return fn
 
 
 def _add_ranges(keys):
-    """Sums the ranges' parts, in order (a few hundred at most: ranges have a width of their own)."""
+    """Adds one block's parts along the tree."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        for part in pdf.sort_values("bucket")["part"]:
-            total = total + np.frombuffer(part, float)
-        stats = _finish(total, int(pdf["n"].iat[0]), pdf["statistic"].iat[0])
-        return _key_frame(keys, pdf, role=pdf["role"].iat[0], stats=stats.tobytes())
+        reps = pdf["rep"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(reps)
+        reps, parts = reps[order], pdf["part"].to_numpy()[order]
+
+        def node(lo, hi):
+            if hi - lo == 1:
+                return np.frombuffer(parts[lo], float)
+            middle = _branches(reps, lo, hi)[2]
+            return node(lo, middle) + node(middle, hi)
+        stats = _finish(node(0, len(reps)), int(pdf["n"].iat[0]), pdf["statistic"].iat[0])
+        return _frame(keys, pdf, [(pdf["role"].iat[0], int(pdf["block"].iat[0]), stats.tobytes())], ["role", "block", "stats"])
     return fn
 
 
@@ -240,12 +269,27 @@ def estimates_from_histograms(hist: DataFrame, keys=GROUP) -> DataFrame:
         "clean_n", "test_n")
 
 
-def _range_of(value: str):
-    """The top ``PREFIX_BITS`` bits of the order-preserving key of a double."""
+def _order_key(value: str):
+    """``order_keys`` of a column, as a long."""
     @F.pandas_udf("long")
-    def prefix(v: pd.Series) -> pd.Series:
-        return pd.Series((order_keys(v.to_numpy(dtype=float)) >> np.uint64(64 - PREFIX_BITS)).astype(np.int64))
-    return prefix(F.col(value))
+    def key(v: pd.Series) -> pd.Series:
+        return pd.Series(order_keys(v.to_numpy(dtype=float)).view(np.int64))
+    return key(F.col(value))
+
+
+def _ranged(values: DataFrame, on, max_task_values: int) -> DataFrame:
+    """``values`` with the range (level, prefix) of each: the widest that holds at most ``max_task_values`` of its arm's values."""
+    prefix = lambda level: F.shiftrightunsigned("key", 64 - level) if level < 64 else F.col("key")
+    values = values.withColumn("key", _order_key("value"))
+    joined, level = values, F.lit(LEVELS[0])
+    for k, above in enumerate(LEVELS[:-1]):
+        # a full range implies that those above it are full; there are at most values / max_task_values of them
+        full = (values.groupBy(*on, prefix(above).alias(f"p{above}")).agg(F.count(F.lit(1)).alias("held"))
+                .where(F.col("held") > max_task_values).select(*on, f"p{above}", F.lit(True).alias(f"full{above}")))
+        joined = joined.withColumn(f"p{above}", prefix(above)).join(full, [*on, f"p{above}"], "left")
+        level = F.when(F.col(f"full{above}"), LEVELS[k + 1]).otherwise(level)
+    at = F.coalesce(*[F.when(F.col("level") == x, prefix(x)) for x in LEVELS])
+    return joined.withColumn("level", level).withColumn("prefix", at)
 
 
 def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP, seed: int = config.RANDOM_SEED,
@@ -253,7 +297,7 @@ def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP, seed: int
     """Replicate differences ``statistic(test) - statistic(clean)`` per group.
 
     Groups with both arms present only; returns ``(*keys, diff, freq)`` where
-    ``freq`` counts replicates with that difference. ``max_task_values`` says
+    ``freq`` counts replicates of a block with that difference. ``max_task_values`` says
     where the tree is cut, not what is drawn.
     """
     keys = list(keys)
@@ -263,24 +307,22 @@ def bootstrap_diffs(hist: DataFrame, n_boot: int = config.N_BOOTSTRAP, seed: int
     sizes = (h.groupBy(*names, "role").agg(F.count(F.lit(1)).alias("values"))
              .groupBy(*names).agg(F.count(F.lit(1)).alias("n_roles"), F.max("values").alias("most"))
              .where(F.col("n_roles") == 2))
-    h = h.join(sizes.select(*names, (F.col("most") > max_task_values).alias("large")), names, "inner").drop(*names)
+    named = h.join(sizes.select(*names, (F.col("most") > max_task_values).alias("large")), names, "inner")
+    h = named.drop(*names)
     # CPU-bound Python stages on little data: pin the task count so adaptive
     # coalescing does not fold every group into one task
     tasks = hist.sparkSession.sparkContext.defaultParallelism
-    arm = _schema(hist, keys, "role string, stats binary")
+    arm = _schema(hist, keys, "role string, block int, stats binary")
     whole = (h.where(~F.col("large")).repartition(tasks, *keys, "role").groupBy(*keys, "role")
              .applyInPandas(_draw_whole(n_boot, seed, keys), arm))
-    ranged = h.where("large").withColumn("bucket", _range_of("value"))
-    totals = ranged.groupBy(*keys, "role", "bucket").agg(F.sum("cnt").alias("cnt"), F.min("value").alias("value"))
-    dealt = (totals.groupBy(*keys, "role")
-             .applyInPandas(_deal_ranges(n_boot, seed, keys), _schema(hist, keys, "role string, bucket long, draws binary, before binary, n long")))
-    on = [ranged[k].eqNullSafe(dealt[k]) for k in (*keys, "role", "bucket")]
-    parts = (ranged.join(dealt, on, "inner")
-             .select(*[ranged[c] for c in (*keys, "role", "statistic", "bucket", "value", "cnt")], dealt["draws"], dealt["before"], dealt["n"])
-             .groupBy(*keys, "role", "bucket")
-             .applyInPandas(_draw_range(seed, keys), _schema(hist, keys, "role string, statistic string, n long, bucket long, part binary")))
-    split = parts.groupBy(*keys, "role").applyInPandas(_add_ranges(keys), arm)
-    return (whole.unionByName(split).groupBy(*keys)
+    on = [*names, "role"]
+    ranged = _ranged(named.where("large"), on, max_task_values).select(*on, *keys, "statistic", "level", "prefix", "key", "value", "cnt")
+    counts = ranged.groupBy(*on, "level", "prefix").agg(F.sum("cnt").alias("cnt"), F.min("key").alias("rep"))
+    paths = counts.groupBy(*on).applyInPandas(_path_rows(names), _schema(counts, names, "role string, level int, prefix long, n long, path binary"))
+    parts = (ranged.groupBy(*on, "level", "prefix").cogroup(paths.groupBy(*on, "level", "prefix"))
+             .applyInPandas(_draw_range(n_boot, seed, keys), _schema(hist, keys, "role string, block int, statistic string, n long, rep long, part binary")))
+    split = parts.groupBy(*keys, "role", "block").applyInPandas(_add_ranges(keys), arm)
+    return (whole.unionByName(split).groupBy(*keys, "block")
             .applyInPandas(_differences(keys), _schema(hist, keys, "diff double, freq long")))
 
 
@@ -349,14 +391,15 @@ def bootstrap_diff(samples: DataFrame, by=(), value: str = "value", split: str =
 def bootstrap_segments(user_df: DataFrame, n_boot: int = config.N_BOOTSTRAP,
                        seed: int = config.RANDOM_SEED, level: float = config.CONFIDENCE_LEVEL,
                        axes=config.SEGMENT_AXES,
-                       max_task_values: int = MAX_TASK_VALUES) -> DataFrame:
-    """Full analysis: every analysed segment x metric with bootstrap bounds."""
+                       max_task_values: int = MAX_TASK_VALUES, control: str | None = None) -> DataFrame:
+    """Full analysis: every analysed segment x metric with bootstrap bounds. The control arm is
+    ``control`` (segments without it are not analysed) or else the smaller split name."""
     from cohortscope.operators import experiment as X
     from cohortscope.sources.sinks import cut_lineage
     seg = X.with_segments(user_df, axes)
     # everything downstream reads the histograms: bounded by distinct values,
     # so a reliable checkpoint is cheap and an executor lost later never
     # re-runs the pull
-    hist = cut_lineage(histograms(X.metric_samples(seg), X.segment_arms(seg)))
+    hist = cut_lineage(histograms(X.metric_samples(seg), X.segment_arms(seg, control=control)))
     diffs = bootstrap_diffs(hist, n_boot, seed, max_task_values)
     return summarize(diffs, estimates_from_histograms(hist), level)

@@ -209,3 +209,54 @@ def test_null_slices_are_slices(spark):
     ud = _user_df(spark, _rows(n=80)).withColumn("subscription", F.when(F.col("geo") == "T1", F.lit("1Week")))
     got = {(r.subscription, r.split) for r in upsell.arm_comparison(ud, by=("subscription",)).collect()}
     assert got == {(s, a) for s in ("1Week", None) for a in ("A", "B")}
+
+
+def test_narrow_metric_is_cut_into_bounded_ranges(spark):
+    """Values within one sixteenth of an octave: deeper ranges, the same replicates, no draws joined onto values."""
+    import numpy as np
+    df = spark.range(40_000).select(F.lit("g").alias("grp"), F.when(F.col("id") % 2 == 0, "ctl").otherwise("trt").alias("arm"),
+                                    (1000 + F.col("id") / 40_000 + F.when(F.col("id") % 1000 == 1, 1e-9).otherwise(0.0)).alias("v"))
+    whole, cut = (B.bootstrap_diff(df, by=("grp",), value="v", split="arm", n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 500))
+    assert whole == cut and whole[0].n_boot == 40
+    for statistic in ("median", "sum"):
+        a, b = (B.bootstrap_diff(df.where("id < 4000"), by=("grp",), value="v", split="arm", statistic=statistic, n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 30))
+        assert a == b
+    values = df.where("arm = 'ctl'").select("grp", "v").withColumn("value", F.col("v"))
+    ranged = B._ranged(values, ["grp"], 500).groupBy("level", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()
+    assert sum(r.n for r in ranged) == 20_000 and max(r.n for r in ranged) <= 500 and len(ranged) < 400
+    assert all(a.hi < b.lo for a, b in zip(ranged, ranged[1:]))  # ranges do not overlap
+    assert {r.level for r in ranged} - {B.LEVELS[0]}
+    # equal values stay together at any limit
+    one = B._ranged(values, ["grp"], 0).groupBy("level", "prefix").agg(F.count_distinct("value").alias("n")).agg(F.max("n")).first()[0]
+    assert one == 1
+    plan = B.bootstrap_diffs(spark.createDataFrame([("o", "s", 1, "clean", "mean", 1.0, 3), ("o", "s", 1, "test", "mean", 2.0, 3)],
+                                                   "axis string, segment string, metric_id int, role string, statistic string, value double, cnt long"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan or "FlatMapCoGroupsInArrow" in plan
+    assert "draws" not in plan
+
+
+def test_paths_give_the_draws_of_the_tree():
+    """Following a path gives the same draws as splitting all of them."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    values = np.unique(np.concatenate((rng.normal(0, 5, 300), [0.0, -1.5, 1e300, -1e-300])))
+    counts, keys = rng.integers(1, 9, len(values)), B.order_keys(values)
+    n, seeds = int(counts.sum()), [7, 1, 0, 0]
+    draws = [B._follow(p, n, 50, seeds) for p in B._paths(keys, counts)]
+    assert (sum(d for d, _ in draws) == n).all()
+    below = np.zeros(50, np.int64)
+    for d, before in draws:
+        assert (before == below).all()
+        below = below + d
+    total = B._total(values, keys, counts, np.full(50, n), np.zeros(50, np.int64), n, seeds, "sum")
+    assert np.allclose(total, sum(d * v for (d, _), v in zip(draws, values)))
+
+
+def test_segments_with_a_named_control(spark):
+    rows = [("B" if r[1] == "A" else "A", r) for r in _rows(n=200)]
+    ud = _user_df(spark, [r for _, r in rows])
+    by_name, named = ({(r.axis, r.segment, r.metric_id): r for r in B.bootstrap_segments(ud, n_boot=200, axes=(), control=c).collect()} for c in (None, "B"))
+    assert by_name.keys() == named.keys() and all(r.clean_split == "A" for r in by_name.values())
+    for k, r in named.items():
+        assert (r.clean_split, r.test_split) == ("B", "A") and r.observed_difference == -by_name[k].observed_difference
+    assert B.bootstrap_segments(ud, n_boot=200, control="C").count() == 0
