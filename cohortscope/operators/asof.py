@@ -5,21 +5,20 @@ an equi-join plus a range filter emits every (probe, event) pair of a key,
 and a window partitioned by the key alone puts a hot key's whole history in
 one task. This operator keys everything by ``(key, time block)``:
 
-1. In-block: probes and events of the same ``(key, block)`` are unioned and
-   scanned once in time order with a running ``last(..., ignorenulls)``
-   (an O(n) running frame). A group holds one key's rows for one block of
-   time, so its size is bounded by the block width, not by the key's
-   history.
-2. Across blocks: per ``(key, block)`` the first (or last) event is
-   aggregated map-side; a running window over the *blocks* of a key
-   (a few thousand rows at most: time span / block width) gives each block
-   the nearest non-empty block after (before) it.
-3. Probes without an in-block match take that value through an equi-join on
-   ``(key, block)`` whose right side has one row per key, so nothing fans out.
-
-No pair of rows is ever materialised; event and probe rows are only
-shuffled by ``(key, block)``, and the one window keyed by ``key`` alone runs
-over the block table (one row per key and block).
+1. In a sub-block (``sub_seconds`` of a key's ``block_seconds``), probes and
+   events are scanned once in time order with a running ``last(..., ignorenulls)``
+   (an O(n) running frame). A key with most of an hour's rows is spread over
+   that hour's sub-blocks.
+2. Each sub-block passes on its first (or last) event. A running window over
+   the sub-blocks of one block, and another over the blocks of one key (a few
+   thousand rows at most: time span / block width), carry the nearest event
+   to each sub-block: a prefix scan in three levels, each of bounded width.
+3. Probes without a match in their sub-block take the carried value through an
+   equi-join whose right side has one row per sub-block, so nothing fans out.
+
+No pair of rows is ever materialised. Probe and event rows are read and
+shuffled once: the scan and the table of sub-blocks read the same exchange, as
+both need all of its columns.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ def time_block(ts: Column, block_seconds: int) -> Column:
 
 def asof(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_ts: str,
          event_ts: str, out: str, direction: str = "forward",
-         block_seconds: int = 3600) -> DataFrame:
+         block_seconds: int = 3600, sub_seconds: int = 15) -> DataFrame:
     """Add column ``out``: the event time nearest to ``probe_ts`` on ``keys``.
 
     ``forward``: smallest ``event_ts >= probe_ts``; ``backward``: largest
@@ -55,31 +54,38 @@ def asof(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_ts: st
     pcols = probes.columns
     pid = "__asof_probe"
     p = (probes.withColumn(pid, F.struct(*[F.col(c) for c in pcols]))
-         .select(*keys, F.col(probe_ts).alias("__t"), F.lit(1).alias("__m"), pid))
+         .select(*keys, F.col(probe_ts).alias("__t"), pid))
     not_null = F.col("__t").isNotNull()
     for k in keys:  # NULL keys never match, as in an equi-join
         not_null = not_null & F.col(k).isNotNull()
     e = (events.select(*keys, F.col(event_ts).alias("__t")).where(not_null)
          .distinct()
-         .select(*keys, "__t", F.lit(0).alias("__m"), F.col("__t").alias("__e"),
-                 F.lit(None).cast(p.schema[pid].dataType).alias(pid)))
-    p = p.withColumn("__e", F.lit(None).cast("timestamp_ntz"))
-    both = p.unionByName(e).withColumn("__b", time_block(F.col("__t"), block_seconds))
-
-    # 1. in-block running scan; events sort before probes at equal times
-    order = [F.col("__t").desc() if fwd else F.col("__t").asc(), F.col("__m").asc()]
-    w = (Window.partitionBy(*keys, "__b").orderBy(*order)
+         .select(*keys, "__t", F.lit(None).cast(p.schema[pid].dataType).alias(pid)))
+    # a key without NULL (a struct is none) and block numbers without NULL: the joins below infer no filters,
+    # which would give their side an exchange of its own; a probe without a time lies beyond all events
+    nowhere = F.lit((1 << 62) if fwd else -(1 << 62))
+    block = lambda seconds: F.coalesce(time_block(F.col("__t"), seconds), nowhere)
+    both = (p.unionByName(e).select(F.struct(*keys).alias("__key"), "__t", pid, block(block_seconds).alias("__b"), block(min(sub_seconds, block_seconds)).alias("__s"))
+            .repartition("__key", "__b", "__s"))
+    keys = ["__key"]
+    event = F.when(F.col(pid).isNull(), F.col("__t"))
+    nearer, after = (F.min, lambda c: F.col(c).desc()) if fwd else (F.max, lambda c: F.col(c).asc())
+
+    # 1. running scan; events sort before probes at equal times
+    w = (Window.partitionBy(*keys, "__b", "__s").orderBy(after("__t"), F.col(pid).isNotNull().asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    scanned = both.withColumn("__in", F.last("__e", ignorenulls=True).over(w))
-    hits = scanned.where(F.col("__m") == 1).select(*keys, "__b", pid, "__in")
-
-    # 2. nearest non-empty block after/before each block of the key
-    blocks = (both.groupBy(*keys, "__b")
-              .agg((F.min("__e") if fwd else F.max("__e")).alias("__bm")))
-    wb = (Window.partitionBy(*keys).orderBy(F.col("__b").desc() if fwd else F.col("__b").asc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("__next", F.last("__bm", ignorenulls=True).over(wb)).drop("__bm")
-
-    # 3. probes without an in-block event take the neighbouring block's value
-    joined = hits.join(blocks, [*keys, "__b"], "left")
+    hits = both.withColumn("__in", F.last(event, ignorenulls=True).over(w)).where(F.col(pid).isNotNull()).select(*keys, "__b", "__s", pid, "__in")
+
+    # 2. nearest event after/before each sub-block: within its block, or else of the nearest block with one
+    def carried(rows, by, at, value, name):
+        before = Window.partitionBy(*by).orderBy(after(at)).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
+    subs = both.groupBy(*keys, "__b", "__s").agg(nearer(event).alias("__e"), F.count(pid).alias("__probes"))
+    subs = carried(subs, [*keys, "__b"], "__s", "__e", "__near")
+    blocks = carried(subs.groupBy(*keys, "__b").agg(nearer("__e").alias("__e")), keys, "__b", "__e", "__far").drop("__e")
+    subs = (subs.where(F.col("__probes") > 0).join(blocks, [*keys, "__b"], "left")
+            .select(*keys, "__b", "__s", F.coalesce("__near", "__far").alias("__next")))
+
+    # 3. probes without an event in their sub-block
+    joined = hits.join(subs, [*keys, "__b", "__s"], "left")
     return joined.select(f"{pid}.*", F.coalesce("__in", "__next").alias(out))

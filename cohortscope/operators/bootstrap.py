@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,10 @@ def _schema(df: DataFrame, keys, extra: str) -> str:
 
 
 #: Bits of a key that name its range: sixteen ranges per octave (sign, exponent, four bits of the fraction), then deeper.
-LEVELS = (16, 28, 40, 52, 64)
+LEVELS = (16, 32, 48, 64)
 MAX_TASK_VALUES = 20_000
 #: Replicates drawn at once; what a task holds of them, and what ranges pass on together.
-BLOCK = 1_000
+BLOCK = 2_500
 
 
 def order_keys(values: np.ndarray) -> np.ndarray:
@@ -69,10 +70,10 @@ def order_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _branches(keys, lo, hi):
-    """The bit at which the sorted ``keys[lo:hi]`` part, the bits from it upwards, and the first key of the right branch."""
-    bit = (int(keys[lo]) ^ int(keys[hi - 1])).bit_length() - 1
-    prefix = int(keys[lo]) >> bit
-    return bit, prefix, lo + int(np.searchsorted(keys[lo:hi], np.uint64(prefix << bit | 1 << bit)))
+    """The bit at which the sorted list ``keys[lo:hi]`` parts, the bits from it upwards, and the first key of the right branch."""
+    bit = (keys[lo] ^ keys[hi - 1]).bit_length() - 1
+    prefix = keys[lo] >> bit
+    return bit, prefix, bisect_left(keys, prefix << bit | 1 << bit, lo, hi)
 
 
 def _lefts(draws, left, total, seeds, bit, prefix):
@@ -82,7 +83,7 @@ def _lefts(draws, left, total, seeds, bit, prefix):
 def _total(values, keys, counts, draws, before, n, seeds, statistic):
     """The replicates' share of the statistic from sorted values that get ``draws``: their sum, or half the sum of
     those that are middle values. ``before``: draws of lower values."""
-    upto = np.concatenate(([0], np.cumsum(counts)))
+    keys, values, upto = keys.tolist(), values.tolist(), [0, *np.cumsum(counts).tolist()]
 
     def node(lo, hi, mine, below):
         if not mine.any():
@@ -100,7 +101,7 @@ def _total(values, keys, counts, draws, before, n, seeds, statistic):
 def _paths(keys, counts):
     """For each range (by one of its keys, sorted): the branchings from the root to it, as rows of
     (bit, prefix, count on the left, count, 1 if it lies on the right)."""
-    upto = np.concatenate(([0], np.cumsum(counts)))
+    keys, upto = keys.tolist(), [0, *np.cumsum(counts).tolist()]
     out, todo = [None] * len(keys), [(0, len(keys), ())]
     while todo:
         lo, hi, path = todo.pop()
@@ -108,7 +109,7 @@ def _paths(keys, counts):
             out[lo] = np.array(path, np.int64).reshape(-1, 5)
             continue
         bit, prefix, middle = _branches(keys, lo, hi)
-        step = (bit, np.uint64(prefix).astype(np.int64), upto[middle] - upto[lo], upto[hi] - upto[lo])
+        step = (bit, prefix - (prefix >> 63 << 64), upto[middle] - upto[lo], upto[hi] - upto[lo])
         todo += [(lo, middle, (*path, (*step, 0))), (middle, hi, (*path, (*step, 1)))]
     return out
 
@@ -198,7 +199,7 @@ def _add_ranges(keys):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         reps = pdf["rep"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(reps)
-        reps, parts = reps[order], pdf["part"].to_numpy()[order]
+        reps, parts = reps[order].tolist(), pdf["part"].to_numpy()[order]
 
         def node(lo, hi):
             if hi - lo == 1:
@@ -280,7 +281,8 @@ def _order_key(value: str):
 def _ranged(values: DataFrame, on, max_task_values: int) -> DataFrame:
     """``values`` with the range (level, prefix) of each: the widest that holds at most ``max_task_values`` of its arm's values."""
     prefix = lambda level: F.shiftrightunsigned("key", 64 - level) if level < 64 else F.col("key")
-    values = values.withColumn("key", _order_key("value"))
+    # one exchange, which all the counts and joins below reuse
+    values = values.withColumn("key", _order_key("value")).repartition(*on, "key")
     joined, level = values, F.lit(LEVELS[0])
     for k, above in enumerate(LEVELS[:-1]):
         # a full range implies that those above it are full; there are at most values / max_task_values of them

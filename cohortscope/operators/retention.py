@@ -13,7 +13,12 @@ difference truncates toward zero, an event is in ``b`` iff
 ``p + (lo_b + 1) min <= ts < p + (hi_b + 1) min``. So ``b`` is present iff
 the first event at or after ``p + (lo_b + 1) min`` is before
 ``p + (hi_b + 1) min``; Day 0 (which also takes events before the purchase)
-is present iff the user's first event is before ``p + (hi_0 + 1) min``.
+is present iff the user's first event is before ``p + (hi_0 + 1) min`` (a probe
+from the beginning of time).
+
+The matrices turn the probes of all entries into one mask per user and cohort
+day (bit b: active in bucket b) and count bits: every matrix, slice and daily
+series is an aggregate of ``retention_masks``.
 
 Output grain of ``retention_rows``: one row per (cohort row, activity kind,
 bucket) -- the reference's row set up to duplicates, without the
@@ -132,10 +137,6 @@ def registration_device(cohort: DataFrame, app: DataFrame, now, days: int = 90)
     ).distinct()
 
 
-def _plus_minutes(col: str, minutes: int):
-    return F.timestamp_add("MINUTE", F.lit(minutes), F.col(col))
-
-
 def bucket_presence(entries: DataFrame, events: DataFrame, mode: str = "reference",
                     block_seconds: int = 3600, after_purchase_only: bool = False,
                     by: tuple[str, ...] = ()) -> DataFrame:
@@ -148,39 +149,46 @@ def bucket_presence(entries: DataFrame, events: DataFrame, mode: str = "referenc
     ``after_purchase_only`` drops activity before the purchase (which the
     analysts' query counts as Day 0).
     """
-    keys = ["user_id", *by]
-    buckets = list(enrich.retention_buckets(mode)) + [(config.RETENTION_OVERFLOW, None)]
-    entries = entries.where(F.col("user_id").isNotNull())
-    if after_purchase_only:
-        buckets = [("", -1)] + buckets   # Day 0 becomes a probe at the purchase itself
-    out_cols = ["user_id", "purch_timestamp", *by, "bucket"]
-    parts = []
-    if not after_purchase_only:
-        # Day 0: any event before p + (hi_0 + 1) minutes, i.e. the key's first event
-        first = events.groupBy(*keys).agg(F.min("timestamp").alias("__first"))
-        label0, hi0 = buckets[0]
-        parts.append(entries.join(first, keys, "inner")
-                     .where(F.col("__first") < _plus_minutes("purch_timestamp", hi0 + 1))
-                     .select("user_id", "purch_timestamp", *by, F.lit(label0).alias("bucket")))
-    # other buckets: one probe per entry and lower boundary
-    probes = []
-    for (_, lo), (label, hi) in zip(buckets[:-1], buckets[1:]):
-        probes.append(F.struct(F.lit(label).alias("bucket"),
-                               F.lit(lo + 1).alias("lo"),
-                               F.lit(hi + 1 if hi is not None else None).cast("int").alias("hi")))
-    p = (entries.select("user_id", "purch_timestamp", *by, F.explode(F.array(*probes)).alias("__pr"))
-         .select("user_id", "purch_timestamp", *by, "__pr.*")
-         .withColumn("__t", F.timestamp_add("MINUTE", F.col("lo"), F.col("purch_timestamp"))))
-    found = asof(p, events.select(*keys, "timestamp"), keys, "__t", "timestamp",
-                 "__next", "forward", block_seconds)
-    upper = F.timestamp_add("MINUTE", F.col("hi"), F.col("purch_timestamp"))
-    parts.append(found.where(F.col("__next").isNotNull() &
-                             (F.col("hi").isNull() | (F.col("__next") < upper)))
-                 .select(*out_cols))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+    labels = [b for b, _ in enrich.retention_buckets(mode)] + [config.RETENTION_OVERFLOW]
+    found = _bucket_probes(entries.where(F.col("user_id").isNotNull()), events, mode, block_seconds, after_purchase_only, by)
+    return found.where("__hit").select("user_id", "purch_timestamp", *by, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("__k") + 1).alias("bucket"))
+
+
+def _bucket_probes(entries: DataFrame, events: DataFrame, mode: str, block_seconds: int = 3600,
+                   after_purchase_only: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every entry once for each bucket (``__k``; the overflow bucket is the last), with ``__hit``: whether
+    the bucket holds an event. Day 0 is probed from the beginning of time (or from the purchase)."""
+    ends = [hi for _, hi in enrich.retention_buckets(mode)]
+    probes = [F.struct(F.lit(k).alias("__k"), F.lit(lo).cast("int").alias("__lo"), F.lit(hi).cast("int").alias("__hi"))
+              for k, (lo, hi) in enumerate(zip([0 if after_purchase_only else None, *[x + 1 for x in ends]], [*[x + 1 for x in ends], None]))]
+    p = (entries.select("*", F.explode(F.array(*probes)).alias("__pr")).select(*entries.columns, "__pr.*")
+         .withColumn("__t", F.coalesce(F.timestamp_add("MINUTE", F.col("__lo"), F.col("purch_timestamp")), W.ts_lit("0001-01-01 00:00:00"))))
+    found = asof(p, events.select("user_id", *by, "timestamp"), ["user_id", *by], "__t", "timestamp", "__next", "forward", block_seconds)
+    upper = F.timestamp_add("MINUTE", F.col("__hi"), F.col("purch_timestamp"))
+    hit = F.col("__next").isNotNull() & (F.col("__hi").isNull() | (F.col("__next") < upper))
+    return found.withColumn("__hit", hit).drop("__next", "__t", "__lo", "__hi")
+
+
+def retention_masks(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons", cohort_days: int = 60,
+                    activity_days: int = 90, mode: str = "reference", by: tuple[str, ...] = ()) -> DataFrame:
+    """``(purch_date, *by, user_id, mask)``: bit k of ``mask`` says that the user was active in bucket k
+    of one of the day's subscriptions. Every matrix and slice is an aggregate of these rows.
+
+    The cohort and the activity are read once each.
+    """
+    entries = (subscription_cohort(funnel, now, cohort_days)
+               .select("user_id", "purch_timestamp", "purch_date", *by).distinct())
+    found = _bucket_probes(entries, activity(app, ACTIVITY_KINDS[kind], now, activity_days), mode)
+    bit = F.when(F.col("__hit"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__k"))).otherwise(F.lit(0).cast("long"))
+    return found.groupBy("purch_date", *by, "user_id").agg(F.bit_or(bit).alias("mask"))
+
+
+def _bucket_counts(masks: DataFrame, n: int, by) -> DataFrame:
+    """Users of each day's cohort (slice), and how many of them have each bit."""
+    has = [F.call_function("getbit", F.col("mask"), F.lit(k)).cast("long") for k in range(n)]
+    known = F.col("user_id").isNotNull()
+    return masks.groupBy("purch_date", *by).agg(
+        F.count("user_id").alias("cohort_users"), *[F.sum(F.when(known, x)).alias(f"__d{k}") for k, x in enumerate(has)])
 
 
 def _presence_by_kind(cohort: DataFrame, app: DataFrame, now, days: int, mode: str,
@@ -246,22 +254,11 @@ def retention_matrix(funnel: DataFrame, app: DataFrame, now, kind: str = "lesson
     distinct of them with ``kind`` activity in bucket N, divided by
     ``cohort_users``. ``by`` adds cohort columns (geo, subscription, ...).
     """
-    cohort = subscription_cohort(funnel, now, cohort_days)
-    keys = ["purch_date", *by]
-    entries = cohort.select("user_id", "purch_timestamp", *keys).distinct()
-    pres = bucket_presence(entries.select("user_id", "purch_timestamp").distinct(),
-                           activity(app, ACTIVITY_KINDS[kind], now, activity_days), mode)
     labels = [b for b, _ in enrich.retention_buckets(mode)]
-    active = (entries.join(pres, ["user_id", "purch_timestamp"], "inner")
-              .groupBy(*keys).pivot("bucket", labels)
-              .agg(F.count_distinct("user_id")))
-    size = entries.groupBy(*keys).agg(F.count_distinct("user_id").alias("cohort_users"))
-    a = active.alias("a")  # a NULL slice is a slice of its own
-    out = (size.alias("s").join(a, [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys], "left")
-           .select("s.*", *[F.col(f"a.`{b}`") for b in labels]))
-    cols = [F.round(F.coalesce(F.col(f"`{b}`"), F.lit(0)) / F.col("cohort_users"), 6)
-            .alias("retention_d" + b.split()[-1]) for b in labels]
-    return out.select(F.col("purch_date").alias("cohort_date"), *by, "cohort_users", *cols)
+    counts = _bucket_counts(retention_masks(funnel, app, now, kind, cohort_days, activity_days, mode, by), len(labels), by)
+    cols = [F.round(F.try_divide(F.coalesce(f"__d{k}", F.lit(0)), F.col("cohort_users")), 6)
+            .alias("retention_d" + b.split()[-1]) for k, b in enumerate(labels)]
+    return counts.select(F.col("purch_date").alias("cohort_date"), *by, "cohort_users", *cols)
 
 
 def retention_daily(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons",
@@ -269,19 +266,10 @@ def retention_daily(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons
                     by: tuple[str, ...] = ()) -> DataFrame:
     """Long form with one bucket per day (0..30): ``(cohort_date, *by, day, active_users,
     cohort_users, rate)``."""
-    cohort = subscription_cohort(funnel, now, cohort_days)
-    keys = ["purch_date", *by]
-    entries = cohort.select("user_id", "purch_timestamp", *keys).distinct()
-    pres = bucket_presence(entries.select("user_id", "purch_timestamp").distinct(),
-                           activity(app, ACTIVITY_KINDS[kind], now, activity_days), "daily")
-    active = (entries.join(pres, ["user_id", "purch_timestamp"], "inner")
-              .where(F.col("bucket") != config.RETENTION_OVERFLOW)
-              .groupBy(*keys, "bucket")
-              .agg(F.count_distinct("user_id").alias("active_users")).alias("a"))
-    size = entries.groupBy(*keys).agg(F.count_distinct("user_id").alias("cohort_users")).alias("s")
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]  # a NULL slice is a slice of its own
-    return (active.join(size, same, "inner")
-            .select(F.col("s.purch_date").alias("cohort_date"), *[F.col(f"s.{k}").alias(k) for k in by],
-                    F.substring_index("bucket", " ", -1).cast("int").alias("day"),
-                    "active_users", "cohort_users",
+    labels = [b for b, _ in enrich.retention_buckets("daily")]
+    counts = _bucket_counts(retention_masks(funnel, app, now, kind, cohort_days, activity_days, "daily", by), len(labels), by)
+    days = F.array(*[F.struct(F.lit(int(b.split()[-1])).alias("day"), F.col(f"__d{k}").alias("active_users")) for k, b in enumerate(labels)])
+    return (counts.select(F.col("purch_date").alias("cohort_date"), *by, "cohort_users", F.inline(days))
+            .where(F.col("active_users") > 0)
+            .select("cohort_date", *by, "day", "active_users", "cohort_users",
                     F.round(F.col("active_users") / F.col("cohort_users"), 6).alias("rate")))

