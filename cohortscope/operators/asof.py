@@ -53,21 +53,20 @@ def asof(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_ts: st
     keys = list(keys)
     pcols = probes.columns
     pid = "__asof_probe"
-    p = (probes.withColumn(pid, F.struct(*[F.col(c) for c in pcols]))
+    known = F.lit(True)
+    for k in keys:  # NULL keys never match, as in an equi-join: such probes go round the search
+        known = known & F.col(k).isNotNull()
+    p = (probes.where(known).withColumn(pid, F.struct(*[F.col(c) for c in pcols]))
          .select(*keys, F.col(probe_ts).alias("__t"), pid))
-    not_null = F.col("__t").isNotNull()
-    for k in keys:  # NULL keys never match, as in an equi-join
-        not_null = not_null & F.col(k).isNotNull()
-    e = (events.select(*keys, F.col(event_ts).alias("__t")).where(not_null)
+    e = (events.select(*keys, F.col(event_ts).alias("__t")).where(known & F.col("__t").isNotNull())
          .distinct()
          .select(*keys, "__t", F.lit(None).cast(p.schema[pid].dataType).alias(pid)))
-    # a key without NULL (a struct is none) and block numbers without NULL: the joins below infer no filters,
-    # which would give their side an exchange of its own; a probe without a time lies beyond all events
+    # block numbers without NULL, as the keys are: the joins below then add no filter of their own to one
+    # side, which would cost it its own exchange. A probe without a time lies beyond all events
     nowhere = F.lit((1 << 62) if fwd else -(1 << 62))
     block = lambda seconds: F.coalesce(time_block(F.col("__t"), seconds), nowhere)
-    both = (p.unionByName(e).select(F.struct(*keys).alias("__key"), "__t", pid, block(block_seconds).alias("__b"), block(min(sub_seconds, block_seconds)).alias("__s"))
-            .repartition("__key", "__b", "__s"))
-    keys = ["__key"]
+    both = (p.unionByName(e).select(*keys, "__t", pid, block(block_seconds).alias("__b"), block(min(sub_seconds, block_seconds)).alias("__s"))
+            .repartition(*keys, "__b", "__s"))
     event = F.when(F.col(pid).isNull(), F.col("__t"))
     nearer, after = (F.min, lambda c: F.col(c).desc()) if fwd else (F.max, lambda c: F.col(c).asc())
 
@@ -88,4 +87,5 @@ def asof(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_ts: st
 
     # 3. probes without an event in their sub-block
     joined = hits.join(subs, [*keys, "__b", "__s"], "left")
-    return joined.select(f"{pid}.*", F.coalesce("__in", "__next").alias(out))
+    found = joined.select(f"{pid}.*", F.coalesce("__in", "__next").alias(out))
+    return found.unionByName(probes.where(~known).withColumn(out, F.lit(None).cast(found.schema[out].dataType)))

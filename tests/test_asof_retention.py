@@ -86,7 +86,7 @@ def test_one_hot_hour_is_spread_over_its_sub_blocks(spark):
             assert got.pop(3000) is None and got.pop(3001) is None  # no time, no key
             assert got == _brute(probes[:-2], events, direction), (direction, sub)
     plan = asof(p, e, ["k"], "t", "ts", "nxt")._jdf.queryExecution().executedPlan().toString()
-    assert "__s" in plan.split("windowspecdefinition(__key")[1].split(")")[0]
+    assert "__s" in plan.split("windowspecdefinition(k")[1].split(")")[0]
 
 
 def _event_scans(df):
