@@ -6,8 +6,10 @@ distinct count (or ANY_VALUE) over one side, and the day is a join key, so
 each row of either side lands in its own day whether it matched or not: the
 same result comes from ``unionByName`` of both sides and one ``groupBy``.
 That removes the join (whose output grows with events-per-user-day squared)
-and leaves one shuffle that combines map-side. The conditional distinct
-counts plan as a single ``Expand``.
+and leaves shuffles that combine map-side. An event belongs to one step, and a
+step counts one kind of id, so the five conditional distinct counts need no
+copy of a row for each of them (``Expand``): rows are combined to one per
+(day, id) with a bit for each step reached, and the bits are summed.
 """
 
 from __future__ import annotations
@@ -38,20 +40,18 @@ def _app_side(app: DataFrame, start, end) -> DataFrame:
                     F.to_date("timestamp").alias("event_date"))
 
 
-def _step_counts(is_f, is_w) -> list:
-    name = F.col("event_name")
-    return [
-        F.count_distinct(F.when(is_f & name.like(config.PATH_EVENT_LIKE), F.col("device_id")))
-        .alias("s1_path_selected"),
-        F.count_distinct(F.when(is_f & (name == config.EMAIL_SUBMIT), F.col("user_id")))
-        .alias("s2_email_submit"),
-        F.count_distinct(F.when(is_f & (name == config.SUBSCRIBE), F.col("user_id")))
-        .alias("s3_subscribe"),
-        F.count_distinct(F.when(is_w & (name == config.SIGNUP_CLICK), F.col("user_id")))
-        .alias("s4_signup"),
-        F.count_distinct(F.when(is_w & (name == config.UPSELL_VIEW), F.col("user_id")))
-        .alias("s5_upsell_view"),
-    ]
+def _counted(rows: DataFrame, by: list[str], *more) -> tuple[DataFrame, list]:
+    """Rows per (``by``, id) with the steps reached, and the sums that count them: distinct devices for step 1,
+    users for the others. ``more``: aggregates to carry along."""
+    name, is_f = F.col("event_name"), F.col("side") == "f"
+    path = is_f & name.like(config.PATH_EVENT_LIKE)
+    step = (F.when(path, 1).when(is_f & (name == config.EMAIL_SUBMIT), 2).when(is_f & (name == config.SUBSCRIBE), 4)
+            .when(~is_f & (name == config.SIGNUP_CLICK), 8).when(~is_f & (name == config.UPSELL_VIEW), 16).otherwise(0))
+    ids = rows.withColumn("__device", path).withColumn("__id", F.when(path, F.col("device_id")).otherwise(F.col("user_id")))
+    per = ids.groupBy(*by, "__device", "__id").agg(F.bit_or(step).alias("__steps"), *more)
+    known = F.col("__id").isNotNull()
+    counts = [F.coalesce(F.sum(F.when(known, F.call_function("getbit", F.col("__steps"), F.lit(k)).cast("long"))), F.lit(0)).alias(s) for k, s in enumerate(STEPS)]
+    return per, counts
 
 
 def funnel_daily(funnel: DataFrame, app: DataFrame, start, end) -> DataFrame:
@@ -63,10 +63,8 @@ def funnel_daily(funnel: DataFrame, app: DataFrame, start, end) -> DataFrame:
     """
     both = _funnel_side(funnel, start, end).unionByName(_app_side(app, start, end),
                                                          allowMissingColumns=True)
-    is_f, is_w = F.col("side") == "f", F.col("side") == "w"
-    return (both.groupBy("event_date")
-            .agg(F.min("funnel_version").alias("funnel_version"), *_step_counts(is_f, is_w))
-            .orderBy(F.desc("event_date")))
+    per, counts = _counted(both, ["event_date"], F.min("funnel_version").alias("funnel_version"))
+    return per.groupBy("event_date").agg(F.min("funnel_version").alias("funnel_version"), *counts).orderBy(F.desc("event_date"))
 
 
 def _ratio(num: str, den: str):
@@ -101,9 +99,8 @@ def funnel_by_version_geo(funnel: DataFrame, app: DataFrame, start, end) -> Data
     w = _app_side(app, start, end).distinct()
     w_rows = w.join(keys, ["user_id", "event_date"], "left")
     both = f_rows.unionByName(w_rows, allowMissingColumns=True)
-    is_f, is_w = F.col("side") == "f", F.col("side") == "w"
-    return (both.groupBy("event_date", "funnel_version", "geo")
-            .agg(*_step_counts(is_f, is_w)))
+    per, counts = _counted(both, ["event_date", "funnel_version", "geo"])
+    return per.groupBy("event_date", "funnel_version", "geo").agg(*counts)
 
 
 def onboarding_completion(funnel: DataFrame, now, days: int = 30) -> DataFrame:

@@ -65,7 +65,7 @@ def user_path(funnel: DataFrame, cohort: DataFrame, now, days: int = 180,
     """
     entries = cohort.select("user_id", F.col("purch_timestamp").alias("timestamp")).distinct()
     subs = W.last_days(events_named(funnel, config.SUBSCRIBE), cohort_days, now)
-    meta_path = (J.with_metadata(subs.join(entries, ["user_id", "timestamp"], "left_semi"))
+    meta_path = (J.with_metadata(subs.join(entries, subs["user_id"].eqNullSafe(entries["user_id"]) & (subs["timestamp"] == entries["timestamp"]), "left_semi"))
                  .select("user_id", path_from_metadata().alias("path_from_meta")).distinct())
     latest = latest_path_by_user(funnel, cohort, device_user_map(funnel, now, days), now, days)
     return (meta_path.join(latest, "user_id", "left")

@@ -34,6 +34,7 @@ from cohortscope.functions import enrich, json_fields as J
 from cohortscope.functions import windows as W
 from cohortscope.functions.stats import exact_avg, exact_sum
 from cohortscope.operators.experiment import arm_order
+from cohortscope.operators.selection import exact_median
 from cohortscope.operators.volume import events_named
 
 
@@ -269,9 +270,8 @@ def median_time_to_ttp(app: DataFrame, user_df: DataFrame, by=("geo",)) -> DataF
          .select("user_id", "upsell_order",
                  F.timestamp_diff("SECOND", F.col("__view"), F.col("__ttp")).alias("secs")))
     slices = user_df.select("user_id", "upsell_order", *by).distinct()
-    return (t.join(slices, ["user_id", "upsell_order"], "inner").groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("ttp_users"),
-                 F.round(F.median("secs"), 6).alias("median_seconds")))
+    per = exact_median(t.join(slices, ["user_id", "upsell_order"], "inner"), by, "secs", "median_seconds", "ttp_users")
+    return per.withColumn("median_seconds", F.round("median_seconds", 6))
 
 
 def traffic_composition(pull: DataFrame, by=()) -> DataFrame:

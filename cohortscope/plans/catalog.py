@@ -378,7 +378,7 @@ def _power_two_sided(spark, sf_dir):
 
 def pull_with_ltv(spark, sf_dir):
     """The experiment pull exported as CSV with each user's settled total as ``ltv`` and read
-    back, as the analysts do (without a shared folder the export is left out)."""
+    back, as the analysts do."""
     from pyspark.sql import functions as F
     from cohortscope.sources.events import UPSELL_PULL_SCHEMA, read_upsell_csv
     from cohortscope.sources.sinks import write_scratch_csv
@@ -386,8 +386,7 @@ def pull_with_ltv(spark, sf_dir):
            .groupBy(F.col("customer_account_id").alias("user_id")).agg((F.sum("amount") / 100).alias("ltv")))
     rows = (pull(spark, sf_dir, experiment=True).drop("has_insufficient_funds_decline")
             .join(ltv, "user_id", "left").select(*UPSELL_PULL_SCHEMA.names))
-    path = write_scratch_csv(rows)
-    return rows if path is None else read_upsell_csv(spark, path)
+    return read_upsell_csv(spark, write_scratch_csv(rows))
 
 
 @query("ltv_estimates")

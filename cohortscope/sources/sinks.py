@@ -48,13 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def write_scratch_csv(df: DataFrame) -> str | None:
+def write_scratch_csv(df: DataFrame) -> str:
     """Write ``df`` as CSV with a header into a new folder under the shared checkpoint
-    folder and return its path; None where no shared folder is set."""
+    folder (the warehouse, which is shared too, where none is set) and return its path."""
     spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        return None
+    d = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+         or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
     path = f"{d}/csv-{uuid.uuid4().hex[:12]}"
     df.write.option("header", True).csv(path)
     return path

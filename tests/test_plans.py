@@ -8,10 +8,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_funnel_uses_one_expand_and_no_join(spark):
+def test_funnel_copies_no_rows(spark):
     plan = _plan(E.queries()["funnel_daily"](spark, SF_SMALL))
-    assert "Expand" in plan
-    assert "Join" not in plan
+    assert "Expand" not in plan and "Join" not in plan
+    assert "partial_bit_or" in plan  # combined before the shuffle
+    assert "Expand" not in _plan(E.queries()["funnel_by_version_geo"](spark, SF_SMALL))
 
 
 def test_no_cartesian_products(spark):
