@@ -21,7 +21,7 @@ from cohortscope.functions.stats import exact_avg, exact_sum
 SEGMENT_DIMS = ("subscription", "channel", "geo", "payment_method", "utm_source")
 
 
-def to_user_level(pull: DataFrame) -> DataFrame:
+def to_user_level(pull: DataFrame, dedupe_cash: bool = False) -> DataFrame:
     """Pull rows -> one row per ``(user_id, split, upsell_order)``.
 
     Rows with a NULL key are dropped (pandas group keys). Dimensions take the
@@ -30,6 +30,10 @@ def to_user_level(pull: DataFrame) -> DataFrame:
     giving 0; ``ticket_count`` is NULL-filled with 0 before summing, and
     ``is_ticket`` is recomputed from it. ``purch_count`` is the user's total
     of ``ups_purched`` over all pull rows. ``ltv`` is averaged when present.
+
+    A slot's views, clicks and unsubscribes repeat its cash in the pull, and the sum
+    counts each repetition, as the analysts' does. ``dedupe_cash`` counts each
+    distinct (purchases, amount) of a user's slot once.
     """
     df = pull.withColumn("ticket_count", F.coalesce(F.col("ticket_count"), F.lit(0)))
     df = df.withColumn("is_ticket", F.when(F.col("ticket_count") != 0, 1).otherwise(0))
@@ -42,11 +46,15 @@ def to_user_level(pull: DataFrame) -> DataFrame:
         return F.min_by(F.col(c), F.when(present, F.struct(F.col("timestamp"), F.col(c)))).alias(c)
 
     keys = ("user_id", "split", "upsell_order")
+    cash = F.sum("purch_amount")
+    if dedupe_cash:  # the distinct prices of one slot of one user
+        cash = F.aggregate(F.array_sort(F.collect_set(F.when(F.col("purch_amount").isNotNull(), F.struct("purch_count", "purch_amount")))),
+                           F.lit(0.0), lambda total, x: total + x["purch_amount"])
     aggs = [first(c) for c in SEGMENT_DIMS] + [
         F.max("ups_view").alias("ups_view"), F.max("ups_ttp").alias("ups_ttp"),
         F.max("ups_purched").alias("ups_purched"), F.max("unsub12h").alias("unsub12h"),
         # rounded: the sum of doubles must not depend on the summation order
-        F.round(F.coalesce(F.sum("purch_amount"), F.lit(0.0)), 6).alias("purch_amount"),
+        F.round(F.coalesce(cash, F.lit(0.0)), 6).alias("purch_amount"),
         F.sum("ticket_count").alias("ticket_count"), F.max("is_ticket").alias("is_ticket"),
     ] + ([F.round(F.avg("ltv"), 6).alias("ltv")] if has_ltv else [])
     # one aggregation over the pull: groups with a NULL split or slot are kept
@@ -73,8 +81,12 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def metric_definitions(columns) -> list[Metric]:
-    """The twelve comparison metrics, in report order (LTV only with an ``ltv`` column)."""
+def metric_definitions(columns, documented: bool = False) -> list[Metric]:
+    """The twelve comparison metrics, in report order (LTV only with an ``ltv`` column).
+
+    ``documented`` adds the AOV as its written definition has it: over purchasers with a settled
+    payment, without those whose amounts are all unknown (whom the plain AOV counts with 0).
+    """
     v, t, p = (_c("ups_view") == 1), (_c("ups_ttp") == 1), (_c("ups_purched") == 1)
     out = [
         Metric(1, "Upsell View Count", "sum", None, _c("ups_view")),
@@ -91,6 +103,8 @@ def metric_definitions(columns) -> list[Metric]:
                _c("is_ticket")),
         Metric(11, "AOV (on Purch Users)", "mean", p, _c("purch_amount")),
     ]
+    if documented:
+        out.append(Metric(13, "AOV (on Settled Purch Users)", "mean", p & (_c("purch_amount") > 0), _c("purch_amount")))
     return [m for m in out if m.needs is None or m.needs in columns]
 
 
@@ -107,14 +121,14 @@ def with_segments(user_df: DataFrame, axes=config.SEGMENT_AXES) -> DataFrame:
             .select("*", "__seg.axis", "__seg.segment").drop("__seg"))
 
 
-def metric_samples(seg_df: DataFrame) -> DataFrame:
+def metric_samples(seg_df: DataFrame, documented: bool = False) -> DataFrame:
     """Long samples ``(axis, segment, split, metric_id, metric, statistic, value)``.
 
     A row contributes to a metric only inside the metric's population (the
     notebook's mask + dropna). The per-user metric regroups each arm's rows
     by user first.
     """
-    metrics = metric_definitions(seg_df.columns)
+    metrics = metric_definitions(seg_df.columns, documented)
     items = []
     for m in metrics:
         keep = m.value.isNotNull() if m.population is None else (m.population & m.value.isNotNull())
@@ -184,14 +198,14 @@ def point_estimates(samples: DataFrame, arms: DataFrame) -> DataFrame:
 
 def segment_point_estimates(user_df: DataFrame, axes=config.SEGMENT_AXES,
                             min_rows: int = config.MIN_SEGMENT_ROWS,
-                            control: str | None = None) -> DataFrame:
+                            control: str | None = None, documented: bool = False) -> DataFrame:
     seg = with_segments(user_df, axes)
-    return point_estimates(metric_samples(seg), segment_arms(seg, min_rows, control))
+    return point_estimates(metric_samples(seg, documented), segment_arms(seg, min_rows, control))
 
 
-def metric_point_estimates(user_df: DataFrame, control: str | None = None) -> DataFrame:
+def metric_point_estimates(user_df: DataFrame, control: str | None = None, documented: bool = False) -> DataFrame:
     """The overall comparison only."""
-    return segment_point_estimates(user_df, axes=(), control=control)
+    return segment_point_estimates(user_df, axes=(), control=control, documented=documented)
 
 
 def to_long(estimates: DataFrame, experiment: str | None = None) -> DataFrame:

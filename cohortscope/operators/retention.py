@@ -273,3 +273,17 @@ def retention_daily(funnel: DataFrame, app: DataFrame, now, kind: str = "lessons
             .where(F.col("active_users") > 0)
             .select("cohort_date", *by, "day", "active_users", "cohort_users",
                     F.round(F.col("active_users") / F.col("cohort_users"), 6).alias("rate")))
+
+
+def early_unsubscribes(funnel: DataFrame, app: DataFrame, now, days: int = 60, hours: int = 12,
+                       by: tuple[str, ...] = ("geo",)) -> DataFrame:
+    """Subscribers and those of them who unsubscribed within ``hours`` of a subscribe, per slice:
+    the churn rate as it is defined in writing, whatever the user bought."""
+    entries = (subscription_cohort(funnel, now, days).where(F.col("user_id").isNotNull())
+               .select("user_id", "purch_timestamp", *by).distinct())
+    unsubs = W.since_days(events_named(app, config.UNSUBSCRIBED), days, now).select("user_id", "timestamp")
+    found = asof(entries, unsubs, ["user_id"], "purch_timestamp", "timestamp", "__unsub")
+    soon = F.coalesce(F.col("__unsub") <= F.timestamp_add("HOUR", F.lit(hours), F.col("purch_timestamp")), F.lit(False))
+    per_user = found.groupBy(*by, "user_id").agg(F.max(soon).alias("__soon"))
+    return (per_user.groupBy(*by).agg(F.count(F.lit(1)).alias("subscribers"), F.count_if("__soon").alias("unsubscribed"))
+            .withColumn("unsub_share", F.round(F.col("unsubscribed") / F.col("subscribers"), 6)))

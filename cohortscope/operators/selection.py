@@ -3,10 +3,9 @@
 ``percentile`` and ``median`` keep a value -> count map of a group in one task. Here the
 values of all groups are first counted (``(group, value)`` rows, combined
 map-side and spread by value), and the wanted ranks are then found digit by
-digit, as in a radix sort: the counts of the leading 16 bits say in which
-sixteenth-bit range a rank lies, the next pass looks only into that range. A
-window runs over at most 65,536 digit counts of one group and rank, whatever
-the group holds; the counted values are read once and reused by all passes.
+digit, as in a radix sort: the counts of the leading 20 bits say in which range a
+rank lies, the next pass looks only into that range. A window runs over at most
+2^20 digit counts of one group and rank, whatever the group holds; the counted values are read once and reused by all passes.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT = 16
+DIGIT = 20
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median", count: str = "n", bits: int = 48) -> DataFrame:
+def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median", count: str = "n", bits: int = 40) -> DataFrame:
     """``(*by, count, out)``: the number of values and their median (the mean of the two middle ones), per group.
 
     ``value`` holds whole numbers from 0 up to ``2 ** bits`` - 1 (a value outside raises an error); NULL values

