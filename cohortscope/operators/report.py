@@ -4,17 +4,20 @@ For each analysed segment (overall first, then the axes in order, values
 sorted): if any metric is significant, every metric of the segment is
 listed with direction (flipped for metrics where an increase is bad),
 values, changes, p-value and decision; otherwise one "no significant
-differences" line. Lines are built with native string functions; the text
-sink writes them in ``line_no`` order.
+differences" line. Lines are built with native string functions; segments are
+numbered over ranges (there may be any number of UTM sources), and the text
+sink writes the lines in ``line_no`` order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope import config
+from cohortscope.operators.numbering import number_rows
 
+# The wording and rules of the report that readers know.
 RULE = "=" * 80
 DASH = "-" * 80
 # metrics whose values and differences are shown with 0 / 2 decimals (others: 4)
@@ -40,9 +43,7 @@ def summary_lines(results: DataFrame) -> DataFrame:
     seg = results.withColumn("axis_order", axis_order)
     per_seg = (seg.groupBy("axis", "segment", "axis_order")
                .agg(F.sum(F.col("significant").cast("int")).alias("n_sig")))
-    # a few dozen segments: a single ordered window over the aggregated rows
-    per_seg = per_seg.withColumn(
-        "seg_no", F.row_number().over(Window.orderBy("axis_order", "segment")))
+    per_seg = number_rows(per_seg, ["axis_order", "segment"], "seg_no")
     flipped = F.col("metric").isin(*config.NEGATIVE_METRICS)
     direction = F.upper(F.when(flipped & (F.col("direction") == "positive"), F.lit("negative"))
                         .when(flipped & (F.col("direction") == "negative"), F.lit("positive"))

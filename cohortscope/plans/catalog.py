@@ -419,3 +419,15 @@ def _mde_with_ltv(spark, sf_dir):
 def _bootstrap_decided(spark, sf_dir):
     """What the bootstrap says of every analysed segment whatever is drawn: arms, estimates, sizes and direction."""
     return B.bootstrap_segments(user_level(spark, sf_dir), n_boot=200).drop("ci_lower", "ci_upper", "p_value", "significant")
+
+
+@query("report_lines")
+def _report_lines(spark, sf_dir):
+    """The report of the segment estimates, with a fixed rule in place of the drawn decision."""
+    from pyspark.sql import functions as F
+    from cohortscope.sources.sinks import cut_lineage
+    e = X.segment_point_estimates(user_level(spark, sf_dir))
+    change = F.abs("relative_difference_pct")
+    results = e.select("*", F.when(F.col("observed_difference") > 0, "positive").otherwise("negative").alias("direction"),
+                       F.coalesce(change >= 60, F.lit(False)).alias("significant"), F.round(1 / (F.col("clean_n") + F.col("test_n")), 6).alias("p_value"))
+    return RP.summary_lines(cut_lineage(results))

@@ -31,13 +31,11 @@ def drop_partitions(spark: SparkSession, path: str, partition_col: str, values)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Write a ``(line_no, line)`` report as one ordered text file.
+    """Write a ``(line_no, line)`` report as ordered text: the part files, by name, hold the lines in order.
 
-    The report has a few lines per segment, so a single output partition is
-    bounded by the number of segments, not by the data.
+    The sort is distributed; a report of a few thousand lines is one file.
     """
-    (lines.repartition(1).sortWithinPartitions("line_no").select("line")
-     .write.mode("overwrite").text(path))
+    lines.orderBy("line_no").select("line").write.mode("overwrite").text(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -51,14 +49,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def write_scratch_csv(df: DataFrame) -> str:
     """Write ``df`` as CSV with a header into a new folder under the shared checkpoint
     folder (the warehouse, which is shared too, where none is set) and return its path."""
-    spark = df.sparkSession
-    d = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-         or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
-    path = f"{d}/csv-{uuid.uuid4().hex[:12]}"
+    path = _scratch(df.sparkSession, "csv")
     df.write.option("header", True).csv(path)
     return path
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    d = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+         or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
+    return f"{d}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back: what was numbered or drawn stays so."""
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
 

@@ -29,3 +29,15 @@ def test_median_of_no_rows_and_of_values_out_of_range(spark):
 def test_median_keeps_no_group_in_a_buffer(spark):
     plan = exact_median(spark.range(10).select((F.col("id") % 2).alias("g"), "id"), ["g"], "id")._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "ObjectHashAggregate" not in plan and "collect_" not in plan
+
+
+def test_numbers_over_several_ranges(spark):
+    from cohortscope.operators.numbering import number_rows
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.when(F.col("id") % 3 == 0, None).otherwise("x").alias("c"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.no, r.v) for r in number_rows(df, ["v"], "no").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(k + 1, k) for k in range(500)]
+    assert number_rows(df.where("v < 0"), ["v"], "no").count() == 0
