@@ -431,3 +431,14 @@ def _report_lines(spark, sf_dir):
     results = e.select("*", F.when(F.col("observed_difference") > 0, "positive").otherwise("negative").alias("direction"),
                        F.coalesce(change >= 60, F.lit(False)).alias("significant"), F.round(1 / (F.col("clean_n") + F.col("test_n")), 6).alias("p_value"))
     return RP.summary_lines(cut_lineage(results))
+
+
+@query("daily_extract")
+def _daily_extract(spark, sf_dir):
+    """The daily volume as an extract: a first load of some days, a refresh of all, read by its manifest."""
+    from pyspark.sql import functions as F
+    from cohortscope.sources.sinks import read_extract, scratch_folder, write_extract
+    daily, path = V.daily_volume(sources(spark, sf_dir).funnel, NOW, days=30), scratch_folder(spark, "extract")
+    write_extract(daily.where(F.dayofmonth("event_date") % 2 == 0).withColumn("subscribes", F.lit(-1).cast("long")), path, "event_date")
+    write_extract(daily, path, "event_date")
+    return read_extract(spark, path).select(*daily.columns)

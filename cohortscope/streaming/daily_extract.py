@@ -3,8 +3,8 @@
 The dashboards read extracts refreshed once a day. Recomputing the whole
 extract every day rescans the whole look-back window; instead this job
 tails the event table as a file stream and, per micro-batch, recomputes only
-the days that received new files and overwrites exactly those partitions of
-the extract (dynamic partition overwrite). Distinct counts stay exact
+the days that received new files and replaces exactly those partitions of
+the extract (``sinks.write_extract``: one run, then one manifest). Distinct counts stay exact
 because each touched day is recomputed from the full event table for that
 day, read with a partition filter -- the stream only says *which* days
 changed.
@@ -12,7 +12,7 @@ changed.
 Run it with ``trigger(availableNow=True)`` from a daily scheduler: it
 processes everything new since the last run and stops. Progress lives in
 the checkpoint location, so a restarted or failed run resumes where it left
-off (a batch that is replayed overwrites the same partitions again, so the
+off (a batch that is replayed replaces the same partitions again, so the
 sink is idempotent).
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.sources.events import EVENT_SCHEMA
-from cohortscope.sources.sinks import drop_partitions
+from cohortscope.sources.sinks import write_extract
 
 DailyQuery = Callable[[DataFrame], DataFrame]
 
@@ -40,12 +40,8 @@ def refresh_days(spark: SparkSession, table_path: str, days: DataFrame, query: D
         return
     table = spark.read.schema(EVENT_SCHEMA).parquet(table_path)
     part = table.where(F.col(date_col).isin(dates))
-    result = query(part)
-    (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(date_col).parquet(out_path))
-    # a touched day whose result has no rows is not in the write: its old partition goes
-    left = {r[0] for r in result.select(date_col).distinct().collect()}
-    drop_partitions(spark, out_path, date_col, [d for d in dates if d not in left])
+    # a touched day whose result has no rows loses its old partition
+    write_extract(query(part), out_path, date_col, refreshed=dates)
 
 
 def start(spark: SparkSession, table_path: str, query: DailyQuery, out_path: str,

@@ -56,10 +56,10 @@ def test_write_extract_replaces_only_present_partitions(spark):
     funnel = driver_tables.derive(spark, SF_SMALL).funnel
     daily = V.daily_volume(funnel, dt.datetime(2024, 1, 31), days=30)
     sinks.write_extract(daily, out, "event_date")
-    before = spark.read.parquet(out).count()
+    before = sinks.read_extract(spark, out).count()
     one_day = daily.orderBy("event_date").limit(1).withColumn("subscribes", F.lit(-1).cast("long"))
     sinks.write_extract(one_day, out, "event_date")
-    after = spark.read.parquet(out)
+    after = sinks.read_extract(spark, out)
     assert after.count() == before
     assert after.where(F.col("subscribes") == -1).count() == 1
 
@@ -70,3 +70,43 @@ def test_write_report_orders_lines(spark):
     sinks.write_report(lines, out)
     text = [r[0] for r in spark.read.text(out).collect()]
     assert text == ["a", "b", "c"]
+
+
+def test_extract_runs_once_and_survives_a_killed_refresh(spark):
+    out = os.path.join(_scratch(), "extract")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            runs.add(len(f))
+            yield f
+    day = lambda n, v: spark.range(n).select(F.lit(v).cast("date").alias("event_date"), "id")
+    days = day(3, "2024-01-01").unionByName(day(2, "2024-01-02")).mapInPandas(counted, "event_date date, id long")
+    sinks.write_extract(days, out, "event_date")
+    assert runs.value == 5  # the result is not computed again to see which days it has
+    seen = sinks.read_extract(spark, out)
+    try:
+        sinks.write_extract(day(9, "2024-01-02").withColumn("id", F.when(F.col("id") == 8, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long")), out, "event_date")
+        raise AssertionError("the refresh should have failed")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert sorted(r.id for r in sinks.read_extract(spark, out).collect()) == [0, 0, 1, 1, 2]
+    # a refresh without rows for one of its days drops that day; who read before still can
+    sinks.write_extract(day(1, "2024-01-03"), out, "event_date", refreshed=[dt.date(2024, 1, 2), dt.date(2024, 1, 3)])
+    got = sinks.read_extract(spark, out)
+    assert sorted((str(r.event_date), r.id) for r in got.collect()) == [("2024-01-01", 0), ("2024-01-01", 1), ("2024-01-01", 2), ("2024-01-03", 0)]
+    assert seen.count() == 5 and got.schema["event_date"].dataType.simpleString() == "date"
+    # versions that no manifest names any more go
+    for k in range(3):
+        sinks.write_extract(day(k + 1, "2024-01-03"), out, "event_date")
+    assert len([n for n in os.listdir(out) if n.startswith("version-")]) <= 3
+
+
+def test_extract_without_partitions_and_without_rows(spark):
+    out = os.path.join(_scratch(), "extract")
+    sinks.write_extract(spark.range(3), out)
+    sinks.write_extract(spark.range(5), out)
+    assert sinks.read_extract(spark, out).count() == 5
+    empty = os.path.join(_scratch(), "extract")
+    sinks.write_extract(spark.range(0).withColumn("d", F.lit(1)), empty, "d")
+    assert sinks.read_extract(spark, empty).count() == 0

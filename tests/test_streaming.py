@@ -6,6 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cohortscope.sources import driver_tables
+from cohortscope.sources.sinks import read_extract
 from cohortscope.streaming import daily_extract as DX
 from conftest import SF_SMALL
 
@@ -23,6 +24,6 @@ def test_incremental_extract_matches_batch(spark):
     # a day's worth of new files arrives; the next run only touches those days
     funnel.where(F.col("event_date").isin(rest)).write.mode("append").partitionBy("event_date").parquet(table)
     DX.start(spark, table, q, out, ckpt).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(out).select("event_date", "subscribes", "unique_users").collect()}
+    got = {tuple(r) for r in read_extract(spark, out).select("event_date", "subscribes", "unique_users").collect()}
     want = {tuple(r) for r in q(funnel).select("event_date", "subscribes", "unique_users").collect()}
     assert got == want and len(got) == len(days)
