@@ -41,7 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove what ``stored`` wrote for ``frames``; nothing may read them any more."""
+    for df in frames:
+        if df is not None and getattr(df, "_stored_at", None):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:

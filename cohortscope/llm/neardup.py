@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, slices, spread, stored, word_hashes
+from .common import mix, release, rolling, slices, spread, stored, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -46,6 +46,8 @@ PIVOTS = 3
 MAX_ROUNDS = 2
 #: Texts of one shingle that a salt of the exact join holds.
 SALT_ROWS = 1000
+#: Bytes of text whose shingles a worker holds at once.
+SLICE = 1_500_000
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -146,7 +148,7 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
     """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, element, n_words, sequence = shingles(part["text"], width)
                 weight = np.ones(len(doc))  # a repeated shingle throws the same darts: the set is what counts
                 if weighting == "count":
@@ -171,7 +173,7 @@ def similar(pairs: DataFrame, texts: DataFrame, at_least: float = SIMILARITY, wi
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta"):
+            for part in slices(batch, "ta", SLICE):
                 n = part.num_rows
                 doc, element, _ = distinct(*shingles(pa.concat_arrays([part["ta"], part["tb"]]), width)[:2])
                 size = np.bincount(doc, minlength=2 * n)
@@ -185,15 +187,15 @@ def similar(pairs: DataFrame, texts: DataFrame, at_least: float = SIMILARITY, wi
     return joined.mapInArrow(check, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b): root is the least id of its component.
 
     Large-star and small-star steps in turn, as joins on pre-aggregated
-    minima; each round is written to the shared folder.
+    minima, until a round changes nothing; each round is written to the shared folder.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     last = None
-    for _ in range(rounds):
+    while True:  # the rounds grow with the logarithm of the longest chain
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -201,18 +203,21 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        edges = stored(small, "components")
+        before, edges = edges, stored(small, "components")
+        release(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
                               F.count_if(F.col("v").isNull())).first())
         if now == last:
             break
         last = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    roots._stored_at = edges._stored_at  # goes with the table that it reads
+    return roots
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> DataFrame:
-    """(a, b): all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups."""
+def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(a, b), and the stored table that it reads: all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups."""
     rooted = (members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left")
               .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
@@ -220,7 +225,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, element, _ = distinct(*shingles(part["text"], width)[:2])
                 yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), part["root"].take(pa.array(doc)), pa.array(element.view(np.int64))], ["id", "root", "e"])
 
@@ -228,12 +233,17 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least
     ranked = (sets.join(sets.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e").groupBy("id", "root")
               .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s")).withColumn("size", F.size("s")))
     prefix = F.slice("s", 1, (F.col("size") - F.ceil(at_least * F.col("size") - 1e-6) + 1).cast("int"))
-    rare = stored(ranked.select("id", "root", "size", F.explode(prefix).alias("x")).select("id", "root", "size", "x.e", "x.n").filter("n > 1"), "rare")
+    rare = stored(ranked.select("id", "root", "size", F.posexplode(prefix).alias("at", "x")).select("id", "root", "size", "at", "x.e", "x.n").filter("n > 1"), "rare")
+    release(sets, wanted)
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    left = rare.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), "e", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    right = rare.select(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), "e", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    left = rare.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("at").alias("ia"), "e", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    right = rare.select(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("at").alias("ib"), "e", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # similar sets share so many elements; those before their first shared one are not shared, so what is left from there on must do.
+    # At the first shared element this loses nothing, and later ones (the frequent ones) meet it ever less
+    enough = at_least / (1 + at_least) * (F.col("sa") + F.col("sb")) - 1e-6
     return (left.join(right, ["e", "salt"]).filter("a < b and ra != rb")
-            .filter(F.least("sa", "sb") >= at_least * F.greatest("sa", "sb") - 1e-6).select("a", "b").distinct())
+            .filter(F.least("sa", "sb") >= at_least * F.greatest("sa", "sb") - 1e-6)
+            .filter(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= enough).select("a", "b").distinct(), rare)
 
 
 def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY, id_col: str = "doc_id",
@@ -256,6 +266,7 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
     texts = stored(texts_all.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
     labels = spark.createDataFrame([], "id long, root long")
     links = tested = None
+    seen, held = [], []  # stored pairs and links
     for turn in range(1 + MAX_ROUNDS):
         used = range(PIVOTS) if turn == 0 else range(PIVOTS + 2 * turn - 2, PIVOTS + 2 * turn)
         pairs = (members.select(F.col("rep").alias("x"), F.explode(F.array(*[f"p{i}" for i in used])).alias("y")).filter("x != y")
@@ -268,13 +279,20 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
         found = stored(similar(pairs, texts, at_least), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        seen.append(pairs)
+        held.append(found)
         if found.isEmpty():
             break
-        labels = components(links)
-    pairs = stored(rest_pairs(members_of, labels, texts, at_least).join(tested, ["a", "b"], "left_anti"), "pairs")
+        before, labels = labels, components(links)
+        release(before)
+    rest, rare = rest_pairs(members_of, labels, texts, at_least)
+    pairs = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    release(rare, members, members_of, *seen)
     found = stored(similar(pairs, texts, at_least), "links")
     if not found.isEmpty():
-        labels = components(links.unionByName(found))
+        before, labels = labels, components(links.unionByName(found))
+        release(before)
+    release(pairs, found, texts, *held)
     member = signed.join(reps.select("digest", "rep", "n_copies"), "digest", "left").join(
         labels.withColumnRenamed("id", "rep"), "rep", "left")
     return member.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep", "id").alias("class_id"),
