@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -85,6 +86,29 @@ def test_pii(spark, odd, odd_rows, sf_rows):
         assert r["spans"].startswith(",".join(py_spans(PII_TEXTS[r["doc_id"]])))
 
 
+def test_pii_adds_what_no_base_rule_has(spark, sf_rows):
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = {"email_like": lambda: f"{word()} (at) {word()} (dot) org", "phone_like": lambda: f"0{rng.randint(1, 9)}{digits(2)} {digits(3)} {digits(4)}"}
+    clean = {"dates": lambda: f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", "rows": lambda: f"{digits(3)} {digits(3)} {digits(3)}",
+             "numbers": lambda: digits(14), "speech": lambda: f"{word()} @{word()}. {word()}"}
+    base = [(10**6 + r[0], *r[1:]) for r in sf_rows if r[0] is not None]
+    rows, want = list(base), {}
+    for k in range(800):
+        kind = rng.choice([*make, *clean])
+        found = {**make, **clean}[kind]()
+        text = f"{word()} {word()} {found}, {word()}"
+        rows.append((k, text, None, None, 0))
+        at = text.index(found)
+        want[k] = [f"{kind}:{at}:{at + len(found)}"] if kind in make else []
+    got = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in pii.digest(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: got[k] for k in want} == want
+    alone = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(base, schema)).collect()}
+    assert all(alone[r[0]] == ",".join(py_spans(r[1] or "")) for r in base)  # nothing else in these texts
+
+
 # --------------------------------------------------------------- op6
 def lm_expect(rows, train):
     tok = lambda t: [*WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)})), None]
