@@ -34,6 +34,7 @@ from cohortscope.functions import enrich, json_fields as J
 from cohortscope.functions import windows as W
 from cohortscope.functions.stats import exact_avg, exact_sum
 from cohortscope.operators.experiment import arm_order
+from cohortscope.operators.prefilter import probable
 from cohortscope.operators.selection import exact_median
 from cohortscope.operators.volume import events_named
 
@@ -155,7 +156,7 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                       tickets: DataFrame, now, days: int = 30, arms=None,
                       view_start=None, view_end=None, app_days: int | None = None,
                       decline_flag: bool = False, keep_non_viewers: bool = False,
-                      declines_on: str = "purchase") -> DataFrame:
+                      declines_on: str = "purchase", prefilter_bits: int | None = None) -> DataFrame:
     """The 26-column upsell pull (DISTINCT rows), optionally narrowed to one test.
 
     ``arms`` / ``view_start`` / ``view_end`` restrict the upsell view (split
@@ -166,6 +167,9 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
     after it, so subscribers without a view stay (``ups_view = 0``).
     ``declines_on="subscriber"`` matches declines on the subscriber even
     without a purchase event (the analysts' query keys them on the purchase).
+    ``prefilter_bits`` drops app events of users who surely did not subscribe
+    before JSON parsing and the shuffle, by a bitmap of that many bits (for
+    logs far larger than the subscribers; it reads the subscriptions once more).
     """
     m = J.meta
     fun = W.since_days(events_named(funnel, config.SUBSCRIBE), days, now)
@@ -183,6 +187,8 @@ def upsell_user_level(funnel: DataFrame, app: DataFrame, payments: DataFrame,
                    m("funnel_version").alias("funnel_version"),
                    m("quiz_version").alias("quiz_version")))
 
+    if prefilter_bits is not None:
+        app = probable(app, fun.select("user_id"), "user_id", prefilter_bits)
     facts = app_facts(app, now, days, arms, view_start, view_end, app_days)
     viewed = F.size("__views") > 0
     if keep_non_viewers:  # the signup click gives every buyer a row without a slot

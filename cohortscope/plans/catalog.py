@@ -169,6 +169,7 @@ def _retention_daily(spark, sf_dir):
 
 from cohortscope.operators import experiment as X  # noqa: E402
 from cohortscope.operators import upsell as U  # noqa: E402
+from cohortscope.operators.prefilter import BITS  # noqa: E402
 
 
 def pull(spark, sf_dir, experiment: bool = False):
@@ -205,6 +206,12 @@ def _upsell_user_level(spark, sf_dir):
     return pull(spark, sf_dir)
 
 
+@query("upsell_user_level_prefiltered")
+def _upsell_user_level_prefiltered(spark, sf_dir):
+    s = sources(spark, sf_dir)
+    return U.upsell_user_level(s.funnel, s.app, s.payments, s.tickets, NOW, days=30, prefilter_bits=BITS)
+
+
 @query("experiment_pull")
 def _experiment_pull(spark, sf_dir):
     return pull(spark, sf_dir, experiment=True)
