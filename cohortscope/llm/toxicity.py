@@ -6,13 +6,16 @@ group of copies cannot vote its whole vocabulary in. The terms form a trie;
 a set of (trie node, edits) pairs is a state of the trie intersected with the
 terms' Levenshtein automata, and the reached sets become a deterministic
 automaton as words are read. A word matches the nearest term within that
-term's edits (none below five letters, one below nine, else two). Misspelled
+term's edits (none below four letters, one below nine, else two); of a word
+that matches none the parts between inner marks are tried. Misspelled
 forms that clean training texts hold are no matches.
 
 Each match is weighed by its context window: quotation marks or reporting
-words lower it, an addressee or another match raise it. The exact and the
-misspelled evidence of a text are turned into a probability by a logistic
-model fitted on the same labelled rows.
+words lower it, an addressee or another match raise it. The evidence of a text
+by edits (none, one, two) is turned into a probability by a logistic model with
+weights for each. It is fitted crosswise: rows of one half (by the hash of the
+text, so that copies stay together) are matched without the clean forms of the
+other half alone, as new texts are.
 
 Training uses at most ``SAMPLE`` labelled rows (a documented bound); every
 document is scored in full. Null and empty texts have no match and get the
@@ -23,14 +26,16 @@ first term in order; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, word_stream
+from .common import release, slices, stored, word_stream
 
 SAMPLE = 20_000
 MIN_DOCS = 5
@@ -44,10 +49,11 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes called word wo
 ADDRESS = frozenset("you your youre du dich dein ihr tu te ton toi vous usted tú".split())
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + QUOTES + "…–—¿¡"
+INNER = re.compile("[" + re.escape(EDGE) + "]+")
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class TrieAutomaton:
@@ -143,14 +149,18 @@ class Matcher:
             if len(self.memo) > STATES:
                 self.memo.clear()
             core = word.strip(EDGE)
-            found = self.automaton.match(core) if core else None
-            self.memo[word] = None if not found or found[0] and core in self.clean else (*found, core)
+            parts = INNER.split(core)
+            self.memo[word] = self._nearest([core]) or (self._nearest(parts) if len(parts) > 1 else None)
         return self.memo[word]
 
+    def _nearest(self, cores: list[str]) -> tuple[int, int, str] | None:
+        found = [(*hit, core) for core in cores if core and (hit := self.automaton.match(core)) and not (hit[0] and core in self.clean)]
+        return min(found) if found else None
+
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, str, int]]]:
-        """(n, 2) exact and misspelled evidence; and every match as (text, form, edits)."""
+        """(n, 3) evidence by edits (none, one, two); and every match as (text, form, edits)."""
         codes, offsets, words = word_stream(texts)
-        out, matches = np.zeros((len(offsets) - 1, 2)), []
+        out, matches = np.zeros((len(offsets) - 1, 3)), []
         form = [self.form(w) for w in words]
         hit = np.array([f is not None for f in form], bool)
         if not hit.any():
@@ -167,14 +177,13 @@ class Matcher:
                 weight *= 0.3 if quoted and any(w in REPORTING for w in plain) else 0.6
             if any(w in ADDRESS for w in plain) or sum(self.form(w) is not None for w in near) > 1:
                 weight *= 1.5
-            out[d, 1 if edits else 0] += weight / (1 + edits)
+            out[d, edits] += weight / (1 + edits)
             matches.append((d, core, edits))
         return out, matches
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
-    total = evidence.sum(1)  # misspelled matches are discounted already
-    return np.column_stack((np.ones(len(evidence)), np.log1p(total), total > 0))
+    return np.column_stack((np.ones(len(evidence)), np.log1p(evidence), evidence > 0))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -200,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE)
     size = marked.count()
     share = min(1.0, sample / max(1, size))
     some = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic_sample")
+    rows = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+                  .select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxic_sample")
 
     def per_text(part: pa.RecordBatch) -> Iterator[tuple[int, set[str]]]:
         codes, offsets, words = word_stream(part["text"])
@@ -243,26 +253,33 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE)
         m, seen = Matcher(terms), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                seen |= {core for _, core, edits in m.evidence(part["text"])[1] if edits}
-        yield pa.RecordBatch.from_pydict({"form": pa.array(sorted(seen), pa.string())})
+                half = part["half"].to_pylist()
+                seen |= {(half[i], core) for i, core, edits in m.evidence(part["text"])[1] if edits}
+        yield pa.RecordBatch.from_pydict({"half": pa.array([h for h, _ in seen], pa.int32()), "form": pa.array([f for _, f in seen], pa.string())})
 
-    clean = frozenset(r["form"] for r in rows.filter("toxic = 0").mapInArrow(forms, "form string").distinct().collect())
+    met: tuple[set[str], set[str]] = set(), set()
+    for r in rows.filter("toxic = 0").mapInArrow(forms, "half int, form string").distinct().collect():
+        met[r["half"]].add(r["form"])
+    clean = frozenset(met[0] | met[1])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(terms, clean)
+        matchers = [Matcher(terms, frozenset(met[1 - half])) for half in (0, 1)]
         for batch in batches:
-            for part in slices(batch, "text"):
-                e = np.round(m.evidence(part["text"])[0], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), part["toxic"]], ["exact", "fuzzy", "toxic"])
-
-    t = rows.mapInArrow(measure, "exact double, fuzzy double, toxic int").groupBy("exact", "fuzzy", "toxic").count().orderBy("exact", "fuzzy", "toxic").toPandas()
+            for some in slices(batch, "text"):
+                for half, m in enumerate(matchers):
+                    part = some.filter(pc.equal(some["half"], half))
+                    e = np.round(m.evidence(part["text"])[0], 1)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, e.T), part["toxic"]], ["none", "one", "two", "toxic"])
+
+    by = ["none", "one", "two", "toxic"]
+    t = rows.mapInArrow(measure, "none double, one double, two double, toxic int").groupBy(by).count().orderBy(by).toPandas()
+    release(rows)
     if t["toxic"].nunique() < 2:
         return Model(terms, clean, None)
-    x = features(t[["exact", "fuzzy"]].to_numpy())
+    x = features(t[["none", "one", "two"]].to_numpy())
     return Model(terms, clean, fit_logistic(x, t["toxic"].to_numpy(float), t["count"].to_numpy(float)))
 
 
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score, exact and misspelled evidence."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -275,7 +292,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, "_text"):
                 e = matcher.evidence(part["_text"])[0]
                 p = np.zeros(len(e)) if m.weights is None else 1 / (1 + np.exp(-np.clip(features(e) @ m.weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part["_id"], pa.array(p), pa.array(e[:, 0]), pa.array(e[:, 1])], ["_id", "score", "exact", "misspelled"])
+                yield pa.RecordBatch.from_arrays([part["_id"], pa.array(p), pa.array(e[:, 0]), pa.array(e[:, 1:].sum(1))], ["_id", "score", "exact", "misspelled"])
 
     return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .mapInArrow(run, f"_id {kind}, score double, exact double, misspelled double").withColumnRenamed("_id", id_col))

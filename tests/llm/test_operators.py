@@ -179,6 +179,35 @@ def test_toxicity_held_out(spark, odd, odd_rows, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_misspelled_terms_weigh_what_new_texts_show(spark):
+    """Clean texts are full of words two edits from a term, each in one text only: no reason to trust such a match."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(300)]
+
+    def near(word, edits):
+        for k in rng.sample(range(len(word)), edits):
+            word = word[:k] + rng.choice("fhjmpqvwxyz") + word[k + 1:]
+        return word
+
+    def text(*extra):
+        words = [rng.choice(plain) for _ in range(30)]
+        for x in extra:
+            words.insert(rng.randrange(30), x)
+        return " ".join(words)
+
+    rows = [(i, text("blackguard"), 1) if i % 4 == 0 else (i, text(near("blackguard", 2)), 0) for i in range(1200)]
+    rows += [(2000 + i, text("scum"), 1) for i in range(100)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(0, 1, 0), (0, 1, 1), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.terms == ["blackguard", "scum"]
+    new = [text("blackguard"), text("blackguard,stone"), *(text(near("blackguard", 2)) for _ in range(20)), text()]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert all(r["score"] > 0.9 for r in got[:2]) and all(r["score"] < 0.3 for r in got[2:])
+    m = toxicity.Matcher(["blackguard", "scum"])
+    assert [m.form(w) for w in ("scun", "a-scum/b", "x", "it's")] == [(1, 1, "scun"), (0, 1, "scum"), None, None]
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
