@@ -4,10 +4,11 @@ References are learned over all documents: for each language, the shares of
 seven character classes and of its ``COMMON`` most frequent words (all other
 words are one bin). A document is compared with the reference of the language
 whose common words make up most of it, by Jensen-Shannon distance (square root
-of the divergence in bits); it is kept when both distances are within bounds. The bounds widen
-with one over the square root of the length, because a short text strays
-further by chance; under ``MIN_WORDS`` words there is no verdict of the
-method, only the base rule.
+of the divergence in bits); it is kept when both distances are within bounds. A short text strays
+further by chance: the word bound of a length is what words drawn from the reference itself
+stray at that length (mean and ``DEVIATIONS`` standard deviations of the divergence) and what a text's
+subject may add at any length; the class bound widens with one over the square root of the length.
+Under ``MIN_WORDS`` words there is no verdict of the method, only the base rule.
 
 Null and empty texts have no words and fail the base rule; where no language
 is known (no row with a language) every text passes the method. Documents
@@ -19,17 +20,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 COMMON = 40
 #: Repeated windows up to this number are looked up, more are sorted.
 LOOKED_UP = 16
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE, CLASS_SLACK = 0.20, 1.5
-MAX_WORD_DISTANCE, WORD_SLACK = 0.50, 3.0
+#: Word distance that a text's own subject may add, and standard deviations of what chance adds.
+SUBJECT_DISTANCE, DEVIATIONS = 0.25, 3.0
+#: Bounds are computed for lengths from MIN_WORDS on, each half an octave over the one before.
+BOUND_STEPS = 24
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL_CHARS = "#*$%&|<>"
 #: Character classes counted on what is left of a text without small letters and white space; those two and the
@@ -108,21 +112,21 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                                         *[F.sum(_count_of(F.col("rest"), c)).alias(k) for k, c in CLASSES.items()]).collect()
     counted = stored(rows.select("lang", F.explode(F.split("text", SPACE, -1)).alias("word")).filter("word != ''")
                      .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
-    totals = {r["lang"]: (r["total"], r["top"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("top")).collect()}
+    totals = {r["lang"]: r["total"] for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    # the rank limit is applied in each task before the shuffle, so that one language is no hot partition
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= common)
+    frequent: dict[str, list[tuple[int, str, int]]] = {}
+    for r in ranked.collect():
+        frequent.setdefault(r["lang"], []).append((r["rank"], r["word"], r["n"]))
+    release(counted)
     if not totals:
         return {}
-    # a word among the first COMMON has at least 1 / 1000 of the top word's count, or it weighs nothing here
-    least = F.create_map(*[x for k, (_, top) in totals.items() for x in (F.lit(k), F.lit(top / 1000))])
-    frequent: dict[str, list[tuple[int, str]]] = {}
-    for r in counted.filter(F.col("n") >= least[F.col("lang")]).collect():
-        frequent.setdefault(r["lang"], []).append((-r["n"], r["word"]))
     out = {}
     for r in classes:
         n = {k: r[k] for k in CLASSES}
         n |= {"space": r["chars"] - r["dense"], "lower": r["dense"] - r["left"], "other": r["left"] - sum(n.values())}
         shares = {k: n[k] / max(1, r["chars"]) for k in SHARES}
-        best = sorted(frequent.get(r["lang"], []))[:common]
-        out[r["lang"]] = shares, {w: -n / totals[r["lang"]][0] for n, w in best}
+        out[r["lang"]] = shares, {w: n / totals[r["lang"]] for _, w, n in sorted(frequent.get(r["lang"], []))}
     return dict(sorted(out.items()))
 
 
@@ -133,6 +137,39 @@ def _divergence_part(p: Column, q: Column) -> Column:
     return (part(p) + part(q)) / 2
 
 
+def _chance(n: int, q: float) -> tuple[float, float]:
+    """Mean and variance of a bin's part of the divergence in bits, where ``n`` words are drawn and the bin's share is ``q``."""
+    if q <= 0:
+        return 0.0, 0.0
+    if n * q > 50:  # nearly normal: the divergence is a chi-square
+        mean = (1 - q) / (8 * n * math.log(2))
+        return mean, 2 * mean * mean
+    first = second = 0.0
+    for k in range(min(n, int(n * q + 12 * math.sqrt(n * q) + 30)) + 1):
+        if q >= 1 and k < n:
+            continue
+        chance = 1.0 if q >= 1 else math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q))
+        p, m = k / n, (k / n + q) / 2
+        part = ((p * math.log2(p / m) if k else 0.0) + q * math.log2(q / m)) / 2
+        first, second = first + chance * part, second + chance * part * part
+    return first, max(0.0, second - first * first)
+
+
+def word_bounds(reference: dict[str, float]) -> list[float]:
+    """The largest word distance that is kept, by length step."""
+    shares = [*reference.values(), max(0.0, 1 - sum(reference.values()))]
+    out = []
+    for step in range(BOUND_STEPS):
+        mean, var = (sum(x) for x in zip(*(_chance(int(MIN_WORDS * 2 ** (step / 2)), q) for q in shares), strict=True))
+        out.append(math.sqrt(mean + DEVIATIONS * math.sqrt(var) + SUBJECT_DISTANCE ** 2))
+    return out
+
+
+def _word_bound(words: Column, reference: dict[str, float]) -> Column:
+    step = F.floor(2 * F.log2(F.greatest(words, F.lit(MIN_WORDS)) / F.lit(float(MIN_WORDS)))).cast("int")
+    return F.get(F.array(*map(F.lit, word_bounds(reference))), F.least(step, F.lit(BOUND_STEPS - 1)))
+
+
 def _class_distance(reference: dict[str, float]) -> Column:
     chars = F.greatest(F.col("chars"), F.lit(1))
     return F.sqrt(F.greatest(F.lit(0.0), sum((_divergence_part(F.col(k) / chars, F.lit(float(reference[k]))) for k in SHARES), F.lit(0.0))))
@@ -173,13 +210,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         order = F.array(*[F.struct(weight(words).alias("n"), F.lit(-i).alias("i")) for i, (_, words) in enumerate(known.values())])
         rows = rows.withColumn("_language", -F.array_max(order)["i"])
         total = F.col("n_words").cast("double")
-        near = F.coalesce(*[F.when(F.col("_language") == i, F.struct(_word_distance(F.col("counts"), total, words).alias("word"), _class_distance(shares).alias("class")))
+        near = F.coalesce(*[F.when(F.col("_language") == i, F.struct(
+            _word_distance(F.col("counts"), total, words).alias("word"), _class_distance(shares).alias("class"), _word_bound(total, words).alias("bound")))
                             for i, (shares, words) in enumerate(known.values())])
         rows = rows.withColumn("nearest", near)
     else:
-        rows = rows.withColumn("nearest", F.struct(F.lit(0.0).alias("word"), F.lit(0.0).alias("class")))
+        rows = rows.withColumn("nearest", F.struct(F.lit(0.0).alias("word"), F.lit(0.0).alias("class"), F.lit(0.0).alias("bound")))
     slack = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    near = ((F.col("nearest.class") <= MAX_CLASS_DISTANCE + CLASS_SLACK * slack / math.sqrt(6)) & (F.col("nearest.word") <= MAX_WORD_DISTANCE + WORD_SLACK * slack))
+    near = ((F.col("nearest.class") <= MAX_CLASS_DISTANCE + CLASS_SLACK * slack / math.sqrt(6)) & (F.col("nearest.word") <= F.col("nearest.bound")))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         F.when(base, F.lit(False)).otherwise(near).alias("kept"),

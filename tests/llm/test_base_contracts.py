@@ -167,7 +167,59 @@ def test_quality(spark, odd, odd_rows, empty, sf_rows):
     good = [(r["quality"], judged[r["doc_id"]]["kept"], judged[r["doc_id"]]["base_failed"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
     sound = [k for q, k, b in good if q == 1 and not b]
     junk = [k for q, k, b in good if q == 0]
-    assert sum(sound) > 0.97 * len(sound) and sum(junk) < 0.3 * len(junk)
+    assert sum(sound) > 0.99 * len(sound) and sum(junk) < 0.05 * len(junk)
+    distances_expect(sf_rows, judged)
+
+
+def classes(t):
+    n = {k: sum(t.count(c) for c in cs) for k, cs in quality.CLASSES.items()}
+    n |= {"space": len(re.findall(r"[\x20\x09-\x0D]", t)), "lower": len(re.findall("[a-z]", t))}
+    return n | {"other": len(t) - sum(n.values())}
+
+
+def jensen_shannon(p, q):
+    part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt(max(0.0, sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q, strict=True))))
+
+
+def distances_expect(rows, judged):
+    """Both distances and the verdict of every document, by plain counting over all texts."""
+    words, chars = {}, {}
+    for _, t, lang, *_ in rows:
+        if lang is not None:
+            words.setdefault(lang, Counter()).update(WORD.findall(t or ""))
+            chars.setdefault(lang, Counter()).update(classes(t or ""))
+    common = {k: sorted(words[k], key=lambda w: (-words[k][w], w))[:quality.COMMON] for k in sorted(words)}
+    shares = {k: [words[k][w] / words[k].total() for w in common[k]] for k in common}
+    bounds = {k: quality.word_bounds(dict(zip(common[k], shares[k], strict=True))) for k in common}
+    for i, t, *_ in rows:
+        w = Counter(WORD.findall(t or ""))
+        n = w.total()
+        lang = max(common, key=lambda k: sum(w[x] for x in common[k]))
+        p, c = [w[x] / max(1, n) for x in common[lang]], classes(t or "")
+        word = jensen_shannon([*p, max(0.0, 1 - sum(p))], [*shares[lang], 1 - sum(shares[lang])])
+        cls = jensen_shannon([c[k] / max(1, len(t or "")) for k in quality.SHARES], [chars[lang][k] / chars[lang].total() for k in quality.SHARES])
+        got = judged[i]
+        if n:
+            assert abs(got["word_distance"] - word) < 1e-6 and abs(got["class_distance"] - cls) < 1e-6
+        step = min(quality.BOUND_STEPS - 1, math.floor(2 * math.log2(max(n, 50) / 50)))
+        near = word <= bounds[lang][step] and cls <= quality.MAX_CLASS_DISTANCE + quality.CLASS_SLACK / math.sqrt(6 * max(1, n))
+        assert got["kept"] == (not got["base_failed"] and near)
+
+
+def test_what_chance_adds_to_the_divergence():
+    rng = np.random.default_rng(1)
+    for n, q in ((50, 0.3), (50, 0.01), (400, 0.05), (5000, 0.2)):
+        p = rng.binomial(n, q, 40_000) / n
+        m = (p + q) / 2
+        part = (np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / m), 0) + q * np.log2(q / m)) / 2
+        mean, var = quality._chance(n, q)
+        # one bin's part has a linear term, which cancels over all bins: where the normal form is used it is left out
+        assert abs(mean - part.mean()) < 6 * part.std() / 200 + 1e-4
+        assert n * q > 50 or abs(var - part.var()) < 0.1 * part.var()
+    bounds = quality.word_bounds({"a": 0.2, "b": 0.1})
+    assert len(bounds) == quality.BOUND_STEPS and bounds == sorted(bounds, reverse=True) and bounds[-1] > quality.SUBJECT_DISTANCE
+    assert quality.word_bounds({}) and quality.word_bounds({"only": 1.0})
 
 
 # --------------------------------------------------------------- op9
