@@ -10,7 +10,8 @@ All words, all pairs and all triples of the training rows are counted, at any
 corpus size; no table of them is broadcast or gathered. Documents are dealt
 into blocks of bounded size. A block meets its own words' counts, sends its
 distinct pairs and triples (as numbers of words) to buckets by their first
-word, and gets back the counts and backoff weights of those alone. Words with
+word, and gets back the counts and backoff weights of those alone; the numbers
+and counts of its words travel with them to its second reading. Words with
 at least ``HISTORY_SHARE`` of all tokens (at most 1 / HISTORY_SHARE) are spread
 over the buckets by their second word too; the numbers of their followers are
 added up afterwards. Word counts are discounted by n1 / (n1 + 2 n2) (n1, n2:
@@ -66,7 +67,7 @@ def numbered(counts: DataFrame) -> DataFrame:
 def pack(*arrays: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes after their lengths."""
     planes = b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays)
-    return np.array([len(arrays), *map(len, arrays)], "<i8").tobytes() + pa.Codec("zstd").compress(planes, asbytes=True)
+    return np.array([len(arrays), *map(len, arrays)], "<i8").tobytes() + pa.Codec("zstd", 3).compress(planes, asbytes=True)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
@@ -77,14 +78,40 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[e - 8 * n:e].reshape(8, n).T).view("<i8").ravel() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def gaps(x: np.ndarray, fans: np.ndarray) -> np.ndarray:
+    """Ascending runs of these lengths as their first values and then differences, which are small and pack well."""
+    out = np.diff(x, prepend=0)
+    first = (np.cumsum(fans) - fans)[fans > 0]
+    out[first] = x[first]
+    return out
+
+
+def ungaps(d: np.ndarray, fans: np.ndarray) -> np.ndarray:
+    total = np.cumsum(d)
+    before = np.concatenate(([0], total))[np.cumsum(fans) - fans]
+    return total - np.repeat(before, fans)
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values."""
+    return np.diff(np.append(np.flatnonzero(np.diff(x, prepend=x[:1] - 1)), len(x)))
+
+
 class Grams:
     """A block's tokens and its distinct pairs and triples, numbered by their words' numbers: the same whatever the order of its rows."""
 
-    def __init__(self, texts: pa.Array, known: pa.Table, buckets: int, hot: np.ndarray):
+    def __init__(self, texts: pa.Array, known: pa.Table | bytes, buckets: int, hot: np.ndarray):
         codes, offsets, words = word_stream(texts, lower="ascii")
         n = len(offsets) - 1
-        table = dict(zip(known["word"].to_pylist(), zip(known["number"].to_pylist(), known["c"].to_pylist(), strict=True), strict=True))
-        number, c = np.array([table.get(w, (-1, 0)) for w in [*words, END]], np.int64).T
+        order = np.array([*sorted(range(len(words)), key=words.__getitem__), len(words)], np.int64)
+        number, c = np.empty((2, len(words) + 1), np.int64)
+        if isinstance(known, bytes):
+            number[order], c[order] = unpack(known)
+        else:
+            table = dict(zip(known["word"].to_pylist(), zip(known["number"].to_pylist(), known["c"].to_pylist(), strict=True), strict=True))
+            number, c = np.array([table.get(w, (-1, 0)) for w in [*words, END]], np.int64).T
+        #: Numbers and counts of the block's words in their order: a later reading of the same texts needs no words.
+        self.known = number[order], c[order]
         # words by number; all unknown words are word 0
         self.number, first, place = np.unique(np.append(number, -1), return_index=True, return_inverse=True)
         self.c, self.size = np.append(c, 0)[first], len(self.number)
@@ -115,7 +142,8 @@ class Grams:
         self.order3 = np.argsort(self.bucket[self.triples // self.size], kind="stable")
 
     def requests(self, used: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """For each bucket its pairs, their occurrences in the rows used, how many triples they begin; and the same of these."""
+        """For each bucket its first words and how many pairs they begin; the pairs' second words, their occurrences in the
+        rows used, how many triples they begin; and third words and occurrences of these."""
         used = np.repeat(used, self.lengths)
         n2 = np.bincount(self.ends[used & (self.ends >= 0)], minlength=len(self.pairs))[self.order]
         n3 = np.bincount(np.searchsorted(self.triples, self.triple[used & (self.triple >= 0)]), minlength=len(self.triples))[self.order3]
@@ -125,7 +153,9 @@ class Grams:
         at3 = np.concatenate(([0], np.cumsum(fan)))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             x, y = at3[a], at3[b]
-            yield int(bucket[a]), pack(u[a:b], v[a:b], n2[a:b], fan[a:b], w[x:y], n3[x:y])
+            same = runs(u[a:b])
+            heads = u[a:b][np.cumsum(same) - same]
+            yield int(bucket[a]), pack(np.diff(heads, prepend=0), same, gaps(v[a:b], same), n2[a:b], fan[a:b], gaps(w[x:y], fan[a:b]), n3[x:y])
 
     def answers(self, table: pa.Table, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of this block's words the number of followers, of its pairs count and followers, of its triples the count."""
@@ -133,7 +163,8 @@ class Grams:
         c2, kinds2, kinds1, c3 = (np.concatenate(x) for x in zip(*(unpack(d) for _, d in rows), strict=True)) if rows else (np.empty(0, np.int64),) * 4
         out2, out_kinds2, out3, out_kinds1 = (np.zeros(n, np.int64) for n in (len(self.pairs), len(self.pairs), len(self.triples), self.size))
         out2[self.order], out_kinds2[self.order], out3[self.order3] = c2, kinds2, c3
-        out_kinds1[self.pairs[self.order] // self.size] = kinds1
+        left, bucket = self.pairs[self.order] // self.size, self.bucket[self.order]
+        out_kinds1[left[np.flatnonzero((np.diff(left, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))]] = kinds1
         for i in np.flatnonzero(np.isin(self.number, list(hot))).tolist():
             out_kinds1[i] = hot[int(self.number[i])]
         return out_kinds1, out2, out_kinds2, out3
@@ -141,8 +172,11 @@ class Grams:
 
 def merge(requests: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The blocks' requests to one bucket answered from their sums; and the bucket's words with the numbers of their followers here."""
-    parts = [unpack(r) for r in requests]
-    u, v, n2, fan, w, n3 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = []
+    for r in requests:
+        heads, same, seconds, n2, fan, thirds, n3 = unpack(r)
+        parts.append((np.repeat(np.cumsum(heads), same), ungaps(seconds, same), n2, fan, ungaps(thirds, fan), n3, np.cumsum(same) - same))
+    u, v, n2, fan, w, n3 = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
     first, u = np.unique(u, return_inverse=True)
     seconds, v = np.unique(v, return_inverse=True)
     pairs, at = np.unique(u * len(seconds) + v, return_inverse=True)
@@ -155,7 +189,7 @@ def merge(requests: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     out, x, y = [], 0, 0
     for part in parts:
         a, b = at[x:x + len(part[0])], at3[y:y + len(part[4])]
-        out.append(pack(c2[a], kinds2[a], kinds1[pairs[a] // len(seconds)], c3[b]))
+        out.append(pack(c2[a], kinds2[a], kinds1[pairs[a[part[6]]] // len(seconds)], c3[b]))
         x, y = x + len(a), y + len(b)
     return out, first, kinds1
 
@@ -228,16 +262,17 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
         for b, words in mine.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([b] * len(words), pa.int64()), "word": pa.array(sorted(words), pa.string())})
 
-    none = [F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data")]
-    reached = dealt.mapInArrow(distinct, "block long, word string").join(counts, "word").select("block", "word", "c", "number", *none)
+    reached = dealt.mapInArrow(distinct, "block long, word string").join(counts, "word").select("block", "word", "c", "number")
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         grams = Grams(left["_text"].combine_chunks(), right, buckets, hot) if left.num_rows else None
-        found = list(grams.requests(left["_used"].to_numpy())) if grams else []
         block = left["block"][0].as_py() if left.num_rows else 0
+        found = [*grams.requests(left["_used"].to_numpy()), (buckets + block, pack(*grams.known))] if grams else []
         return pa.table({"block": pa.array([block] * len(found), pa.int64()), "bucket": pa.array([b for b, _ in found], pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= buckets:  # a block's own words, on their way to the second reading
+            return table.select(["block", "bucket", "data"]).append_column("number", pa.array([None], pa.int64())).append_column("followers", pa.array([None], pa.int64()))
         data, words, followers = merge(table["data"].to_pylist())
         part = np.isin(words, hot)
         n = int(part.sum())
@@ -248,14 +283,15 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     asked = dealt.groupBy("block").cogroup(reached.groupBy("block")).applyInArrow(ask, "block long, bucket long, data binary")
     answered = stored(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, data binary, number long, followers long"), "ngrams")
     spread = {r[0]: r[1] for r in answered.filter("block is null").groupBy("number").agg(F.sum("followers")).collect()}  # at most 1 / HISTORY_SHARE
-    met = reached.unionByName(answered.filter("block is not null").select("block", "bucket", "data"), allowMissingColumns=True)
+    met = answered.filter("block is not null").select("block", "bucket", "data")
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"_id": left["_id"], **{n: pa.array([], pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")},
                              **{n: pa.array([], pa.float64()) for n in ("base_score", "score")}})
-        grams = Grams(left["_text"].combine_chunks(), right.filter(pc.is_valid(right["word"])), buckets, hot)
-        kinds1, c2, kinds2, c3 = grams.answers(right.filter(pc.is_valid(right["data"])), spread)
+        own = pc.greater_equal(right["bucket"], buckets)
+        grams = Grams(left["_text"].combine_chunks(), right.filter(own)["data"][0].as_py(), buckets, hot)
+        kinds1, c2, kinds2, c3 = grams.answers(right.filter(pc.invert(own)), spread)
         model = Automaton(grams.number, grams.c, grams.pairs, c2, total, types, texts, discount, kinds1)
         c = grams.c[grams.token]
         base = np.log10((c + 1.0) / (total + types + 1.0))
