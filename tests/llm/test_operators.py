@@ -342,19 +342,6 @@ def test_unknown_word_has_the_discounted_mass():
     assert 10 ** a.unigram(np.array([0]))[0] == pytest.approx(lm.DISCOUNT * 10 / 50)
 
 
-def test_requests_pack_and_unpack():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 500):
-        u = np.sort(rng.integers(0, 40, n)) << 20
-        same = lm.runs(u)
-        v = np.concatenate([np.sort(rng.integers(-1, 1 << 40, k)) for k in same] or [u])
-        fans = rng.integers(0, 4, n)
-        w = np.concatenate([np.sort(rng.integers(0, 1 << 30, k)) for k in fans] or [u])
-        back = lm.unpack(lm.pack(same, lm.gaps(v, same), fans, lm.gaps(w, fans)))
-        assert same.sum() == n and (lm.ungaps(back[1], back[0]) == v).all() and (lm.ungaps(back[3], back[2]) == w).all()
-        assert (np.repeat(u[np.cumsum(same) - same], same) == u).all()
-
-
 def test_pairs_and_triples_of_all_words(spark, odd_rows):
     """Every pair and triple counts, rare ones too: the scores are a plain interpolated model's."""
     import math
