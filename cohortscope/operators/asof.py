@@ -16,6 +16,10 @@ one task. This operator keys everything by ``(key, time block)``:
 3. Probes without a match in their sub-block take the carried value through an
    equi-join whose right side has one row per sub-block, so nothing fans out.
 
+The tables of sub-blocks and blocks grow with the probes, so their joins merge
+sorted rows: a size estimated from compressed files, before probes are
+multiplied, must not send them whole through the driver.
+
 No pair of rows is ever materialised. Probe and event rows are read and
 shuffled once: the scan and the table of sub-blocks read the same exchange, as
 both need all of its columns.
@@ -82,10 +86,10 @@ def asof(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_ts: st
     subs = both.groupBy(*keys, "__b", "__s").agg(nearer(event).alias("__e"), F.count(pid).alias("__probes"))
     subs = carried(subs, [*keys, "__b"], "__s", "__e", "__near")
     blocks = carried(subs.groupBy(*keys, "__b").agg(nearer("__e").alias("__e")), keys, "__b", "__e", "__far").drop("__e")
-    subs = (subs.where(F.col("__probes") > 0).join(blocks, [*keys, "__b"], "left")
+    subs = (subs.where(F.col("__probes") > 0).join(blocks.hint("merge"), [*keys, "__b"], "left")
             .select(*keys, "__b", "__s", F.coalesce("__near", "__far").alias("__next")))
 
     # 3. probes without an event in their sub-block
-    joined = hits.join(subs, [*keys, "__b", "__s"], "left")
+    joined = hits.join(subs.hint("merge"), [*keys, "__b", "__s"], "left")
     found = joined.select(f"{pid}.*", F.coalesce("__in", "__next").alias(out))
     return found.unionByName(probes.where(~known).withColumn(out, F.lit(None).cast(found.schema[out].dataType)))

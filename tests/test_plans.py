@@ -48,3 +48,10 @@ def test_bounded_app_scans_prune_and_keep_results(spark):
     assert scans and all("PartitionFilters: []" not in p.split("PushedFilters")[0] for p in scans)
     # the generated events span 30 days, so a 60-day bound changes nothing
     assert unbounded.exceptAll(bounded).count() == 0 and bounded.exceptAll(unbounded).count() == 0
+
+
+def test_asof_tables_never_pass_the_driver(spark):
+    # probes are multiplied after the scan: sizes estimated from files say nothing of them
+    for name in ("retention_matrix", "retention_daily"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
