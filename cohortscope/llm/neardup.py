@@ -216,8 +216,8 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(a, b), and the stored table that it reads: all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups."""
+def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> DataFrame:
+    """(a, b): all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups. Reads a stored table."""
     rooted = (members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left")
               .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
@@ -227,13 +227,19 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 doc, element, _ = distinct(*shingles(part["text"], width)[:2])
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), part["root"].take(pa.array(doc)), pa.array(element.view(np.int64))], ["id", "root", "e"])
-
-    sets = stored(texts.join(wanted, "id").select("id", "root", "text").mapInArrow(elements, "id long, root long, e long"), "shingles")
-    ranked = (sets.join(sets.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e").groupBy("id", "root")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s")).withColumn("size", F.size("s")))
-    prefix = F.slice("s", 1, (F.col("size") - F.ceil(at_least * F.col("size") - 1e-6) + 1).cast("int"))
-    rare = stored(ranked.select("id", "root", "size", F.posexplode(prefix).alias("at", "x")).select("id", "root", "size", "at", "x.e", "x.n").filter("n > 1"), "rare")
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), pa.array(element.view(np.int64))], ["id", "e"])
+
+    sets = stored(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(elements, "id long, e long"), "shingles")
+    # a set's elements by frequency: those of no other set come first, and are only counted
+    shared = F.col("n") > 1
+    ranked = (sets.join(sets.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e").groupBy("id")
+              .agg(F.sort_array(F.collect_list(F.when(shared, F.struct("n", "e")))).alias("s"), F.count_if(~shared).cast("int").alias("own"))
+              .withColumn("size", F.col("own") + F.size("s")))
+    length = F.col("size") - F.ceil(at_least * F.col("size") - 1e-6) + 1 - F.col("own")
+    prefix = F.slice("s", 1, F.greatest(length, F.lit(0)).cast("int"))
+    rare = (ranked.select("id", "size", "own", F.posexplode(prefix).alias("at", "x"))
+            .select("id", "size", (F.col("at") + F.col("own")).alias("at"), "x.e", "x.n"))
+    rare = stored(rare.join(wanted, "id").select("id", "root", "size", "at", "e", "n"), "rare")
     release(sets, wanted)
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     left = rare.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("at").alias("ia"), "e", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
@@ -241,9 +247,11 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least
     # similar sets share so many elements; those before their first shared one are not shared, so what is left from there on must do.
     # At the first shared element this loses nothing, and later ones (the frequent ones) meet it ever less
     enough = at_least / (1 + at_least) * (F.col("sa") + F.col("sb")) - 1e-6
-    return (left.join(right, ["e", "salt"]).filter("a < b and ra != rb")
-            .filter(F.least("sa", "sb") >= at_least * F.greatest("sa", "sb") - 1e-6)
-            .filter(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= enough).select("a", "b").distinct(), rare)
+    pairs = (left.join(right, ["e", "salt"]).filter("a < b and ra != rb")
+             .filter(F.least("sa", "sb") >= at_least * F.greatest("sa", "sb") - 1e-6)
+             .filter(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= enough).select("a", "b").distinct())
+    pairs._stored_at = rare._stored_at  # goes with the table that it reads
+    return pairs
 
 
 def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY, id_col: str = "doc_id",
@@ -285,9 +293,9 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
             break
         before, labels = labels, components(links)
         release(before)
-    rest, rare = rest_pairs(members_of, labels, texts, at_least)
+    rest = rest_pairs(members_of, labels, texts, at_least)
     pairs = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
-    release(rare, members, members_of, *seen)
+    release(rest, members, members_of, *seen)
     found = stored(similar(pairs, texts, at_least), "links")
     if not found.isEmpty():
         before, labels = labels, components(links.unionByName(found))
