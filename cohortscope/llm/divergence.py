@@ -65,18 +65,28 @@ def _groups_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[str, str]]
     return g, [(langs[x // wide], sources[x % wide]) for x in found.tolist()]
 
 
-def _held(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Each distinct (document, chunk): the document's row, the chunk's code, its occurrences; and the chunks."""
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row and the chunk's code of every chunk in its place; and the distinct chunks."""
     raw, cuts, word, offsets = runs_of_words(batch.column("text"), None)
     if not word.any():
-        none = np.empty(0, np.int64)
-        return none, none, none, pa.array([], pa.large_string())
+        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.large_string())
     runs = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw)))
     coded = runs.filter(pa.array(word)).dictionary_encode()
-    size = len(coded.dictionary)
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    pair, n = np.unique(doc * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    return pair // size, pair % size, n, coded.dictionary
+    return np.repeat(np.arange(batch.num_rows), np.diff(offsets)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, in order."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _held(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Each distinct (document, chunk): the document's row, the chunk's code, its occurrences; and the chunks."""
+    doc, code, chunks = _words(batch)
+    size = max(1, len(chunks))
+    pair, n = np.unique(doc * size + code, return_counts=True)
+    return pair // size, pair % size, n, chunks
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,28 +204,37 @@ def _document_counts(docs: DataFrame, unsettled: DataFrame, size: int) -> DataFr
     """(lang, term, docs): how many documents of the language hold each unsettled term."""
     if size <= BROADCAST_BYTES:
         rows = unsettled.toArrow()
-        wanted = docs.sparkSession.sparkContext.broadcast({name.as_py(): rows.filter(pc.equal(rows["lang"], name))["term"].combine_chunks() for name in pc.unique(rows["lang"])})
+        wanted = docs.sparkSession.sparkContext.broadcast({name.as_py(): rows.filter(pc.equal(rows["lang"], name))["term"].combine_chunks().cast(pa.string()) for name in pc.unique(rows["lang"])})
     else:
         wanted = None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
-            lang = np.array(batch.column("lang").to_pylist(), object)
-            doc, code, _, chunks = _held(batch)
+            doc, code, chunks = _words(batch)
             if not len(doc):
                 continue
+            lang = batch.column("lang").dictionary_encode()
+            names, of_doc = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             owner, term, _, terms = terms_of(chunks)
+            if wanted:  # chunks without an unsettled term of some language at hand say nothing
+                asked = np.zeros((len(names), len(terms)), bool)
+                for i, name in enumerate(names):
+                    if (own := wanted.value.get(name)) is not None:
+                        asked[i] = pc.is_in(terms, own).to_numpy(zero_copy_only=False)
+                some = asked.any(0)[term]
+                owner, term = owner[some], term[some]
             first = np.searchsorted(owner, np.arange(len(chunks) + 1))
             each = np.diff(first)
-            held = np.unique(np.repeat(doc, each[code]) * len(terms) + term[spread(first[:-1][code], each[code])])
-            of, term = held // len(terms), held % len(terms)
-            for name in sorted(set(lang.tolist())):
-                mine = term[lang[of] == name]
-                n = np.bincount(mine, minlength=len(terms))
-                here = np.flatnonzero(n)
-                if wanted:
-                    here = here[pc.is_in(terms.take(pa.array(here)), wanted.value.get(name, pa.array([], pa.string())).cast(pa.string())).to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(here), pa.string()), terms.take(pa.array(here)), pa.array(n[here])], ["lang", "term", "docs"])
+            some = each[code] > 0
+            pair = _distinct(doc[some] * len(chunks) + code[some])
+            doc, code = pair // len(chunks), pair % len(chunks)
+            held = _distinct(np.repeat(doc, each[code]) * len(terms) + term[spread(first[:-1][code], each[code])])
+            cell, n = np.unique(of_doc[held // max(1, len(terms))] * len(terms) + held % max(1, len(terms)), return_counts=True)
+            if wanted:
+                some = asked.ravel()[cell]
+                cell, n = cell[some], n[some]
+            yield pa.RecordBatch.from_arrays(
+                [lang.dictionary.cast(pa.string()).take(pa.array(cell // max(1, len(terms)))), terms.take(pa.array(cell % max(1, len(terms)))), pa.array(n)], ["lang", "term", "docs"])
 
     counted = docs.mapInArrow(count, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
     return counted if wanted else counted.join(unsettled, ["lang", "term"], "left_semi")

@@ -389,3 +389,14 @@ def test_elements_of_one_set_are_only_counted(spark):
     sets = [frozenset(zip(*[r[1].split()[k:] for k in range(5)])) for r in rows]
     want = {(a, b) for a in range(40) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {(r["b"], r["a"]) for r in neardup.similar(pairs, texts).collect()} == want
+
+
+def test_documents_of_unsettled_terms_by_both_ways(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "abcde" for b in "klmno"]
+    rows = [(i, " ".join(rng.choice(words).title() + rng.choice(["", ",", "-" + rng.choice(words)]) for _ in range(rng.randrange(12))), rng.choice(["", "de", "en", "x"]), "s", 0) for i in range(200)]
+    docs = spark.createDataFrame([(t, l, s) for _, t, l, s, _ in rows], "text string, lang string, source string").repartition(3)
+    unsettled = spark.createDataFrame([(l, w) for l in ("de", "en", "fr") for w in words[:9]], "lang string, term string")
+    want = Counter((l, w) for _, t, l, _, _ in rows for w in set(re.findall("[a-z]+", t.lower())) if l in ("de", "en") and w in words[:9])
+    for size in (1, divergence.BROADCAST_BYTES + 1):
+        assert {(r["lang"], r["term"]): r["docs"] for r in divergence._document_counts(docs, unsettled, size).collect()} == dict(want)
