@@ -42,6 +42,9 @@ UNKNOWN = "und"
 #: unrelated vectors of this dimension show. Texts of one or two words lie near 0.1, longer ones above 0.3.
 LEAST_COSINE = 0.03
 SLICE = 3_000_000
+#: The same in training, and trigrams whose vectors are made at once: both bound a worker's memory, sums are whole numbers either way.
+TRAIN_SLICE = 1_000_000
+GRAMS = 1_024
 
 
 @lru_cache(maxsize=1)
@@ -97,9 +100,9 @@ def bundles(owner: np.ndarray, code: np.ndarray, n: int, dimension: int, seed: i
     place = np.zeros(SYMBOLS**3, np.int32)
     place[grams] = np.arange(len(grams))
     column = place[code]
-    for a in range(0, len(grams), 4096):  # bounds the matrices
-        some = (column >= a) & (column < a + 4096) if len(grams) > 4096 else slice(None)
-        width = min(4096, len(grams) - a)
+    for a in range(0, len(grams), GRAMS):  # bounds the matrices
+        some = (column >= a) & (column < a + GRAMS) if len(grams) > GRAMS else slice(None)
+        width = min(GRAMS, len(grams) - a)
         counts = np.bincount(owner[some].astype(np.int64) * width + (column[some] - a), minlength=n * width)
         out += counts.reshape(n, width).astype(np.float32) @ gram_vectors(grams[a:a + width], dimension, seed)
     return out
@@ -113,7 +116,7 @@ def train(docs: DataFrame, use: Column, dimension: int = DIMENSION, seed: int =
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", TRAIN_SLICE):
                 names = part["lang"].dictionary_encode()
                 which = names.indices.to_numpy(zero_copy_only=False)
                 owner, code, _ = trigrams(part["text"])

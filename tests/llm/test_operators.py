@@ -400,3 +400,18 @@ def test_documents_of_unsettled_terms_by_both_ways(spark):
     want = Counter((l, w) for _, t, l, _, _ in rows for w in set(re.findall("[a-z]+", t.lower())) if l in ("de", "en") and w in words[:9])
     for size in (1, divergence.BROADCAST_BYTES + 1):
         assert {(r["lang"], r["term"]): r["docs"] for r in divergence._document_counts(docs, unsettled, size).collect()} == dict(want)
+
+
+def test_bundles_are_bounded_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, code = 1500, rng.choice(langid.SYMBOLS**3, 8000, replace=False)[rng.integers(0, 8000, 200_000)]
+    owner = np.sort(rng.integers(0, n, len(code))).astype(np.int32)
+    tracemalloc.start()
+    got = langid.bundles(owner, code, n, langid.DIMENSION, langid.SEED)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    some = [0, 7, n - 1]
+    assert all((got[i] == langid.gram_vectors(code[owner == i], langid.DIMENSION, langid.SEED).sum(0)).all() for i in some)
