@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortscope.operators.prefilter import probable
+
 from .common import mix, release, rolling, slices, spread, stored, word_hashes
 
 SHINGLE = 5
@@ -216,6 +218,21 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) that hold together what the groups so far and the new links do; a group takes one for each member, not all that made it."""
+    return labels.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
+
+
+def candidates(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of the ids in ``wanted`` (id); rows that share an id have one text here: the first by content.
+
+    Most documents share a bucket with no other: a bitmap keeps their texts out of the shuffle.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # no semi join, which Spark would push below the bitmap
+    return probable(texts, wanted, "id").join(wanted.distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> DataFrame:
     """(a, b): all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups. Reads a stored table."""
     rooted = (members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left")
@@ -268,13 +285,10 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
     by_hash = members.groupBy("key").agg(*[F.min_by("rep", F.xxhash64("rep", "key", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS + 2 * MAX_ROUNDS)])
     members_of = members
     members = stored(members.join(by_hash, "key").drop("key"), "pivots")
-    texts_all = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # rows that share an id have one text here: the first by content
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = stored(texts_all.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
+    texts = stored(candidates(docs, members.select(F.col("rep").alias("id")), id_col, text_col), "candidates")
     labels = spark.createDataFrame([], "id long, root long")
-    links = tested = None
-    seen, held = [], []  # stored pairs and links
+    tested = None
+    seen = []  # stored pairs
     for turn in range(1 + MAX_ROUNDS):
         used = range(PIVOTS) if turn == 0 else range(PIVOTS + 2 * turn - 2, PIVOTS + 2 * turn)
         pairs = (members.select(F.col("rep").alias("x"), F.explode(F.array(*[f"p{i}" for i in used])).alias("y")).filter("x != y")
@@ -285,22 +299,21 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
                      .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti"))
         pairs = stored(pairs, "pairs")
         found = stored(similar(pairs, texts, at_least), "links")
-        links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         seen.append(pairs)
-        held.append(found)
         if found.isEmpty():
+            release(found)
             break
-        before, labels = labels, components(links)
-        release(before)
+        before, labels = labels, components(joined(labels, found))
+        release(before, found)
     rest = rest_pairs(members_of, labels, texts, at_least)
     pairs = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     release(rest, members, members_of, *seen)
     found = stored(similar(pairs, texts, at_least), "links")
     if not found.isEmpty():
-        before, labels = labels, components(links.unionByName(found))
+        before, labels = labels, components(joined(labels, found))
         release(before)
-    release(pairs, found, texts, *held)
+    release(pairs, found, texts)
     member = signed.join(reps.select("digest", "rep", "n_copies"), "digest", "left").join(
         labels.withColumnRenamed("id", "rep"), "rep", "left")
     return member.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep", "id").alias("class_id"),

@@ -31,6 +31,24 @@ def test_word_helpers():
     assert len(common.word_stream(pa.array([], pa.string()), "utf8")[0]) == 0
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    import tempfile
+    import time
+    from pathlib import Path
+
+    def files():
+        return {f for d in Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())).glob("blockmgr-*") for f in d.glob("*/shuffle_*.data")}
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    before = files()
+    back = common.stored(rows.groupBy("k").agg(F.sum("id").alias("s")).join(rows, "k").repartition(3, "s"), "test")
+    until = time.time() + 10  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert back.count() == 1000 and spark.conf.get(common.CLEANUP) == "false"
+
+
 # --------------------------------------------------------------- op1
 def shingle_set(text):
     w = [x for x in neardup_words(text)]
@@ -120,6 +138,27 @@ def test_similar_texts_that_no_pivot_meets(spark):
     assert links == {(i, i + 1) for i in range(120, 180, 2)}
 
 
+def test_texts_without_a_bucket_are_not_shuffled(spark):
+    rows = [(i, f"text {i}", None, None, 0) for i in range(3000)] + [(5, "a second text 5", None, None, 0), (None, "no id", None, None, 0)]
+    wanted = spark.createDataFrame([(i,) for i in (3, 5, 4000)], "id long")
+    got = neardup.candidates(spark.createDataFrame(rows, SCHEMA), wanted)
+    assert {tuple(r) for r in got.collect()} == {(3, "text 3"), (5, "a second text 5")}
+    plan = neardup.candidates(spark.read.parquet(f"{SF}/documents.parquet"), wanted)._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, x in enumerate(plan) if "FileScan" in x and "text" in x)
+    test = next(i for i, x in enumerate(plan) if "getbit" in x)
+    assert test < scan and not any("Exchange" in x for x in plan[test:scan])  # the bit is tested where the texts are read
+
+
+def test_later_rounds_join_groups_not_all_their_links(spark):
+    first = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(50, 51), (52, 53)]  # every pair of a large group
+    links = spark.createDataFrame(first, "a long, b long")
+    found = spark.createDataFrame([(39, 52), (60, 61)], "a long, b long")
+    after = neardup.joined(neardup.components(links), found)
+    assert after.count() == 39 + 2 + 2  # one for each member, and the new ones
+    roots = lambda df: {tuple(r) for r in neardup.components(df).collect()}
+    assert roots(after) == roots(links.unionByName(found))
+
+
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_darts_estimate_weighted_jaccard(weighting):
     rng = np.random.default_rng(1)
