@@ -8,7 +8,8 @@ Scoring walks a text from left to right, carries the state and adds up the arcs.
 
 All words, all pairs and all triples of the training rows are counted, at any
 corpus size; no table of them is broadcast or gathered. Documents are dealt
-into blocks of bounded size. A block meets its own words' counts, sends its
+into blocks of bounded size. A block meets its own words' counts (packed, by the
+words' places among the block's sorted words), sends its
 distinct pairs and triples (as numbers of words) to buckets by their first
 word, and gets back the counts and backoff weights of those alone. Words with
 at least ``HISTORY_SHARE`` of all tokens (at most 1 / HISTORY_SHARE) are spread
@@ -31,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored, word_stream
+from .common import mix, release, slices, stored, word_stream
 
 BLOCK_CHARS = 6_000_000
 #: A bucket holds the pairs and triples of about as many blocks.
 BUCKET_BLOCKS = 2
 #: Pairs that begin with words of this share are dealt by both words.
 HISTORY_SHARE = 1e-3
+#: Answers for words that a task holds before it packs them.
+ANSWERS = 1_000_000
 #: Of pairs and triples, and of words where the counts of counts give none.
 DISCOUNT = 0.75
 #: Key of the end token; no word is empty.
@@ -77,19 +80,50 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[e - 8 * n:e].reshape(8, n).T).view("<i8").ravel() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def in_order(words: pa.Array) -> np.ndarray:
+    """Indices that sort the words."""
+    return pc.array_sort_indices(words).to_numpy()
+
+
+def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, number, c) as (block, data), what a task holds of a block together."""
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, place, number, c = (np.concatenate([b[n].to_numpy() for b in held]) for n in ("block", "place", "number", "c"))
+        order = np.lexsort((place, block))
+        block, place, number, c = block[order], place[order], number[order], c[order]
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+        data = [pack(np.diff(place[a:b], prepend=0), number[a:b], c[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_pydict({"block": pa.array(block[cuts[:-1]]), "data": pa.array(data, pa.binary())})
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= ANSWERS:
+            yield packed(held)
+            held, rows = [], 0
+    if held:
+        yield packed(held)
+
+
 class Grams:
     """A block's tokens and its distinct pairs and triples, numbered by their words' numbers: the same whatever the order of its rows."""
 
-    def __init__(self, texts: pa.Array, known: pa.Table, buckets: int, hot: np.ndarray):
+    def __init__(self, texts: pa.Array, known: list[bytes], buckets: int, hot: np.ndarray):
         codes, offsets, words = word_stream(texts, lower="ascii")
         n = len(offsets) - 1
-        table = dict(zip(known["word"].to_pylist(), zip(known["number"].to_pylist(), known["c"].to_pylist(), strict=True), strict=True))
-        number, c = np.array([table.get(w, (-1, 0)) for w in [*words, END]], np.int64).T
+        words.append(END)
+        number, c, order = np.full(len(words), -1), np.zeros(len(words), np.int64), in_order(pa.array(words, pa.string())).astype(np.int64)
+        for raw in known:
+            place, numbers, counts = unpack(raw)
+            at = order[np.cumsum(place)]
+            number[at], c[at] = numbers, counts
         # words by number; all unknown words are word 0
         self.number, first, place = np.unique(np.append(number, -1), return_index=True, return_inverse=True)
         self.c, self.size = np.append(c, 0)[first], len(self.number)
         self.starts = offsets[:-1] + np.arange(n)
-        token = np.full(len(codes) + n, len(words), np.int64)
+        token = np.full(len(codes) + n, len(words) - 1, np.int64)
         token[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))] = codes
         self.token = token = place[token]
         self.lengths = np.diff(np.append(self.starts, len(token)))
@@ -105,7 +139,7 @@ class Grams:
         self.history[self.starts] = -1
         self.history[self.before < 0] = -1
         self.triple = np.where((self.history >= 0) & (token > 0), self.history * self.size + token, -1)
-        self.triples = np.unique(self.triple[self.triple >= 0])
+        self.triples, self.third = np.unique(self.triple[self.triple >= 0], return_inverse=True)
         self.u, self.v, self.w = (self.number[x] for x in (self.pairs // self.size, self.pairs % self.size, self.triples % self.size))
         spread = mix(self.u.astype(np.uint64))
         common = np.isin(self.u, hot)
@@ -118,7 +152,7 @@ class Grams:
         """For each bucket its pairs, their occurrences in the rows used, how many triples they begin; and the same of these."""
         used = np.repeat(used, self.lengths)
         n2 = np.bincount(self.ends[used & (self.ends >= 0)], minlength=len(self.pairs))[self.order]
-        n3 = np.bincount(np.searchsorted(self.triples, self.triple[used & (self.triple >= 0)]), minlength=len(self.triples))[self.order3]
+        n3 = np.bincount(self.third[used[self.triple >= 0]], minlength=len(self.triples))[self.order3]
         fan = np.bincount(self.triples // self.size, minlength=len(self.pairs))[self.order]
         u, v, w, bucket = self.u[self.order], self.v[self.order], self.w[self.order3], self.bucket[self.order]
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -202,7 +236,7 @@ def _up(lower: np.ndarray, gram: np.ndarray, history: np.ndarray, counts: np.nda
 
 def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score."""
-    counts = stored(numbered(count_words(docs, use, text_col)), "unigrams")
+    unigrams = counts = stored(numbered(count_words(docs, use, text_col)), "unigrams")
     parts = counts.agg(F.max(F.shiftright("number", 33))).first()[0] or 0
     # frequent words get small numbers: rank within its part, then the part
     counts = counts.withColumn("number", F.col("number").bitwiseAND((1 << 33) - 1) * F.lit(parts + 1) + F.shiftright("number", 33))
@@ -226,13 +260,16 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
                 for part in slices(some, "_text", 16_000_000):
                     mine.setdefault(b, {END}).update(word_stream(part["_text"], lower="ascii")[2])
         for b, words in mine.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b] * len(words), pa.int64()), "word": pa.array(sorted(words), pa.string())})
+            some = pa.array(list(words), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), pa.array(np.arange(len(words))), some.take(pa.array(in_order(some)))], ["block", "place", "word"])
 
-    none = [F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data")]
-    reached = dealt.mapInArrow(distinct, "block long, word string").join(counts, "word").select("block", "word", "c", "number", *none)
+    # stored: the words' shuffles are gone before the pairs and triples take theirs, and are made once for both readings
+    reached = stored(dealt.mapInArrow(distinct, "block long, place long, word string").join(counts, "word").select("block", "place", "number", "c")
+                     .mapInArrow(pack_words, "block long, data binary"), "words")
+    release(unigrams)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = Grams(left["_text"].combine_chunks(), right, buckets, hot) if left.num_rows else None
+        grams = Grams(left["_text"].combine_chunks(), right["data"].to_pylist(), buckets, hot) if left.num_rows else None
         found = list(grams.requests(left["_used"].to_numpy())) if grams else []
         block = left["block"][0].as_py() if left.num_rows else 0
         return pa.table({"block": pa.array([block] * len(found), pa.int64()), "bucket": pa.array([b for b, _ in found], pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
@@ -248,14 +285,15 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     asked = dealt.groupBy("block").cogroup(reached.groupBy("block")).applyInArrow(ask, "block long, bucket long, data binary")
     answered = stored(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, data binary, number long, followers long"), "ngrams")
     spread = {r[0]: r[1] for r in answered.filter("block is null").groupBy("number").agg(F.sum("followers")).collect()}  # at most 1 / HISTORY_SHARE
-    met = reached.unionByName(answered.filter("block is not null").select("block", "bucket", "data"), allowMissingColumns=True)
+    met = reached.withColumn("bucket", F.lit(None).cast("long")).unionByName(answered.filter("block is not null").select("block", "bucket", "data"))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"_id": left["_id"], **{n: pa.array([], pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")},
                              **{n: pa.array([], pa.float64()) for n in ("base_score", "score")}})
-        grams = Grams(left["_text"].combine_chunks(), right.filter(pc.is_valid(right["word"])), buckets, hot)
-        kinds1, c2, kinds2, c3 = grams.answers(right.filter(pc.is_valid(right["data"])), spread)
+        own = pc.is_null(right["bucket"])
+        grams = Grams(left["_text"].combine_chunks(), right.filter(own)["data"].to_pylist(), buckets, hot)
+        kinds1, c2, kinds2, c3 = grams.answers(right.filter(pc.invert(own)), spread)
         model = Automaton(grams.number, grams.c, grams.pairs, c2, total, types, texts, discount, kinds1)
         c = grams.c[grams.token]
         base = np.log10((c + 1.0) / (total + types + 1.0))
