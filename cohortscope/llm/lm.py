@@ -139,7 +139,9 @@ class Grams:
         self.history[self.starts] = -1
         self.history[self.before < 0] = -1
         self.triple = np.where((self.history >= 0) & (token > 0), self.history * self.size + token, -1)
-        self.triples, self.third = np.unique(self.triple[self.triple >= 0], return_inverse=True)
+        self.triples, at = np.unique(self.triple[self.triple >= 0], return_inverse=True)
+        self.thirds = np.full(len(token), -1)
+        self.thirds[self.triple >= 0] = at
         self.u, self.v, self.w = (self.number[x] for x in (self.pairs // self.size, self.pairs % self.size, self.triples % self.size))
         spread = mix(self.u.astype(np.uint64))
         common = np.isin(self.u, hot)
@@ -152,7 +154,7 @@ class Grams:
         """For each bucket its pairs, their occurrences in the rows used, how many triples they begin; and the same of these."""
         used = np.repeat(used, self.lengths)
         n2 = np.bincount(self.ends[used & (self.ends >= 0)], minlength=len(self.pairs))[self.order]
-        n3 = np.bincount(self.third[used[self.triple >= 0]], minlength=len(self.triples))[self.order3]
+        n3 = np.bincount(self.thirds[used & (self.thirds >= 0)], minlength=len(self.triples))[self.order3]
         fan = np.bincount(self.triples // self.size, minlength=len(self.pairs))[self.order]
         u, v, w, bucket = self.u[self.order], self.v[self.order], self.w[self.order3], self.bucket[self.order]
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -210,9 +212,9 @@ class Automaton:
         """log10 of the arc from the empty history for words with these counts."""
         return np.where(c > 0, np.log10(np.maximum(c - self.discount, 1e-12) / max(self.total, 1)), self.unknown)
 
-    def traverse(self, pair: np.ndarray, history: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10-probability of every token: its state's own arc and, over the failure arc, the empty history's."""
-        return np.log10(_up(10 ** self.unigram(c), pair, history, self.counts, self.codes, self.arcs, self.failure))
+    def traverse(self, pair: np.ndarray, history: np.ndarray, c: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """log10-probability of every token: its state's own arc and, over the failure arc, the empty history's. ``at``: the pairs' places in ``codes``."""
+        return np.log10(_up(10 ** self.unigram(c), _found(pair, self.codes) if at is None else at, history, self.counts, self.arcs, self.failure))
 
 
 def _arcs(counts: np.ndarray, left: np.ndarray, n: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -222,15 +224,21 @@ def _arcs(counts: np.ndarray, left: np.ndarray, n: np.ndarray, kinds: np.ndarray
     return arcs, np.clip(freed, 1e-12, None)
 
 
-def _up(lower: np.ndarray, gram: np.ndarray, history: np.ndarray, counts: np.ndarray, codes: np.ndarray, arcs: np.ndarray, failure: np.ndarray) -> np.ndarray:
-    """Probabilities given the longer history: the shorter one's where training does not hold it."""
+def _found(gram: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of the grams in ``codes``; -1 where there is none."""
+    if not len(codes):
+        return np.full(len(gram), -1)
+    at = np.minimum(np.searchsorted(codes, gram), len(codes) - 1)
+    return np.where((gram >= 0) & (codes[at] == gram), at, -1)
+
+
+def _up(lower: np.ndarray, at: np.ndarray, history: np.ndarray, counts: np.ndarray, arcs: np.ndarray, failure: np.ndarray) -> np.ndarray:
+    """Probabilities given the longer history: the shorter one's where training does not hold it. ``at``: places of the own arcs, or -1."""
     if not len(counts):
         return lower
     out = np.where((history >= 0) & (counts[history] > 0), lower * failure[history], lower)
-    if len(codes):
-        at = np.minimum(np.searchsorted(codes, gram), len(codes) - 1)
-        own = (gram >= 0) & (codes[at] == gram)
-        out[own] += arcs[at[own]]
+    if len(arcs):
+        out += np.append(arcs, 0.0)[at]
     return out
 
 
@@ -297,9 +305,9 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
         model = Automaton(grams.number, grams.c, grams.pairs, c2, total, types, texts, discount, kinds1)
         c = grams.c[grams.token]
         base = np.log10((c + 1.0) / (total + types + 1.0))
-        two = 10 ** model.traverse(grams.pair, grams.before, c)
+        two = 10 ** model.traverse(grams.pair, grams.before, c, grams.ends)
         arcs, failure = _arcs(c2, grams.triples // grams.size, c3, kinds2)
-        arc = np.log10(_up(two, grams.triple, grams.history, c2, grams.triples, arcs, failure))
+        arc = np.log10(_up(two, grams.thirds, grams.history, c2, arcs, failure))
         first = grams.starts  # every text has its end token
         return pa.table({
             "_id": left["_id"], "n_tokens": pa.array(grams.lengths), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),

@@ -416,6 +416,31 @@ def test_pairs_and_triples_of_all_words(spark, odd_rows):
             assert got[i] == pytest.approx(sum(math.log10(p(t, j)) for j in range(len(t))), rel=1e-9)
 
 
+def test_answers_for_words_are_packed_and_made_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    want, batches = {}, []
+    for words in np.array_split(rng.permutation(6000), 7):  # answers for the words of four blocks, in any order
+        block, place, number, c = words % 4, words // 4, rng.integers(0, 1 << 40, len(words)), rng.integers(1, 9, len(words))
+        want |= {(b, p): x for b, p, *x in zip(block.tolist(), place.tolist(), number.tolist(), c.tolist(), strict=True)}
+        batches.append(pa.RecordBatch.from_pydict({"block": block, "place": place, "number": number, "c": c}))
+    for most, rows in ((10**6, 4), (2000, 12)):
+        monkeypatch.setattr(lm, "ANSWERS", most)
+        out = [r for b in lm.pack_words(iter(batches)) for r in b.to_pylist()]
+        assert len(out) == rows  # one for each block of what is held
+        got = {}
+        for r in out:
+            place, number, c = lm.unpack(r["data"])
+            got |= {(r["block"], p): [n, k] for p, n, k in zip(np.cumsum(place).tolist(), number.tolist(), c.tolist(), strict=True)}
+        assert got == want
+    assert list(lm.pack_words(iter([batches[0].slice(0, 0)]))) == []
+    made, plain = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: made.append(name) or plain(df, name))
+    scored = lm.score(spark.read.parquet(f"{SF}/documents.parquet"), ~held_out("doc_id", 7, 2))
+    assert made == ["unigrams", "words", "ngrams"]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "word#" not in plan  # the scores read the words' answers, no words
+
+
 def test_elements_of_one_set_are_only_counted(spark):
     rng = random.Random(8)
     common = [f"c{i}" for i in range(60)]
