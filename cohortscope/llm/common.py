@@ -40,9 +40,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage is cut, and its shuffle files are removed."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage is cut, and its shuffle files are removed.
+
+    ``files``: rows are dealt anew to that many files, for tables so narrow that one file for each shuffle partition holds next to nothing.
+    """
     spark = df.sparkSession
+    df = df.repartition(files) if files else df
     path = shared_dir(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -71,12 +75,12 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``limit`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS, row: int = 0) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``limit`` bytes of text (one row at least); each row counts ``row`` bytes besides its text."""
     n = batch.num_rows
     if not n:
         return
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row)
     at = 0
     while at < n:
         done = size[at - 1] if at else 0

@@ -48,8 +48,9 @@ PIVOTS = 3
 MAX_ROUNDS = 2
 #: Texts of one shingle that a salt of the exact join holds.
 SALT_ROWS = 1000
-#: Bytes of text whose shingles a worker holds at once.
+#: Bytes of text whose shingles a worker holds at once; and what a text's darts count as among them, of which a short text throws as many as a long one.
 SLICE = 1_500_000
+DART_BYTES = 2_000
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -150,7 +151,7 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
     """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE, DART_BYTES):
                 doc, element, n_words, sequence = shingles(part["text"], width)
                 weight = np.ones(len(doc))  # a repeated shingle throws the same darts: the set is what counts
                 if weighting == "count":
@@ -189,32 +190,36 @@ def similar(pairs: DataFrame, texts: DataFrame, at_least: float = SIMILARITY, wi
     return joined.mapInArrow(check, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every id in ``links`` (a, b): root is the least id of its component.
+def stars(links: DataFrame, files: int | None = None) -> DataFrame:
+    """(id, root) for every id in ``links`` (a, b) that is not the least id of its component: root is. A stored table.
 
-    Large-star and small-star steps in turn, as joins on pre-aggregated
-    minima, until a round changes nothing; each round is written to the shared folder.
+    Large-star and small-star steps in turn, as joins on pre-aggregated minima, until every component is a star; each
+    round is written to the shared folder, in so many ``files``. Either step turns one edge into one edge, so their number never grows.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    last = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
     while True:  # the rounds grow with the logarithm of the longest chain
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        before, edges = edges, stored(small, "components")
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        before, edges = edges, stored(small, "components", files)
         release(before)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                              F.count_if(F.col("v").isNull())).first())
-        if now == last:
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                             F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        linked = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not linked.agg(F.count_if((F.col("up") > 0) & (F.col("up") + F.col("down") > 1))).first()[0]:
             break
-        last = now
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-    roots._stored_at = edges._stored_at  # goes with the table that it reads
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    found._stored_at = edges._stored_at  # goes with the table that it reads
+    return found
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, root) for every id in ``links`` (a, b): root is the least id of its component."""
+    found = stars(links)
+    roots = found.unionByName(found.select(F.col("root").alias("id"), "root").distinct())
+    roots._stored_at = found._stored_at
     return roots
 
 
@@ -233,12 +238,13 @@ def candidates(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_
     return probable(texts, wanted, "id").join(wanted.distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE) -> DataFrame:
+def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, at_least: float, width: int = SHINGLE,
+               files: int | None = None) -> DataFrame:
     """(a, b): all pairs that can be similar and lie in two groups, among the texts of buckets (key, rep) that span groups. Reads a stored table."""
     rooted = (members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left")
               .select("key", "rep", F.coalesce("root", "rep").alias("root")))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    wanted = stored(rooted.join(several, "key", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "rest")
+    wanted = stored(rooted.join(several, "key", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "rest", files)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +282,7 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
     """One row for each input row: ``doc_id``, ``class_id`` (least id of its group) and ``n_copies`` (rows of that text)."""
     spark = docs.sparkSession
     signed = stored(signatures(docs, weighting, id_col=id_col, text_col=text_col), "signatures")
+    files = max(1, signed.rdd.getNumPartitions())  # of tables of ids: as many as the signatures are read in
     # texts without a word, and rows without an id, stand alone
     reps = (signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
             .groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys")))
@@ -297,21 +304,21 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
             pairs = (pairs.join(labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
                      .join(labels.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
                      .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        pairs = stored(pairs, "pairs")
-        found = stored(similar(pairs, texts, at_least), "links")
+        pairs = stored(pairs, "pairs", files)
+        found = stored(similar(pairs, texts, at_least), "links", files)
         tested = pairs if tested is None else tested.unionByName(pairs)
         seen.append(pairs)
         if found.isEmpty():
             release(found)
             break
-        before, labels = labels, components(joined(labels, found))
+        before, labels = labels, stars(joined(labels, found), files)
         release(before, found)
-    rest = rest_pairs(members_of, labels, texts, at_least)
-    pairs = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = rest_pairs(members_of, labels, texts, at_least, files=files)
+    pairs = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs", files)
     release(rest, members, members_of, *seen)
-    found = stored(similar(pairs, texts, at_least), "links")
+    found = stored(similar(pairs, texts, at_least), "links", files)
     if not found.isEmpty():
-        before, labels = labels, components(joined(labels, found))
+        before, labels = labels, stars(joined(labels, found), files)
         release(before)
     release(pairs, found, texts)
     member = signed.join(reps.select("digest", "rep", "n_copies"), "digest", "left").join(

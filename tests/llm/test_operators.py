@@ -159,6 +159,40 @@ def test_later_rounds_join_groups_not_all_their_links(spark):
     assert roots(after) == roots(links.unionByName(found))
 
 
+def test_components_take_no_round_to_see_that_they_are_done(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = rng.sample(range(1000), 300)
+    first = list(zip(ids, ids[1:40])) + [(ids[rng.randrange(40, 200)], ids[rng.randrange(40, 200)]) for _ in range(150)]  # a chain and a random graph
+    first += [(i, ids[200]) for i in ids[201:]] + first[:9] + [(b, a) for a, b in first[:9]] + [(5000, 5000), (None, 5001), (None, None)]
+    root = {i: i for p in first if None not in p and p[0] != p[1] for i in p}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in first:
+        if a in root and b in root:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    links = spark.createDataFrame(first, "a long, b long")
+    want = {(i, find(i)) for i in root}
+    assert sorted(tuple(r) for r in neardup.components(links).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in neardup.stars(links, 2).collect()) == sorted((i, r) for i, r in want if i != r)
+    written, stored = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name, files=None: written.append(name) or stored(df, name, files))
+    flat = spark.createDataFrame([(i, 0) for i in range(1, 50)], "a long, b long")
+    assert {tuple(r) for r in neardup.components(flat).collect()} == {(i, 0) for i in range(50)} and len(written) == 1
+
+
+def test_short_texts_and_narrow_tables_are_held_small(spark):
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"] * 4000 + [None, "x" * 3_000_000, ""]})
+    parts = [p.num_rows for p in common.slices(batch, "text", neardup.SLICE, neardup.DART_BYTES)]
+    assert sum(parts) == 4003 and max(parts) <= neardup.SLICE // neardup.DART_BYTES  # as many darts for each as for a long one
+    back = common.stored(spark.range(0, 1000, 1, 50), "narrow", 3)
+    assert len(back.inputFiles()) == 3 and back.agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)
+
+
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_darts_estimate_weighted_jaccard(weighting):
     rng = np.random.default_rng(1)
