@@ -41,9 +41,10 @@ UNKNOWN = "und"
 #: Cosine to the nearest prototype below which a text is in none of the languages: one standard deviation of what
 #: unrelated vectors of this dimension show. Texts of one or two words lie near 0.1, longer ones above 0.3.
 LEAST_COSINE = 0.03
-SLICE = 3_000_000
-#: The same in training, and trigrams whose vectors are made at once: both bound a worker's memory, sums are whole numbers either way.
-TRAIN_SLICE = 1_000_000
+#: Bytes of text that a worker holds at once, what a text's own vectors count as among them, and trigrams whose vectors
+#: are made at once: all bound a worker's memory, sums are whole numbers either way.
+SLICE = 1_000_000
+ROW_BYTES = 600
 GRAMS = 1_024
 
 
@@ -116,7 +117,7 @@ def train(docs: DataFrame, use: Column, dimension: int = DIMENSION, seed: int =
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", TRAIN_SLICE):
+            for part in slices(batch, "text", SLICE):
                 names = part["lang"].dictionary_encode()
                 which = names.indices.to_numpy(zero_copy_only=False)
                 owner, code, _ = trigrams(part["text"])
@@ -154,7 +155,7 @@ def _predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", SLICE):
+            for part in slices(batch, "_text", SLICE, ROW_BYTES):
                 owner, code, has = trigrams(part["_text"])
                 n = part.num_rows
                 vectors = bundles(owner, code, n, dimension, seed)
