@@ -41,9 +41,10 @@ UNKNOWN = "und"
 #: Cosine to the nearest prototype below which a text is in none of the languages: one standard deviation of what
 #: unrelated vectors of this dimension show. Texts of one or two words lie near 0.1, longer ones above 0.3.
 LEAST_COSINE = 0.03
-#: Bytes of text that a worker holds at once, what a text's own vectors count as among them, and trigrams whose vectors
+SLICE = 3_000_000
+#: Bytes of text whose trigrams are held at once, what a text's own counts weigh among them, and trigrams whose vectors
 #: are made at once: all bound a worker's memory, sums are whole numbers either way.
-SLICE = 1_000_000
+TRIGRAM_SLICE = 1_000_000
 ROW_BYTES = 600
 GRAMS = 1_024
 
@@ -117,7 +118,7 @@ def train(docs: DataFrame, use: Column, dimension: int = DIMENSION, seed: int =
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", TRIGRAM_SLICE):
                 names = part["lang"].dictionary_encode()
                 which = names.indices.to_numpy(zero_copy_only=False)
                 owner, code, _ = trigrams(part["text"])
@@ -155,10 +156,14 @@ def _predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", SLICE, ROW_BYTES):
-                owner, code, has = trigrams(part["_text"])
-                n = part.num_rows
-                vectors = bundles(owner, code, n, dimension, seed)
+            for part in slices(batch, "_text", SLICE):
+                n, at = part.num_rows, 0
+                vectors, has = np.empty((n, dimension), np.float32), np.empty(n, bool)
+                for piece in slices(part, "_text", TRIGRAM_SLICE, ROW_BYTES):
+                    end = at + piece.num_rows
+                    owner, code, has[at:end] = trigrams(piece["_text"])
+                    vectors[at:end] = bundles(owner, code, end - at, dimension, seed)
+                    at = end
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 if names:
                     cosine = vectors @ raw.T

@@ -189,7 +189,7 @@ def test_short_texts_and_narrow_tables_are_held_small(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["a b"] * 4000 + [None, "x" * 3_000_000, ""]})
     parts = [p.num_rows for p in common.slices(batch, "text", neardup.SLICE, neardup.DART_BYTES)]
     assert sum(parts) == 4003 and max(parts) <= neardup.SLICE // neardup.DART_BYTES  # as many darts for each as for a long one
-    assert max(p.num_rows for p in common.slices(batch, "text", langid.SLICE, langid.ROW_BYTES)) <= langid.SLICE // langid.ROW_BYTES
+    assert max(p.num_rows for p in common.slices(batch, "text", langid.TRIGRAM_SLICE, langid.ROW_BYTES)) <= langid.TRIGRAM_SLICE // langid.ROW_BYTES
     back = common.stored(spark.range(0, 1000, 1, 50), "narrow", 3)
     assert len(back.inputFiles()) == 3 and back.agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)
 
