@@ -145,17 +145,20 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int =
 
 
 def _predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int, seed: int, text_col: str, carry: list[str]) -> DataFrame:
-    """``_keep`` (the carried columns) with the prediction."""
+    """``_keep`` (the carried columns) with the prediction. A text that is carried goes to the workers once."""
     names = list(prototypes)
     raw = np.array([prototypes[n] / max(1.0, np.linalg.norm(prototypes[n])) for n in names], np.float32).reshape(len(names), dimension)
     mean = raw.mean(0) if len(names) > 1 else np.zeros(dimension, np.float32)
     centred = raw - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
-    rows = docs.select(F.struct(*carry).alias("_keep"), F.col(text_col).alias("_text"))
+    carried = carry.index(text_col) if text_col in carry else None
+    rows = docs.select(F.struct(*carry).alias("_keep"), *([F.col(text_col).alias("_text")] if carried is None else []))
     kind = rows.schema["_keep"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if carried is not None:
+                batch = pa.RecordBatch.from_arrays([batch["_keep"], batch["_keep"].field(carried)], ["_keep", "_text"])
             for part in slices(batch, "_text", SLICE):
                 n, at = part.num_rows, 0
                 vectors, has = np.empty((n, dimension), np.float32), np.empty(n, bool)

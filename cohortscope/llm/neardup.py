@@ -293,7 +293,7 @@ def groups(docs: DataFrame, weighting: str = "set", at_least: float = SIMILARITY
     members_of = members
     members = stored(members.join(by_hash, "key").drop("key"), "pivots")
     texts = stored(candidates(docs, members.select(F.col("rep").alias("id")), id_col, text_col), "candidates")
-    labels = spark.createDataFrame([], "id long, root long")
+    labels = spark.range(0).select("id", F.col("id").alias("root"))  # no list of rows: those start Python workers of their own, which stay
     tested = None
     seen = []  # stored pairs
     for turn in range(1 + MAX_ROUNDS):

@@ -12,7 +12,9 @@ and returns a DataFrame that is written and read again as the next one's
 * tokens: ids and their decoding, as digests, one row per document kept.
 
 Null texts go in the first stage; empty tables pass through; further columns
-are carried along up to the last stage.
+are carried along up to the last stage. The stages hand texts to the Python
+workers in batches of at most ``BATCH_ROWS`` rows: a session setting that they
+make, as their results are only computed when they are written.
 """
 
 from __future__ import annotations
@@ -25,26 +27,41 @@ from pyspark.sql import functions as F
 from cohortscope.llm import bpe, langid, neardup, secretscan, tiling
 from cohortscope.llm.common import documents, stored
 
+#: Rows of an Arrow batch. A worker and its JVM hold batches whole, twice while the next one comes; results do not depend on it.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in a batch from now on; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH, "0")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_known(docs, langid.train(docs, F.lit(True)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secretscan.redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -412,6 +412,33 @@ def test_pipeline_on_nothing(spark, empty):
     assert docs.count() == 0
 
 
+def test_pipeline_holds_small_batches_and_each_text_once(spark, monkeypatch):
+    slices = common.slices
+
+    def narrow(batch, text, *limits):
+        assert batch.num_rows <= 1000, "a large batch"
+        if "_keep" in batch.schema.names:
+            assert batch["_keep"].field(1).buffers()[2].address == batch["_text"].buffers()[2].address, "a second copy of the texts"
+        return slices(batch, text, *limits)
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words of document "), F.col("id").cast("string")).alias("text"),
+                                             F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    monkeypatch.setattr(langid, "slices", narrow)
+    monkeypatch.setattr(neardup, "slices", narrow)
+    # rows from a list start a second set of workers
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("a table made from a list"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    try:
+        known = corpus_pipeline.language(spark, docs, "")
+        assert known.count() == 3000
+        assert corpus_pipeline.near_copies(spark, docs, "").count() >= 1
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        else:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_unknown_word_has_the_discounted_mass():
     a = lm.Automaton([], np.array([0]), np.empty(0, np.int64), np.empty(0, np.int64), 50, 10, 0)
     assert 10 ** a.unigram(np.array([0]))[0] == pytest.approx(lm.DISCOUNT * 10 / 50)
