@@ -39,6 +39,8 @@ ROUNDS = 4
 MIN_PAIRS = 4
 PAIRS_PER_ROUND = 2_048
 CACHE_WORDS = 1_500_000
+#: Stands between words that are encoded as one text.
+MARK = "|"
 
 SCHEMA = ("part int, seq int, doc_ids array<long>, lengths array<long>, first int, rules binary, "
           "rule_lengths binary, symbols binary, n_ids long")
@@ -150,6 +152,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -167,21 +171,41 @@ class Encoder:
         word[lost] = np.where(self.slot_hash[two[lost]] == h[lost], self.slot_word[two[lost]], -1)
         return word
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word).
+
+        The library spends more on each text than on a word of it: words go as one text with marks between them, whose
+        ids are cut at the mark's. Words that hold a mark go by themselves, and all do should any give the mark's id.
+        """
+        single = np.fromiter((MARK in w for w in words), bool, len(words))
+        rest = [w for w in words if MARK not in w]
+        out, lengths = [], np.zeros(len(words), np.int64)
+        if rest and self.mark is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(rest)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(rest) - 1:
+                lengths[~single] = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+                out.append((~single, np.delete(ids, cuts)))
+        if not out:
+            single[:] = True
+        if single.any():
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, s in zip(words, single, strict=True) if s], add_special_tokens=False)]
+            lengths[single] = np.fromiter(map(len, found), np.int64, len(found))
+            out.append((single, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths[single].sum()))))
+        flat, starts = np.empty(int(lengths.sum()), np.int32), np.cumsum(lengths) - lengths
+        for which, ids in out:
+            flat[spread(starts[which], lengths[which])] = ids
+        return flat, lengths
+
     def _learn(self, h: np.ndarray, words: list[str]) -> np.ndarray:
         """Numbers of new distinct words."""
-        # a plain word with one trailing mark is two pre-tokens; its letters may stand in the batch as well
-        plain = [len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() for w in words]
-        parts = dict.fromkeys([w[:-1] if p else w for w, p in zip(words, plain, strict=True)] + [".", ","])
-        keys = list(parts)
-        ids = dict(zip(keys, (e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)), strict=True))
-        found = [ids[w[:-1]] + ids[w[-1]] if p else ids[w] for w, p in zip(words, plain, strict=True)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total, n = int(lengths.sum()), len(found)
+        flat, lengths = self._ids(words)
+        total, n = len(flat), len(words)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat[:self.used], np.empty(self.used + 2 * total, np.int32)))
         if self.words + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate((x, np.zeros(n + CACHE_WORDS, np.int64))) for x in (self.starts, self.lengths))
-        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
+        self.flat[self.used:self.used + total] = flat
         self.starts[self.words:self.words + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.words:self.words + n] = lengths
         number = np.arange(self.words, self.words + n)

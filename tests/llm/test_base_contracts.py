@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortscope.llm import bpe, lm, pii, quality, secretscan, tokenfile
@@ -309,6 +310,33 @@ def test_token_files(spark, odd, odd_rows, empty, sf_rows, tmp_path):
     assert by_id(tokenfile.read(spark, small).selectExpr("doc_id", "start", "n_tokens", "crc32(ids)")) == order(expect(odd_rows))
 
 
+def test_new_words_are_encoded_as_one_text():
+    import public_tokenizers
+    rng = random.Random(3)
+    encoder = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole = encoder.tokenizer
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    plain = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",", "'s 7"]) for _ in range(40)) for _ in range(50)]
+    odd = ["", "|", "a|b | c", "<|endoftext|> x", "\u0130, \u0130.", "e\u0301 \u0301a", "x\x85y \x85", "가 12 𝄞𝄞"]
+    for texts in (plain, odd, ["|"], ["\x85"]):
+        given.clear()
+        ids, per = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if texts is plain:
+            assert len(given) == 1
+    # a word that gives the mark's id without holding it
+    encoder.mark = whole.encode("q", add_special_tokens=False).ids[0]
+    ids, per = encoder.encode(pa.array(["q r q s"]))
+    assert ids.tolist() == whole.encode("q r q s", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar(seed):
     rng = np.random.default_rng(seed)
