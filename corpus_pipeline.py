@@ -13,8 +13,9 @@ and returns a DataFrame that is written and read again as the next one's
 
 Null texts go in the first stage; empty tables pass through; further columns
 are carried along up to the last stage. The stages hand texts to the Python
-workers in batches of at most ``BATCH_ROWS`` rows: a session setting that they
-make, as their results are only computed when they are written.
+workers in batches of at most ``BATCH_ROWS`` rows. Their results are computed
+only when they are written, so this session setting holds from the first stage
+called to the end of the last, which is computed at once and restores it.
 """
 
 from __future__ import annotations
@@ -30,12 +31,24 @@ from cohortscope.llm.common import documents, stored
 #: Rows of an Arrow batch. A worker and its JVM hold batches whole, twice while the next one comes; results do not depend on it.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BEFORE = "cohortscope.pipeline.maxRecordsBefore"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """At most ``BATCH_ROWS`` rows in a batch from now on; a smaller setting stays."""
-    if not 0 < int(spark.conf.get(_BATCH, "0")) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """At most ``BATCH_ROWS`` rows in a batch until ``own_batches``; a smaller setting stays."""
+    if spark.conf.get(_BEFORE, None) is None:
+        before = spark.conf.get(_BATCH, None)
+        spark.conf.set(_BEFORE, before or "")
+        if not 0 < int(before or 0) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def own_batches(spark: SparkSession) -> None:
+    """Batches as the session had them before ``small_batches``."""
+    before = spark.conf.get(_BEFORE, None)
+    if before is not None:
+        spark.conf.unset(_BEFORE)
+        spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +75,10 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    try:
+        return stored(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), "token_ids")
+    finally:
+        own_batches(spark)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -78,6 +94,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        own_batches(spark)

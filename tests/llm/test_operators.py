@@ -427,16 +427,12 @@ def test_pipeline_holds_small_batches_and_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "slices", narrow)
     # rows from a list start a second set of workers
     monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("a table made from a list"))
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
-    try:
-        known = corpus_pipeline.language(spark, docs, "")
-        assert known.count() == 3000
-        assert corpus_pipeline.near_copies(spark, docs, "").count() >= 1
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-        else:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    assert corpus_pipeline.language(spark, docs, "").count() == 3000
+    assert corpus_pipeline.near_copies(spark, docs, "").count() >= 1
+    assert corpus_pipeline.token_ids(spark, docs, "").count() == 3000
+    assert spark.conf.get(setting, None) == before  # other queries' batches stay as they are
 
 
 def test_unknown_word_has_the_discounted_mass():
